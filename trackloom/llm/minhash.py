@@ -11,11 +11,10 @@ Candidates.  ``bands`` groups of ``rows`` coordinates; their number follows from
 so that a pair at the threshold is missed with a probability of at most ``miss``.
 
 Work per group.  Equal sets become one class before any banding.  Every bucket compares its
-members with its smallest one (as many pairs as rows).  Links found there give components; only
-buckets whose members are still in several components get more pairs: those of different
-components whose similarities to the bucket's pivot do not rule a link out (Jaccard distance is
-a metric: a link needs |d(x, p) - d(y, p)| <= 1 - threshold).  No candidate is dropped otherwise.
-Every link is confirmed on the full sets.
+members with its smallest one, the pivot (as many pairs as rows).  Links found there give
+components; only pivots whose members are still in several components get more pairs, see
+``_across``.  No candidate is dropped that could be a link, and every link is confirmed on the
+full sets.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
@@ -118,6 +117,52 @@ def sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, set array<long>")
 
 
+#: Members of a pivot up to which its pairs are listed as they are.
+FEW = 16
+
+
+def _across(star: DataFrame, labels: DataFrame, buckets: DataFrame, stored: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: pairs under a common pivot, in different components, that can be links.
+
+    Let x and y be members of pivot c, and X and Y their symmetric differences from c, of sizes known
+    from the first comparison.  A link means |x ^ y| <= B = (|x| + |y|) (1 - s) / (1 + s), and x ^ y = X ^ Y.
+    So X and Y share (|X| + |Y| - B) / 2 elements or more; where that is not positive, both are linked
+    with c already.  With the elements of X and Y in one order, rarest first, a shared one must be among
+    the first (|X| - |Y| + B) / 2 + 1 of X and the first (|Y| - |X| + B) / 2 + 1 of Y.  Edits of one
+    text's own stand first there and are shared by nobody, so a large group of variants gives few pairs.
+    Pivots with few members skip this and list the pairs that sizes and distances allow.
+    """
+    sizes = buckets.select(F.col("id").alias("x"), "n").distinct()
+    of = star.select(F.col("a").alias("c"), F.col("b").alias("x"), (F.col("uni") - F.col("inter")).alias("far"))
+    of = of.join(labels.withColumnRenamed("id", "x"), "x", "left").join(sizes, "x").withColumn("root", F.coalesce("root", "x"))
+    mixed = of.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+    of = scratch.keep(of.join(mixed.select("c", "many"), "c"), "members")
+    limit = (F.col("n") + F.col("n2")) * (100 - percent)  # B times 100 + percent
+
+    def twin(df: DataFrame, *on: str) -> DataFrame:
+        other = df.select(*on, *(F.col(k).alias(f"{k}2") for k in df.columns if k not in on))
+        return df.join(other, list(on)).where("root < root2").where(F.abs(F.col("far") - F.col("far2")) * (100 + percent) <= limit)
+
+    pair = (F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b"))
+    few = twin(of.where(F.col("many") <= FEW).drop("many"), "c").select(*pair)
+
+    many = of.where(F.col("many") > FEW).drop("many")
+    own, pivots = stored.select(F.col("id").alias("x"), "set"), stored.select(F.col("id").alias("c"), F.col("set").alias("base"))
+    differ = F.concat(F.array_except("set", "base"), F.array_except("base", "set"))
+    parts = many.join(own, "x").join(pivots, "c").select("c", "x", "n", "root", "far", F.explode(differ).alias("e"))
+    parts = scratch.keep(parts, "parts")
+    shared = parts.groupBy("c", "e").agg(F.count("*").alias("df")).where("df > 1")
+    parts = parts.join(shared, ["c", "e"])
+    in_doc = Window.partitionBy("c", "x")
+    place = F.row_number().over(in_doc.orderBy("df", "e")) + F.col("far") - F.count("*").over(in_doc)
+    parts = parts.withColumn("place", place).where((F.col("place") - 1) * percent <= F.col("n") * (100 - percent)).drop("df")
+    near = twin(parts, "c", "e")
+    ahead = (F.col("far") - F.col("far2")) * (100 + percent)
+    near = near.where((2 * (F.col("place") - 1) * (100 + percent) <= ahead + limit) & (2 * (F.col("place2") - 1) * (100 + percent) <= limit - ahead))
+    rest = few.unionByName(near.select(*pair)).distinct()
+    return rest.join(star.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower: bool = True, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -143,7 +188,6 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     full = rows_of.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("many")).where("many > 1").select("key", "pivot")
     buckets = scratch.keep(rows_of.join(full, "key").select("key", "pivot", F.col("doc_id").alias("id"), "n"), "buckets")
 
-    bound = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent  # noqa: E731  sizes that allow a link
     ids = buckets.select("id").distinct()
     texts = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     stored = scratch.keep(sets(texts, words, lower), "sets")
@@ -162,18 +206,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     links = linked(star).select("a", "b")
     labels = connected_components(links, scratch)
 
-    # buckets whose members are still apart
-    far = star.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("uni")).alias("d"))
-    named = buckets.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi AND many > 2").select("key")
-    named = named.join(mixed, "key").join(far, ["pivot", "id"], "left").where("d IS NOT NULL")  # the pivot itself has been compared with all
-    near = scratch.keep(named.select("key", "id", "n", "root", "d"), "apart")
-    other = near.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "root", "d")))
-    rest = near.join(other, "key").where("root < root2").where(F.abs(F.col("d") - F.col("d2")) <= 1 - s + 1e-9).where(bound(F.col("n"), F.col("n2")))
-    rest = rest.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _across(star, labels, buckets, stored, percent, scratch)
     more = verified(rest, "rest")
-    scratch.drop(stored, near)
+    scratch.drop(stored)
     new = linked(more)
     if new.limit(1).count():
         labels = connected_components(links.unionByName(new.select("a", "b")), scratch)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op7_byte_bpe
 from .minhash import op1_minhash_near_dedup
+from .neighbours import op3_nearest_neighbours
+from .substring import op2_substring_dedup
+from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_substring_dedup, op3_nearest_neighbours, op7_byte_bpe, op9_warc)}
 ORACLES: dict[str, str] = {}
