@@ -1,0 +1 @@
+"""Queries: operators applied to the bridge views."""

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import clusters
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (clusters,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
