@@ -136,7 +136,8 @@ def _across(star: DataFrame, labels: DataFrame, buckets: DataFrame, stored: Data
     of = star.select(F.col("a").alias("c"), F.col("b").alias("x"), (F.col("uni") - F.col("inter")).alias("far"))
     of = of.join(labels.withColumnRenamed("id", "x"), "x", "left").join(sizes, "x").withColumn("root", F.coalesce("root", "x"))
     mixed = of.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
-    of = scratch.keep(of.join(mixed.select("c", "many"), "c"), "members")
+    mixed = scratch.keep(mixed.select("c", "many"), "mixed")  # read anew, so that the join below can split a large pivot
+    of = scratch.keep(of.join(mixed, "c"), "members")
     limit = (F.col("n") + F.col("n2")) * (100 - percent)  # B times 100 + percent
 
     def twin(df: DataFrame, *on: str) -> DataFrame:
