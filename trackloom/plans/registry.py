@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import clusters
+from . import clusters, quality_metrics, resolving
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (clusters,):
+for _module in (clusters, resolving, quality_metrics):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
