@@ -31,7 +31,7 @@ VIEWS: dict[str, str] = {
     "spacepoints": """
         SELECT ev AS event_id, oid AS spacepoint_id, (a * r - b * s) / l AS x, (b * r + a * s) / l AS y, z FROM (
           SELECT ev, oid, a, b, SQRT(CAST(a * a + b * b AS DOUBLE)) AS l, CAST(r AS DOUBLE) AS r, CAST(r * r AS DOUBLE) * kap AS s, z0 + cot * r AS z FROM (
-            SELECT CAST(FLOOR(l_orderkey / 100.0e0) AS BIGINT) AS ev, l_orderkey * 10000000000 + l_linenumber * 1000000000 + l_partkey * 100 + nth AS oid,
+            SELECT CAST(FLOOR(l_orderkey / 100.0e0) AS BIGINT) AS ev, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100 + nth AS oid,
                    ((l_orderkey * 7919) % 401) - 200 AS a, ((l_orderkey * 104729) % 397) - 198 AS b,
                    32 + 24 * (l_linenumber - 1) + (l_partkey % 3) AS r, ((l_orderkey % 11) - 5) * 4.0e-5 AS kap,
                    CAST((l_orderkey % 41) * 5 - 100 AS DOUBLE) AS z0, ((l_orderkey % 23) - 11) * 0.1e0 AS cot

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import clusters, quality_metrics, resolving
+from . import analytics, clusters, quality_metrics, resolving
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (clusters, resolving, quality_metrics):
+for _module in (clusters, resolving, quality_metrics, analytics):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
