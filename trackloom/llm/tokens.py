@@ -91,7 +91,7 @@ def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
         total = np.zeros(m + 1, np.uint64)
         np.cumsum(_BYTE[data[base : base + m]] * _powers(_STEP, m), out=total[1:])
         s, e = ws[i:j] - base, we[i:j] - base
-        out[i:j] = mix((total[e] - total[s]) * _powers(_BACK, m)[s] + (e - s).astype(np.uint64) * _M2)
+        out[i:j] = mix((total[e] - total[s]) * _powers(_BACK, m + 1)[s] + (e - s).astype(np.uint64) * _M2)
         i = j
     return out
 
