@@ -65,7 +65,8 @@ def line_dedup(docs: DataFrame, *, window: int = 2, divisor: int = 3, least: int
 
     # byte comparison with the first occurrence
     marks = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "h", "is_first")).alias("marks"))
-    held = texts.join(marks, "doc_id").select("doc_id", _lines().alias("lines"), "marks")
+    # the texts are shuffled at any size: a plan that changes with the size of the marks would surprise
+    held = texts.hint("merge").join(marks, "doc_id").select("doc_id", _lines().alias("lines"), "marks")
     bodies = F.transform("marks", lambda m: F.struct(m["start"].alias("start"), m["len"].alias("len"), m["h"].alias("h"), m["is_first"].alias("is_first"), F.array_join(F.slice(F.col("lines"), m["start"] + 1, m["len"]), "\n").alias("body")))
     bodies = scratch.keep(held.select("doc_id", F.size("lines"), bodies.alias("bodies")).select("doc_id", F.inline("bodies")), "bodies")
     model = bodies.where("is_first").select("h", "len", F.col("body").alias("model"))
@@ -75,7 +76,7 @@ def line_dedup(docs: DataFrame, *, window: int = 2, divisor: int = 3, least: int
 
     gone = again.where("NOT is_first").join(unlike, ["doc_id", "start"], "left_anti")
     gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "len"))).alias("gone"))
-    both = docs.join(gone, "doc_id", "left").withColumn("lines", _lines())
+    both = docs.hint("merge").join(gone, "doc_id", "left").withColumn("lines", _lines())
     befores = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["start"] + g["len"]))
     afters = F.concat(F.transform("gone", lambda g: g["start"]), F.array(F.size("lines")))
     stay = F.flatten(F.transform(F.arrays_zip(befores.alias("a"), afters.alias("b")), lambda s: F.slice(F.col("lines"), s["a"] + 1, s["b"] - s["a"])))
