@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytics, clusters, quality_metrics, resolving
+from . import analytics, clusters, files, graphs, quality_metrics, resolving, seeds, windows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (clusters, resolving, quality_metrics, analytics):
+for _module in (clusters, resolving, quality_metrics, analytics, seeds, windows, graphs, files):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
