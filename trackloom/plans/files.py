@@ -84,7 +84,7 @@ _MET = _seeds._WEIGHTED + """, numbered AS (SELECT event_id, b_id, middle_id, t_
 
 
 @query("sk4_seed_lines", _MET + """SELECT c.event_id, c.b_id AS bottom_id, c.middle_id, c.t_id AS top_id, 'l ' || b.vertex || ' ' || m.vertex || ' ' || t.vertex AS line FROM chosen c
-    JOIN vertices b ON c.event_id = b.event_id AND c.b_id = b.sp JOIN vertices m ON c.event_id = m.event_id AND c.middle_id = m.sp JOIN vertices t ON c.event_id = t.event_id AND c.t_id = t.sp""")
+    JOIN vertices b ON c.b_id = b.sp JOIN vertices m ON c.middle_id = m.sp JOIN vertices t ON c.t_id = t.sp""")
 def sk4(spark, d):
     from ..operators import seeding as S
 
