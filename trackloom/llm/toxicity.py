@@ -96,9 +96,11 @@ def fit(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, *, ridg
 
 
 def _select(x: Sparse, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The features whose presence differs most between the classes, in units of its deviation."""
-    on, every = x.back(weight * y), x.back(weight)
-    seen = np.bincount(x.cols, minlength=x.width)
+    """The features whose presence differs most between the classes, in units of its deviation.
+
+    Rows of weight zero count nothing.
+    """
+    on, every, seen = x.back(weight * y), x.back(weight), x.back((weight > 0).astype(float))
     p = (weight * y).sum() / weight.sum()
     z = np.where(seen >= 4, np.abs(on - every * p) / np.sqrt(every * p * (1 - p) + 1.0), 0)
     best = np.argsort(-z, kind="stable")[:CHOSEN]
@@ -131,8 +133,7 @@ def train(ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, labels: np.ndarra
         logit = np.zeros(n)
 
         def model(keep: np.ndarray, whole=whole, y=y, extra=extra) -> tuple[np.ndarray, Sparse, np.ndarray, np.ndarray, float]:
-            part = whole.take(keep)
-            chosen = _select(part, y[keep], weight[keep])
+            chosen = _select(whole, y, weight * keep)
             where = np.full(1 << BITS, -1)
             where[chosen] = np.arange(len(chosen))
             some = where[cols] >= 0
