@@ -73,7 +73,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, *, ridge: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, *, ridge: float = 2e-4, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Weighted logistic regression with a ridge term, by Adam: weights, weights of ``extra``, intercept."""
     w, v = np.zeros(x.width), np.zeros(extra.shape[1])
     total = weight.sum()
