@@ -60,7 +60,8 @@ def line_dedup(docs: DataFrame, *, window: int = 2, divisor: int = 3, least: int
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     cut = scratch.keep(chunks(texts, window, divisor).where(f"len > 1 AND solid >= {least}").drop("solid"), "chunks")
     first = cut.groupBy("h", "len").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "start")).alias("first")).where("many > 1")
-    again = cut.join(first.select("h", "len", "first"), ["h", "len"])
+    first = scratch.keep(first.select("h", "len", "first"), "first")  # read anew, so that the join can split a very common chunk
+    again = cut.join(first, ["h", "len"])
     again = scratch.keep(again.select("doc_id", "start", "len", "h", ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.start") == F.col("start"))).alias("is_first")), "again")
 
     # byte comparison with the first occurrence
