@@ -100,7 +100,7 @@ def _joined(data: np.ndarray, ws: np.ndarray, we: np.ndarray, first: np.ndarray)
     if len(first) > 1:
         last = first[1:][np.diff(first) > 0] - 1
         sep[we[last]] = False
-    out = data.copy() if n else data
+    out = data.copy()
     take = solid[:n] | sep[:n]
     out[sep[:n] & ~solid[:n]] = 32
     where = np.concatenate(([0], np.cumsum(take)))

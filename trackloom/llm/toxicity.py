@@ -124,7 +124,7 @@ def train(ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, labels: np.ndarra
     extra = np.empty((n, 0))
     chain = []
     for y in labels.T.astype(float):
-        if y.min() == y.max() or n < 2 * FOLDS:  # nothing to tell apart: the prior for all
+        if n < 2 * FOLDS or y.min() == y.max():  # nothing to tell apart: the prior for all
             p = float(np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3))
             chain.append({"chosen": np.empty(0, np.int64), "w": np.empty(0), "v": np.zeros(extra.shape[1]), "b": float(np.log(p / (1 - p))), "threshold": 0.5})
             extra = np.column_stack((extra, np.zeros(n)))
