@@ -34,3 +34,33 @@ def test_odd_rows(spark):
     assert len(got) == 6
     assert [r[5] for r in got if r[:2] == (1, 2)] == [1]
     assert ordered(spark, []) == []
+
+
+def test_same_as_sql_on_random_threads(spark):
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from trackloom.llm.oracles import OP10
+
+    rng = random.Random(8)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randint(1, 12)):
+            own = [" ".join(rng.choice(["Yes", "no", "maybe é", "so  what", "line"]) + str(rng.randrange(40)) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 3))]
+            text = list(own)
+            if said and rng.random() < 0.7:
+                old = rng.choice(said)
+                text = [rng.choice(["> ", ">", " > "]) + x for x in old[rng.randrange(len(old)) :]] + rng.choice([[], [""]]) + text
+            said.append(text)
+            rows.append((conv, turn, rng.choice(["user", "assistant", None]), rng.choice(["\n", "\n"]).join(text)))
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    found = con.execute(OP10)
+    names = [d[0] for d in found.description]
+    got = reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(key, got.select(names).collect())) == sorted(map(key, found.fetchall()))
+    assert got.where("parent_turn IS NOT NULL").count() > 10

@@ -40,3 +40,74 @@ def test_filter_keeps_the_rest(spark):
     b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     out = decontaminated(d, b)
     assert out.columns == ["doc_id", "text", "more"] and sorted(r.more for r in out.collect()) == ["b", "c"]
+
+
+def plain(text, inserted=False):
+    """(template, value, is_slot) of every word, read one by one."""
+    import re
+
+    from trackloom.llm.decontaminate import UNITS
+
+    space = " \t\n\x0b\x0c\r"
+    edge = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and chr(c) not in "%$/" and chr(c) not in space)
+    out, end, before_number = [], None, False
+    for m in re.finditer(f"[^{space}]+", text):
+        word = m[0].strip(edge)
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)
+        starts = (not inserted) if end is None else text[end - 1] in ".!?:;\"()" or "\n" in text[end : m.start()]
+        number = bool(re.fullmatch(r"[0-9.,:/+%-]*[0-9][0-9.,:/+%-]*", word))
+        unit = before_number and low in UNITS and not number
+        name = not number and not unit and not starts and len(word.encode()) > 1 and re.match("[A-Z\u00c0-\u00de]", word) is not None
+        out.append(("<n>" if number else "<u>" if unit else "<m>" if name else low, low, number or unit or name))
+        end, before_number = m.end(), number
+    return out
+
+
+def brute(docs, items, words=5, percent=80, literal=2, consistent=80):
+    def windows(t):
+        return [(i, tuple(x[0] for x in t[i : i + words]), [x[1] for x in t[i : i + words] if x[2]]) for i in range(len(t) - words + 1) if sum(not x[2] for x in t[i : i + words]) >= literal]
+
+    known = {}
+    for i, t in sorted(items):
+        both = windows(plain(t or "")) + windows(plain(t or "", inserted=True))
+        key = frozenset((at, w) for at, w, _ in both)
+        if both and key not in known.values():
+            known[i] = key
+    slots = {i: {(w, tuple(v)) for _, w, v in windows(plain(dict(items)[i])) + windows(plain(dict(items)[i], inserted=True)) if v} for i in known}
+    out = set()
+    for d, t in docs:
+        mine = windows(plain(t or ""))
+        shapes = {w for _, w, _ in mine}
+        for i, key in known.items():
+            size, found = len({at for at, _ in key}), len({at for at, w in key if w in shapes})
+            if found * 100 < size * percent:
+                continue
+            fills = {}
+            for _, w, v in mine:
+                for w2, v2 in slots[i]:
+                    if w == w2:
+                        for a, b in zip(v2, v, strict=True):
+                            fills.setdefault(a, {}).setdefault(b, 0)
+                            fills[a][b] += 1
+            top, every = sum(max(x.values()) for x in fills.values()), sum(sum(x.values()) for x in fills.values())
+            if not every or 100 * top / every >= consistent:
+                out.add((d, i, found, round(top / every, 2) if every else 1.0))
+    return out
+
+
+def test_against_a_plain_version(spark):
+    import random
+
+    rng = random.Random(3)
+    vocab = ["the", "a", "train", "leaves", "Éva", "Anna", "Bob", "3", "4.5", "km", "min", "with", "(and", "or)", "stone.", "bridge,", "--", "over!", "10%"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(3, 30)))) for i in range(12)]
+    docs = []
+    for d in range(80):
+        t = " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 30)))
+        if rng.random() < 0.7:
+            item = rng.choice(items)[1]
+            for a, b in (("Anna", "Carl"), ("3", "77"), ("km", "m")):
+                item = item.replace(a, b) if rng.random() < 0.5 else item
+            t += rng.choice([" ", "\n", ". "]) + item + " end"
+        docs.append((d, t))
+    assert set(run(spark, docs, items)) == brute(docs, items)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .bpe import op7_byte_bpe
 from .chat import op10_chat_quotations
 from .decontaminate import op6_decontamination
@@ -20,4 +21,10 @@ QUERIES = {
         op6_decontamination, op7_byte_bpe, op8_toxicity, op9_warc, op10_chat_quotations,
     )
 }
-ORACLES: dict[str, str] = {}
+#: The others are held against brute force, the tokenizer library or held-out labels in the tests.
+ORACLES = {
+    "op1_minhash_near_dedup": oracles.OP1,
+    "op2_substring_dedup": oracles.OP2,
+    "op9_warc": oracles.OP9,
+    "op10_chat_quotations": oracles.OP10,
+}

@@ -257,4 +257,4 @@ def capture_histories(pages: DataFrame, *, path: str | None = None, least: int =
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     """Every page as a record, read back and merged; equal payloads of any length are stored once."""
     found = capture_histories(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
