@@ -230,3 +230,25 @@ def test_grid_field_is_clamped(spark):
     points = spark.createDataFrame([(0, 0.5, 0.5, 0.5), (1, 9.0, -9.0, 1.0)], "spacepoint_id long, x double, y double, z double")
     got = {r.spacepoint_id: (r.bx, r.by, r.bz) for r in events.grid_field(points, grid, origin=(0.0,) * 3, step=(1.0,) * 3, size=(2, 2, 2)).collect()}
     assert got == {0: (0.5, 0.5, 1.5), 1: (1.0, 0.0, 2.0)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_parallel_resolution_equals_the_greedy_one(spark, seed):
+    from trackloom.plans.windows import kept
+
+    rng = random.Random(seed)
+    tracks = spark.createDataFrame([(t % 4, t, rng.random()) for t in range(240)], "event_id long, track_id long, pval double")
+    links = spark.createDataFrame([(t, rng.randrange(250) + 1000 * (t % 4), k) for t in range(240) for k in range(rng.randint(1, 8))], "track_id long, meas_id long, pos int")
+    a = {r.track_id for r in ambiguity.greedy_resolution(tracks, links, max_shared=1).collect()}
+    b = {r.track_id for r in ambiguity.parallel_resolution(tracks, links, kept(spark)).collect()}
+    assert a == b and a
+
+
+def test_triplet_fit_of_simulated_tracks(spark):
+    planes = [20.0 * i for i in range(9)]
+    bz = 2 * seeding.TESLA
+    truth = fitting.simulate(spark, 10, 50, planes, bz=bz, p=0.5).cache()
+    fit = fitting.triplet_fit(truth, bz=bz).toPandas().merge(truth.where("plane = 0").toPandas(), on=["event_id", "track_id"])
+    pull = (fit["qop"] - fit["t_qop"]) / np.sqrt(fit["var_qop"])
+    assert abs(pull.mean()) < 0.15 and 0.9 < pull.std() < 1.1
+    assert (fit["ndf"] == 13).all() and 0.4 < fit["pval"].mean() < 0.6

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..workers import with_workers
+
 
 def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     """The first row of every run of equal keys."""
@@ -49,4 +51,5 @@ def by_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable
         for table in complete_groups(batches, keys):
             yield from kernel(table, group_starts(table, keys)).to_batches()
 
+    with_workers(df.sparkSession)
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

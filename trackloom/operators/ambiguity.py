@@ -112,3 +112,30 @@ def greedy_resolution(tracks: DataFrame, links: DataFrame, *, min_meas: int = 3,
         return table.take(pa.array(np.array(keep, np.int64))).select(["event_id", "track_id"])
 
     return rows.groupBy("event_id").applyInArrow(run, "event_id long, track_id long")
+
+
+def parallel_resolution(tracks: DataFrame, links: DataFrame, keep, *, min_meas: int = 3) -> DataFrame:
+    """``greedy_resolution`` with ``max_shared`` = 1, many evictions at a time.
+
+    Tracks that are not connected by shared measurements don't affect each other, and with this limit
+    the worst track of the event always belongs to a component that still shares: so components are
+    resolved independently, and a large event is no longer one group.
+    """
+    from .components import connected_components
+
+    known = tracks.select("event_id", "track_id", "pval")
+    enough = links.groupBy("track_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_meas).select("track_id")
+    rows = keep(links.join(enough, "track_id").join(known, "track_id").select("event_id", "track_id", "meas_id", "pos", "pval"))
+    first = rows.groupBy("event_id", "meas_id").agg(F.min("track_id").alias("a"))
+    shared = rows.join(first, ["event_id", "meas_id"]).select("a", F.col("track_id").alias("b")).where("a <> b")
+    root = connected_components(shared, keep).withColumnRenamed("id", "track_id")
+    alone = rows.select("event_id", "track_id").distinct().join(root, "track_id", "left_anti")
+    tied = rows.join(root, "track_id")
+    lists = tied.groupBy("event_id", "root", "track_id", "pval").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "meas_id"))), lambda s: s["meas_id"]).alias("meas"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("track_id")
+        kept = resolve_event(table.column("track_id").to_pylist(), table.column("pval").to_pylist(), table.column("meas").to_pylist(), min_meas=min_meas)
+        return table.take(pa.array(np.array(kept, np.int64))).select(["event_id", "track_id"])
+
+    return lists.groupBy("root").applyInArrow(run, "event_id long, track_id long").unionByName(alone)

@@ -151,3 +151,41 @@ def generate_cells(spark: SparkSession, events: int, *, modules: int = 2500, siz
                 yield out
 
     return spark.range(events).mapInPandas(run, "event_id long, module_index int, channel0 int, channel1 int, activation long, cell_id long")
+
+
+def triplet_fit(states: DataFrame, *, bz: float, scatter: float = 0.0) -> DataFrame:
+    """Momentum of every (event_id, track_id) from the triplets of its measurements (three at least).
+
+    Tracks of equal length are fitted together.
+    """
+    from ..kernels import tripletfit
+
+    def kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        size = np.diff(np.concatenate((starts, [table.num_rows])))
+        p = np.column_stack([table.column(c).to_numpy().astype(float) for c in ("x", "m0", "m1")])
+        v = np.column_stack((np.zeros(table.num_rows), table.column("var0").to_numpy(), table.column("var1").to_numpy()))
+        parts = []
+        for m in np.unique(size[size >= 3]):
+            rows = starts[size == m][:, None] + np.arange(m)
+            out = tripletfit.fit(p[rows], v[rows], scatter)
+            first = rows[:, 0]
+            slope = np.arctan2(p[rows][:, 1, 2] - p[rows][:, 0, 2], np.hypot(p[rows][:, 1, 0] - p[rows][:, 0, 0], p[rows][:, 1, 1] - p[rows][:, 0, 1]))
+            parts.append(pa.table({
+                "event_id": table.column("event_id").to_numpy()[first], "track_id": table.column("track_id").to_numpy()[first],
+                "qop": -out["curvature"] * np.cos(slope) / bz if bz else np.zeros(len(first)), "var_qop": out["var"] * np.cos(slope) ** 2 / bz**2 if bz else np.zeros(len(first)),
+                "chi2": out["chi2"], "ndf": out["ndf"].astype(float), "pval": upper_tail(out["chi2"], out["ndf"]),
+            }))
+        return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in zip(("event_id", "track_id", "qop", "var_qop", "chi2", "ndf", "pval"), (pa.int64(), pa.int64(), *[pa.float64()] * 5), strict=True)})
+
+    rows = states.where("m0 IS NOT NULL").select("event_id", "track_id", "plane", "x", "m0", "m1", "var0", "var1")
+    return by_groups(rows, ["event_id", "track_id"], ["plane"], kernel, "event_id long, track_id long, qop double, var_qop double, chi2 double, ndf double, pval double")
+
+
+def truth_candidates(truth: DataFrame, *, pt_min: float = 0.0) -> DataFrame:
+    """Time-ordered truth measurements of every particle above a transverse momentum, as candidates."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = truth.where(F.sin("t_theta") >= F.abs("t_qop") * pt_min)
+    by = Window.partitionBy("event_id", "track_id").orderBy("plane", "meas_id")
+    return rows.select("event_id", "track_id", (F.row_number().over(by) - 1).alias("pos"), "meas_id")

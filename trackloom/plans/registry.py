@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytics, clusters, files, graphs, quality_metrics, resolving, seeds, windows
+from . import analytics, clusters, files, graphs, quality_metrics, resolving, seeds, tracking, windows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (clusters, resolving, quality_metrics, analytics, seeds, windows, graphs, files):
+for _module in (clusters, resolving, quality_metrics, analytics, seeds, windows, graphs, files, tracking):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
