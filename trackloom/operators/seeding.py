@@ -117,38 +117,36 @@ def binned(spacepoints: DataFrame, cfg: SeedConfig) -> DataFrame:
 
 
 def compatible(cfg: SeedConfig, *, bottom: bool) -> str:
-    """The doublet cut between middle (m) and other (o); without transverse distance in x or y the helix cut passes."""
+    """The doublet cut between middle (m) and other (o); without transverse distance in x or y the helix cut passes.
+
+    The two circles of the smallest radius R through both points have their centres at
+    mid +- q n, q^2 = R^2 - d^2 / 4, n the normal of the chord of length d.  As |mid|^2 - d^2 / 4 = m . o and
+    mid . n = (m x o) / d, the nearer centre is at the squared distance m . o + R^2 - 2 (q / d) |m x o|.
+    """
     dr = "(m_r - o_r)" if bottom else "(o_r - m_r)"
     dz = "(m_z - o_z)" if bottom else "(o_z - m_z)"
     big = cfg.min_helix_radius
-    dx, dy = "(o_x - m_x)", "(o_y - m_y)"
-    slope = f"({dy} / NULLIF({dx}, 0e0))"
-    denom = f"SQRT(({slope} * {slope} + 1e0) / NULLIF({slope} * {slope}, 0e0))"
-    sagitta = f"SQRT({big * big!r} - ({dx} * {dx} + {dy} * {dy}) / 4e0)"
-    mx, my = f"({sagitta} * (1e0 / {denom}))", f"({sagitta} * (-1e0 / ({slope} * {denom})))"
-    x, y = "(0.5e0 * (m_x + o_x))", "(0.5e0 * (m_y + o_y))"
-    r1 = f"(({x} + {mx}) * ({x} + {mx}) + ({y} + {my}) * ({y} + {my}))"
-    r2 = f"(({x} - {mx}) * ({x} - {mx}) + ({y} - {my}) * ({y} - {my}))"
+    d2 = "((o_x - m_x) * (o_x - m_x) + (o_y - m_y) * (o_y - m_y))"
+    centre = f"m_x * o_x + m_y * o_y + {big * big!r} - 2e0 * SQRT({big * big!r} / NULLIF({d2}, 0e0) - 0.25e0) * ABS(m_x * o_y - o_x * m_y)"
     limit = (big - cfg.impact_max) ** 2
     return (
         f"{dr} < {cfg.delta_r_max!r} AND {dr} > {cfg.delta_r_min!r} AND ABS({dz}) < {cfg.cot_theta_max!r} * {dr} "
         f"AND m_z * {dr} - m_r * {dz} > {cfg.collision_min!r} * {dr} AND m_z * {dr} - m_r * {dz} < {cfg.collision_max!r} * {dr} "
-        f"AND ABS({dz}) < {cfg.delta_z_max!r} AND ({dx} = 0 OR {dy} = 0 OR LEAST({r1}, {r2}) > {limit!r})"
+        f"AND ABS({dz}) < {cfg.delta_z_max!r} AND (m_x = o_x OR m_y = o_y OR {centre} > {limit!r})"
     )
 
 
 def lin_circle(*, bottom: bool) -> dict[str, str]:
-    """cot theta, z at the axis, inverse distance, error, and the conformal u and v of a doublet."""
+    """Inverse distance, cot theta, z at the axis, error, and the conformal u and v of a doublet, each from earlier ones."""
     dx, dy, dz = "(o_x - m_x)", "(o_y - m_y)", "(o_z - m_z)"
-    inv2 = f"(1e0 / NULLIF({dx} * {dx} + {dy} * {dy}, 0e0))"  # a filter may be tried on pairs that the cut drops
-    cot = f"({'-' if bottom else ''}({dz} * SQRT{inv2}))"
-    mr = "NULLIF(m_r, 0e0)"
-    along = f"({dx} * (m_x / {mr}) + {dy} * (m_y / {mr}))"
-    across = f"({dy} * (m_x / {mr}) - {dx} * (m_y / {mr}))"
     return {
-        "cot": cot, "z0": f"(m_z - m_r * {cot})", "inv": f"SQRT{inv2}",
-        "er": f"(((m_var_z + o_var_z) + ({cot} * {cot}) * (m_var_r + o_var_r)) * {inv2})", "u": f"({along} * {inv2})", "v": f"({across} * {inv2})",
-    }
+        "inv": f"(1e0 / NULLIF(SQRT({dx} * {dx} + {dy} * {dy}), 0e0))",
+        "cot": f"({'-' if bottom else ''}{dz} * {{inv}})",
+        "z0": "(m_z - m_r * {cot})",
+        "er": "(((m_var_z + o_var_z) + {cot} * {cot} * (m_var_r + o_var_r)) * {inv} * {inv})",
+        "u": f"(({dx} * m_x + {dy} * m_y) / NULLIF(m_r, 0e0) * {{inv}} * {{inv}})",
+        "v": f"(({dy} * m_x - {dx} * m_y) / NULLIF(m_r, 0e0) * {{inv}} * {{inv}})",
+    }
 
 
 _POINT = ("x", "y", "z", "r", "var_r", "var_z")
@@ -173,45 +171,52 @@ def doublets(points: DataFrame, cfg: SeedConfig, *, bottom: bool) -> DataFrame:
 
 
 def _side(pairs: DataFrame, side: str, *, bottom: bool) -> DataFrame:
+    names = {n: f"{side}_{n}" for n in lin_circle(bottom=bottom)}
+    for n, e in lin_circle(bottom=bottom).items():
+        pairs = pairs.withColumn(names[n], F.expr(e.format(**names)))
     keep = [F.col("other_id").alias(f"{side}_id"), F.col("o_r").alias(f"{side}_r"), F.col("o_y").alias(f"{side}_y"), F.col("o_z").alias(f"{side}_z")]
     mid = [F.col(f"m_{c}") for c in ("r", "var_r", "var_z")] if bottom else []
-    return pairs.select("event_id", "middle_id", *mid, *keep, *(F.expr(e).alias(f"{side}_{n}") for n, e in lin_circle(bottom=bottom).items()))
+    return pairs.select("event_id", "middle_id", *mid, *keep, *names.values())
 
 
-def triplet_terms(cfg: SeedConfig) -> dict[str, str]:
-    """Intermediate columns of the triplet cut, each from earlier ones."""
-    high = (cfg.highland / cfg.max_pt_scattering) ** 2
+def triplet_terms() -> dict[str, str]:
+    """Terms of the triplet cut, each from earlier ones, with the line v = a u + b written without division:
+    a = dv / du and b = bn / du."""
     return {
-        "isin2": "(1e0 + b_cot * b_cot)",
         "error2": "(t_er + b_er + 2e0 * (b_cot * t_cot * m_var_r + m_var_z) * b_inv * t_inv)",
         "dcot2": "((b_cot - t_cot) * (b_cot - t_cot))",
         "excess": "(dcot2 + error2 - 2e0 * ABS(b_cot - t_cot) * SQRT(error2))",
         "du": "(t_u - b_u)",
-        "a": "((t_v - b_v) / NULLIF(du, 0e0))",
-        "s2": "(1e0 + a * a)",
-        "b": "(b_v - a * b_u)",
-        "pt2scatter": f"(CASE WHEN {cfg.b_z!r} * SQRT(s2 / NULLIF(b * b, 0e0)) / 2e0 <= {cfg.max_pt_scattering!r} THEN 4e0 * (b * b / s2) * {cfg.pt2_per_radius!r} ELSE {high!r} END)",
-        "curvature": "(b / SQRT(s2))",
-        "impact": "ABS((a - b * m_r) * m_r)",
+        "dv": "(t_v - b_v)",
+        "s2": "(du * du + dv * dv)",
+        "bn": "(b_v * du - dv * b_u)",
     }
 
 
 def triplet_cut(cfg: SeedConfig) -> str:
-    region = cfg.max_scattering2
-    s = cfg.sigma_scattering
+    """Slopes agree within errors and scattering, the helix is wide enough, and the impact parameter small enough."""
+    s2 = cfg.sigma_scattering**2
+    high = (cfg.highland / cfg.max_pt_scattering) ** 2
+    # scattering of the curvature's momentum, but at most that of max_pt_scattering: pT^2 = B^2 s2 / (4 bn^2)
+    slow = f"{cfg.b_z**2!r} * s2 <= {4 * cfg.max_pt_scattering**2!r} * bn * bn"
+    scatter = f"CASE WHEN {slow} THEN excess * s2 <= 4e0 * bn * bn * {cfg.pt2_per_radius * s2!r} * (1e0 + b_cot * b_cot) ELSE excess <= {high * s2!r} * (1e0 + b_cot * b_cot) END"
     return (
-        f"du <> 0 AND s2 >= b * b * {cfg.min_helix_diameter2!r} AND impact <= {cfg.impact_max!r} "
-        f"AND (dcot2 - error2 <= 0 OR (excess <= {region!r} * isin2 * {s * s!r} AND excess <= pt2scatter * isin2 * {s!r} * {s!r}))"
+        f"du <> 0 AND s2 >= bn * bn * {cfg.min_helix_diameter2!r} AND ABS((dv - bn * m_r) * m_r) <= {cfg.impact_max!r} * ABS(du) "
+        f"AND (dcot2 - error2 <= 0 OR (excess <= {cfg.max_scattering2 * s2!r} * (1e0 + b_cot * b_cot) AND {scatter}))"
     )
 
 
+#: Curvature and impact parameter of the triplets that pass.
+TRIPLET_VALUES = {"curvature": "(bn / SQRT(s2) * SIGN(du))", "impact": "(ABS((dv - bn * m_r) * m_r) / ABS(du))"}
+
+
 def triplets(bottoms: DataFrame, tops: DataFrame, cfg: SeedConfig) -> DataFrame:
     """Bottom and top doublets of one middle point that lie on a common helix."""
     both = _side(bottoms, "b", bottom=True).join(_side(tops, "t", bottom=False), ["event_id", "middle_id"])
-    for name, e in triplet_terms(cfg).items():
+    for name, e in triplet_terms().items():
         both = both.withColumn(name, F.expr(e))
-    keep = ("event_id", "b_id", "middle_id", "t_id", "curvature", "impact", "b_z0", "b_r", "t_r", "b_y", "b_z", "t_y", "t_z")
-    return both.where(triplet_cut(cfg)).select(*keep)
+    passed = both.where(triplet_cut(cfg))
+    return passed.select("event_id", "b_id", "middle_id", "t_id", *(F.expr(e).alias(n) for n, e in TRIPLET_VALUES.items()), "b_z0", "b_r", "t_r", "b_y", "b_z", "t_y", "t_z")
 
 
 def compatible_tops(found: DataFrame, flt: FilterConfig) -> DataFrame:

@@ -41,17 +41,23 @@ def _pairs(name: str, bottom: bool) -> str:
 
 
 def _sides(name: str, side: str, bottom: bool) -> str:
-    lin = ", ".join(f"{e} AS {side}_{n}" for n, e in S.lin_circle(bottom=bottom).items())
+    terms = S.lin_circle(bottom=bottom)
+    names = {n: f"{side}_{n}" for n in terms}
+    out, last = "", name
+    for i, (n, e) in enumerate(terms.items()):
+        out += f", {side}_l{i} AS (SELECT *, {e.format(**names)} AS {names[n]} FROM {last})"
+        last = f"{side}_l{i}"
     mid = "m_r, m_var_r, m_var_z, " if bottom else ""
-    return f""", {side}_side AS (SELECT event_id, middle_id, {mid}other_id AS {side}_id, o_r AS {side}_r, o_y AS {side}_y, o_z AS {side}_z, {lin} FROM {name})"""
+    return out + f", {side}_side AS (SELECT event_id, middle_id, {mid}other_id AS {side}_id, o_r AS {side}_r, o_y AS {side}_y, o_z AS {side}_z, {', '.join(names.values())} FROM {last})"
 
 
 def _steps() -> str:
     out, last = ", k0 AS (SELECT * FROM b_side JOIN t_side USING (event_id, middle_id))", "k0"
-    for i, (name, e) in enumerate(S.triplet_terms(CFG).items(), 1):
+    for i, (name, e) in enumerate(S.triplet_terms().items(), 1):
         out += f", k{i} AS (SELECT *, {e} AS {name} FROM {last})"
         last = f"k{i}"
-    return out + f", trips AS MATERIALIZED (SELECT event_id, b_id, middle_id, t_id, curvature, impact, b_z0, b_r, t_r, b_y, b_z, t_y, t_z FROM {last} WHERE {S.triplet_cut(CFG)})"
+    values = ", ".join(f"{e} AS {n}" for n, e in S.TRIPLET_VALUES.items())
+    return out + f", trips AS MATERIALIZED (SELECT event_id, b_id, middle_id, t_id, {values}, b_z0, b_r, t_r, b_y, b_z, t_y, t_z FROM {last} WHERE {S.triplet_cut(CFG)})"
 
 
 _TRIPLETS = _POINTS + _pairs("bottoms", True) + _pairs("tops", False) + _sides("bottoms", "b", True) + _sides("tops", "t", False) + _steps()
