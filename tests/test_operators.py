@@ -252,3 +252,37 @@ def test_triplet_fit_of_simulated_tracks(spark):
     pull = (fit["qop"] - fit["t_qop"]) / np.sqrt(fit["var_qop"])
     assert abs(pull.mean()) < 0.15 and 0.9 < pull.std() < 1.1
     assert (fit["ndf"] == 13).all() and 0.4 < fit["pval"].mean() < 0.6
+
+
+def test_graph_seeding_finds_tracks(spark):
+    from trackloom.operators import graphseed
+    from trackloom.plans.windows import kept
+    from trackloom.workers import with_workers
+
+    rng = random.Random(1)
+    points = []
+    for t in range(12):
+        phi, k, cot = rng.uniform(-3, 3), rng.uniform(-2e-4, 2e-4), rng.uniform(-1, 1)
+        for layer in range(6):
+            r = 32.0 + 24 * layer
+            points.append((0, t * 10 + layer, r * math.cos(phi + k * r), r * math.sin(phi + k * r), cot * r))
+    sp = spark.createDataFrame(points, "event_id long, spacepoint_id long, x double, y double, z double")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(5)], "layer1 long, layer2 long")
+    found = graphseed.graph_seeds(sp, pairs, kept(with_workers(spark))).collect()
+    good = {r.bottom_id // 10 for r in found if r.bottom_id // 10 == r.middle_id // 10 == r.top_id // 10}
+    assert len(good) >= 10 and len(found) <= 30
+
+
+def test_cut_search_runs_once_and_keeps_the_best():
+    from trackloom.plans import optimise
+
+    calls = []
+
+    def run(config):
+        calls.append(config)
+        return {"time": config["a"], "efficiency": config["b"] - config["a"] / 10}
+
+    space = {"a": [1, 2, 3], "b": [1, 2]}
+    found = optimise.search(optimise.grid(space), run)
+    found = optimise.search(optimise.sampled(space, 20), run, found)
+    assert len(calls) == 6 and optimise.best_set(found, ["time"], ["efficiency"]) == [(("a", 1), ("b", 2))]

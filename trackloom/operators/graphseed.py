@@ -126,3 +126,70 @@ def bid(paths: DataFrame, quality: DataFrame, rounds: int = 5, keep: Callable[[D
         if not open_.limit(1).count():
             break
     return done.distinct()
+
+
+def path_hits(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path_id, pos, spacepoint_id): the inner node of the first edge, then the outer node of every edge."""
+    rows = paths.join(edges.select("edge_id", "node1", "node2"), "edge_id")
+    first = rows.where("depth = 0").select("path_id", F.lit(0).cast("long").alias("pos"), F.col("node1").alias("spacepoint_id"))
+    return first.unionByName(rows.select("path_id", (F.col("depth") + 1).alias("pos"), F.col("node2").alias("spacepoint_id")))
+
+
+def segment_quality(hits: DataFrame, points: DataFrame) -> DataFrame:
+    """(path_id, n_hits, quality) of hit chains by the small filter."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..kernels.batches import by_groups
+    from ..kernels.segments import quality
+
+    rows = hits.join(points.select("spacepoint_id", "x", "y", "z"), "spacepoint_id")
+
+    def kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        size = np.diff(np.concatenate((starts, [table.num_rows])))
+        n, m = len(starts), int(size.max(initial=1))
+        row, col = np.repeat(np.arange(n), size), np.arange(table.num_rows) - np.repeat(starts, size)
+        x, y, z = (table.column(c).to_numpy() for c in "xyz")
+
+        def spread(v: np.ndarray) -> np.ndarray:
+            out = np.zeros((n, m))
+            out[row, col] = v
+            return out
+
+        has = spread(np.ones(table.num_rows)) > 0
+        q = quality(spread(np.hypot(x, y)), spread(np.arctan2(y, x)), spread(z), has)
+        return pa.table({"path_id": table.column("path_id").to_numpy()[starts], "n_hits": size.astype(np.int64), "quality": q})
+
+    return by_groups(rows.select("path_id", "pos", "x", "y", "z"), ["path_id"], ["pos"], kernel, "path_id long, n_hits long, quality double")
+
+
+def hit_bids(hits: DataFrame, quality: DataFrame, max_lost: int) -> DataFrame:
+    """Paths that lose at most ``max_lost`` of their hits to paths of higher quality (ties: the larger path_id)."""
+    rows = hits.join(quality.select("path_id", "quality"), "path_id")
+    top = rows.groupBy("spacepoint_id").agg(F.max(F.struct("quality", "path_id")).alias("best"))
+    lost = rows.join(top, "spacepoint_id").groupBy("path_id").agg(F.count_if(F.col("best.path_id") != F.col("path_id")).alias("n_lost"))
+    return lost.where(F.col("n_lost") <= max_lost).select("path_id")
+
+
+def convert_seeds(hits: DataFrame, accepted: DataFrame, two_from: int = 6) -> DataFrame:
+    """Three-point seeds of paths: first, middle and last hit; long paths give a second one from their inner half."""
+    by = Window.partitionBy("path_id")
+    rows = hits.join(accepted, "path_id").withColumn("n", F.count("*").over(by))
+    pick = lambda pos: F.max(F.when(F.col("pos") == pos, F.col("spacepoint_id")))
+    last = F.col("n") - 1
+    half = F.floor(last / 2).cast("long")
+    one = rows.groupBy("path_id", "n").agg(pick(F.lit(0)).alias("bottom_id"), pick(half).alias("middle_id"), pick(last).alias("top_id"))
+    two = rows.where(F.col("n") >= two_from).groupBy("path_id", "n").agg(pick(F.lit(0)).alias("bottom_id"), pick(F.floor(half / 2).cast("long")).alias("middle_id"), pick(half).alias("top_id"))
+    return one.unionByName(two).where("n >= 3").drop("n")
+
+
+def graph_seeds(spacepoints: DataFrame, layer_pairs: DataFrame, keep: Callable[[DataFrame], DataFrame], *, phi_bins: int = 64, max_curv: float = 0.0005, max_difference: float = 0.0002, max_links: int = 6, min_level: int = 3, max_lost: int = 2) -> DataFrame:
+    """Space points to seeds: nodes, edges, links, levels, paths, fit, bids, conversion."""
+    points = keep(nodes(spacepoints, 16, phi_bins, 30.0))
+    edges = keep(make_edges(points, layer_pairs, phi_bins, max_curv).withColumn("edge_id", F.monotonically_increasing_id()))
+    links = keep(link_edges(edges, max_difference, max_links))
+    levelled = levels(edges, links, 15, keep)
+    paths = walk(termini(levelled, links, min_level), levelled, links, keep)
+    hits = keep(path_hits(paths, edges))
+    quality = keep(segment_quality(hits, points))
+    return convert_seeds(hits, hit_bids(hits, quality, max_lost))

@@ -110,3 +110,8 @@ def al14(spark, d):
     links, lv = _levels(spark, d, keep)
     paths = keep(G.walk(G.termini(lv, links, 3), lv, links, keep))
     return G.bid(paths, paths.groupBy("path_id").agg(F.count("*").alias("quality")), 5, keep)
+
+
+@query("al16_graph_seeding")
+def al16(spark, d):
+    return G.graph_seeds(table(spark, d, "spacepoints"), _pairs(spark), kept(spark))
