@@ -1,17 +1,18 @@
-"""Tables in the shared folder, worker imports and connected components."""
+"""Tables in the shared folder, and connected components over them."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_ROOT = str(Path(__file__).resolve().parents[2])
+from ..operators import components
+from ..workers import with_workers
+
+__all__ = ["Scratch", "connected_components", "delete", "shared_dir", "with_workers"]
+
 _BASES: dict[int, str] = {}
 
 
@@ -67,40 +68,6 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def with_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where the repository is not installed but shared."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if _ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, have) if x)
-    return spark
-
-
-def connected_components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame:
-    """(a, b) edges to (id, root): root is the smallest id reachable.
-
-    Alternating large-star and small-star steps.  Every step is an aggregate and an
-    equi-join, so a vertex with very many neighbours is never gathered in one task.
-    Vertices without an edge are absent.
-    """
-    cur = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    before = None
-    for _ in range(limit):
-        # large star: every neighbour above u is tied to the smallest of u and its neighbours
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its lower neighbours are tied to the lowest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = scratch.keep(small, "cc")
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(cur)
-        cur = new
-        if tuple(mark) == before:
-            break
-        before = tuple(mark)
-    else:
-        raise RuntimeError(f"components did not settle in {limit} rounds")
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("root"))
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) edges to (id, root): root is the smallest id reachable."""
+    return components.connected_components(edges, lambda df: scratch.keep(df, "cc"), scratch.drop)
