@@ -13,7 +13,7 @@ from ..workers import with_workers
 
 __all__ = ["Scratch", "connected_components", "delete", "shared_dir", "with_workers"]
 
-_BASES: dict[int, str] = {}
+_BASES: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that setting is absent (plain local sessions) a temporary folder is used.
     """
-    key = id(spark.sparkContext)
+    key = spark.sparkContext.applicationId
     if key not in _BASES:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
