@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -23,11 +27,17 @@ def query(name: str, oracle: str | None = None, recursive: bool = False):
     return keep
 
 
+@functools.cache
+def _local_folder() -> str:
+    """Only for sessions without a shared folder, as in tests; removed at exit."""
+    path = tempfile.mkdtemp(prefix="trackloom-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
 def kept(spark):
     """Write a table to the shared folder and read it again: cuts the lineage of iterative plans."""
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackloom-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
 
     def keep(df):
         path = f"{base.rstrip('/')}/trackloom-{uuid.uuid4().hex}"
