@@ -29,14 +29,14 @@ VIEWS: dict[str, str] = {
         FROM modules""",
     # each order is one curved track, each line one layer; only + - * / sqrt, so both engines agree bit by bit
     "spacepoints": """
-        SELECT ev AS event_id, oid AS spacepoint_id, (a * r - b * s) / l AS x, (b * r + a * s) / l AS y, z FROM (
-          SELECT ev, oid, a, b, SQRT(CAST(a * a + b * b AS DOUBLE)) AS l, CAST(r AS DOUBLE) AS r, CAST(r * r AS DOUBLE) * kap AS s, z0 + cot * r AS z FROM (
-            SELECT CAST(FLOOR(l_orderkey / 100.0e0) AS BIGINT) AS ev, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100 + nth AS oid,
-                   ((l_orderkey * 7919) % 401) - 200 AS a, ((l_orderkey * 104729) % 397) - 198 AS b,
-                   32 + 24 * (l_linenumber - 1) + (l_partkey % 3) AS r, ((l_orderkey % 11) - 5) * 4.0e-5 AS kap,
-                   CAST((l_orderkey % 41) * 5 - 100 AS DOUBLE) AS z0, ((l_orderkey % 23) - 11) * 0.1e0 AS cot
-            FROM (SELECT l_orderkey, l_linenumber, l_partkey, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_suppkey, l_extendedprice) AS nth FROM lineitem) AS numbered
-          ) AS shaped WHERE a <> 0 AND b <> 0) AS placed""",
+        SELECT ev AS event_id, base * 100 + ROW_NUMBER() OVER (PARTITION BY base ORDER BY l_suppkey, l_extendedprice) AS spacepoint_id, x, y, z FROM (
+          SELECT ev, base, l_suppkey, l_extendedprice, (a * r - b * s) / l AS x, (b * r + a * s) / l AS y, z FROM (
+            SELECT ev, base, l_suppkey, l_extendedprice, a, b, SQRT(CAST(a * a + b * b AS DOUBLE)) AS l, CAST(r AS DOUBLE) AS r, CAST(r * r AS DOUBLE) * kap AS s, z0 + cot * r AS z FROM (
+              SELECT CAST(FLOOR(l_orderkey / 100.0e0) AS BIGINT) AS ev, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS base, l_suppkey, l_extendedprice,
+                     ((l_orderkey * 7919) % 401) - 200 AS a, ((l_orderkey * 104729) % 397) - 198 AS b,
+                     32 + 24 * (l_linenumber - 1) + (l_partkey % 3) AS r, ((l_orderkey % 11) - 5) * 4.0e-5 AS kap,
+                     CAST((l_orderkey % 41) * 5 - 100 AS DOUBLE) AS z0, ((l_orderkey % 23) - 11) * 0.1e0 AS cot
+              FROM lineitem) AS shaped WHERE a <> 0 AND b <> 0) AS rotated) AS placed""",
     "tracks": """
         SELECT o_custkey % 16 AS event_id, o_orderkey AS track_id, CAST((o_orderkey * 7919) % 10007 AS DOUBLE) / 10007e0 AS pval,
                CAST(2 * (1 + o_orderkey % 9) AS BIGINT) AS ndf, CAST((o_orderkey * 31) % 4001 AS DOUBLE) / 128e0 AS chi2,
