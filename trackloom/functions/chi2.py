@@ -41,7 +41,7 @@ def _fraction(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         c = np.where(np.abs(c) < _TINY, _TINY, c)
         step = c * d
         h *= step
-        if (np.abs(step - 1) < 1e-16).all():
+        if (np.abs(step - 1) < 1e-15).all():
             break
     return h * np.exp(a * np.log(x) - x - _lgamma(a).astype(float))
 
