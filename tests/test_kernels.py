@@ -123,3 +123,14 @@ def test_holes_and_short_tracks_in_finding(spark):
     two_gaps = F.find_tracks(truth.where("plane NOT IN (4, 5)"), seeds, planes, bz=0.0).toPandas()
     short = F.find_tracks(truth.where("plane < 2"), seeds, planes, bz=0.0).toPandas()
     assert len(one_gap) == 8 and len(two_gaps) == 4 and len(short) == 0
+
+
+def test_small_matrices():
+    from trackloom.functions import matrices
+
+    cov = np.array([[4.0, 1.0], [1.0, -0.005]])[None]
+    assert matrices.inflate(cov, 10.0).tolist() == [[[40.0, 0.0], [0.0, -0.05]]]
+    fixed, ok = matrices.regularize(cov)
+    assert ok.tolist() == [True] and fixed[0, 1, 1] == 0.005 and not matrices.regularize(cov * 10)[1][0]
+    h = matrices.projector((1, 0), 6)
+    assert (h @ np.arange(6)).tolist() == [1, 0] and (h.T @ np.array([5.0, 7.0])).tolist() == [7, 5, 0, 0, 0, 0]
