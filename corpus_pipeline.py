@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go but for their first occurrence; every document stays."""
-    out = lines.line_dedup(docs)
+    """Repeated multi-line passages go but for their first occurrence; every document stays."""
+    out = lines.line_dedup(docs, passages=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -62,3 +62,42 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([(None, "a\nb"), (1, "a\nb"), (None, None)], "doc_id long, text string")
     assert sorted(str(r.text) for r in line_dedup(df).collect()) == ["None", "a\nb", "a\nb"]
+
+
+def without_passages(rows):
+    """Every pair of neighbouring lines that aren't blank, but for its first occurrence."""
+    first, out = {}, []
+    for d, t in sorted(rows):
+        lines = t.split("\n")
+        solid = [i for i, x in enumerate(lines) if x.strip(" ")]
+        gone = set()
+        for a, b in zip(solid, solid[1:]):
+            e, at = first.setdefault(tuple(lines[a : b + 1]), (d, a))
+            if (e, at) != (d, a):
+                gone |= set(range(max(a, at + b - a + 1) if e == d else a, b + 1))
+        out.append((d, "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)))
+    return out
+
+
+def test_whole_passages_go(spark):
+    rng = random.Random(5)
+    rows, spans = [], {}
+    for k in range(60):
+        passage = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(26)) for _ in range(2 + k % 11)]
+        passage[1:1] = [""] * (k % 3)
+        for d in (2 * k, 2 * k + 1):
+            before, after = ([f"own {d} {side} {i}" for i in range(1 + rng.randrange(3))] for side in "ab")
+            rows.append((d, "\n".join([*before, *passage, *after])))
+            spans[d] = "\n".join([*before, *after]) if d % 2 else rows[-1][1]
+    assert {d: t for d, t, *_ in run(spark, rows, passages=True)} == spans
+
+
+def test_passages_against_a_plain_version(spark):
+    rng = random.Random(6)
+    rows = [(d, "\n".join(rng.choice(["a", "b", "c", "d", "", " ", f"own {d}"]) for _ in range(rng.randrange(1, 12))) + f"\nend {d}") for d in range(60)]
+    rows += [(100, "x\nx\nx\nx\nx"), (101, "y\n\nz"), (102, "y\n \nz"), (103, "y\n \nz")]
+    wanted = without_passages(rows)
+    got = run(spark, rows, passages=True)
+    # whole chunks may take blank lines at the ends of a passage with them
+    assert [(d, [x for x in t.split("\n") if x.strip(" ")]) for d, t, *_ in got] == [(d, [x for x in t.split("\n") if x.strip(" ")]) for d, t, *_ in wanted]
+    assert all(n >= m for (*_, n), (*_, m) in zip(got, wanted))
