@@ -1,4 +1,4 @@
-from trackloom.llm.decontaminate import contaminated, decontaminated
+from trackloom.llm.decontaminate import contaminated, decontaminated, leaks
 
 ITEM = "A train leaves Paris at 9 km per hour and meets Alice after 12 minutes near the old stone bridge by the river"
 
@@ -111,3 +111,21 @@ def test_against_a_plain_version(spark):
             t += rng.choice([" ", "\n", ". "]) + item + " end"
         docs.append((d, t))
     assert set(run(spark, docs, items)) == brute(docs, items)
+
+
+SHOP = "the shop sold 12 red pens on Monday and 15 red pens on Tuesday and 9 red pens on Wednesday and 20 red pens on Thursday and 31 red pens on Friday before closing"
+
+
+def leaked(spark, docs, items, **how):
+    d = spark.createDataFrame(list(docs), "doc_id long, text string")
+    b = spark.createDataFrame(list(items), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in leaks(d, b, **how).collect()}
+
+
+def test_every_occurrence_is_judged_alone(spark):
+    changed = lambda n: SHOP.replace("12", str(n)).replace("15", str(n + 7)).replace("Monday", f"Name{n}")
+    docs = [(1, "so " + SHOP), (2, "so " + " and then ".join([SHOP, *map(changed, (40, 50, 60))])), (3, "so " + " or ".join(["Once " + ITEM, ITEM.replace("Paris", "Rome").replace("Alice", "Bob").replace("12", "8").replace(" 9 ", " 3 ")] * 3)), (4, "the shop sold 12 red pens on Monday")]
+    items = [(7, SHOP), (8, ITEM)]
+    got = leaked(spark, docs, items)
+    assert set(got) == {(1, 7), (2, 7), (3, 8)}
+    assert all(r.slot_agreement == 1 for r in got.values())

@@ -138,6 +138,21 @@ def windows(texts: DataFrame, words: int, literal: int, bitmap=None, inserted: b
     return texts.mapInArrow(run, "id long, at long, h long, slots array<long>")
 
 
+def _bitmap(items: DataFrame):
+    """A broadcast of the bits of all window hashes: at most 2 ** MAP_BITS rows come to the driver, whatever the benchmark's size."""
+    bits = items.select(F.shiftrightunsigned("h", 64 - MAP_BITS).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(dtype=np.int64)
+    have = np.zeros(1 << MAP_BITS, np.uint8)
+    have[bits] = 1
+    return items.sparkSession.sparkContext.broadcast(np.packbits(have, bitorder="little"))
+
+
+def _agreement(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Per ``keys`` the share of slot fillings (asked to slots) in line with the most frequent one of the same value."""
+    fills = pairs.select(*keys, F.explode(F.arrays_zip("asked", "slots")).alias("s")).groupBy(*keys, F.col("s.asked").alias("asked"), F.col("s.slots").alias("given")).agg(F.count("*").alias("times"))
+    best = fills.groupBy(*keys, "asked").agg(F.max("times").alias("top"), F.sum("times").alias("all"))
+    return best.groupBy(*keys).agg((F.sum("top") / F.sum("all")).alias("slot_agreement"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, percent: int = 80, literal: int = 2, consistent: int = 80) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains, perhaps with other slot values.
 
@@ -159,12 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, perce
     marks = items.select("item_id", "at", "h").distinct().groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"), F.sum(F.xxhash64("at", "h").cast("decimal(38,0)")).alias("mark"))
     sizes = scratch.keep(marks.groupBy("n_windows", "mark").agg(F.min("item_id").alias("item_id")).select("item_id", "n_windows"), "sizes")
     items = items.join(sizes, "item_id")
-    # which bits occur: at most 2 ** MAP_BITS rows come to the driver, whatever the benchmark's size
-    bits = items.select(F.shiftrightunsigned("h", 64 - MAP_BITS).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(dtype=np.int64)
-    have = np.zeros(1 << MAP_BITS, np.uint8)
-    have[bits] = 1
-    bitmap = spark.sparkContext.broadcast(np.packbits(have, bitorder="little"))
-
+    bitmap = _bitmap(items)
     seen = scratch.keep(windows(texts, words, literal, bitmap).withColumnRenamed("id", "doc_id"), "seen")
     by_doc = seen.select("doc_id", "h").distinct()
     found = by_doc.join(items.select("item_id", "at", "h", "n_windows").distinct(), "h").groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("at").alias("n_found"))
@@ -173,18 +183,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, perce
     # slot values of the item against those of the document, window by window
     here = seen.where("size(slots) > 0").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     pairs = here.join(items.where("size(slots) > 0").select("item_id", "h", F.col("slots").alias("asked")).distinct(), "h").join(found.select("doc_id", "item_id"), ["doc_id", "item_id"])
-    fills = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip("asked", "slots")).alias("s")).groupBy("doc_id", "item_id", F.col("s.asked").alias("asked"), F.col("s.slots").alias("given")).agg(F.count("*").alias("times"))
-    best = fills.groupBy("doc_id", "item_id", "asked").agg(F.max("times").alias("top"), F.sum("times").alias("all"))
-    agree = best.groupBy("doc_id", "item_id").agg((F.sum("top") / F.sum("all")).alias("slot_agreement"))
+    agree = _agreement(pairs, "doc_id", "item_id")
     out = found.join(agree, ["doc_id", "item_id"], "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0)))
     return out.where(F.col("slot_agreement") * 100 >= consistent).select("doc_id", "item_id", "n_windows", "n_found", "slot_agreement")
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, percent: int = 80, literal: int = 2, consistent: int = 80) -> DataFrame:
+    """Like ``contaminated``, and the slots of every occurrence of an item are also compared for themselves.
+
+    An occurrence is all windows at one distance between their places in the document and in the item.  An item is
+    found if ``percent`` per cent of its windows are in the document and the slots of all of them agree, or
+    those of one occurrence with as many windows.  ``slot_agreement`` is the best of these.
+    """
+    spark = with_workers(docs.sparkSession)
+    scratch = Scratch(spark, "leaks")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
+    asked = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), "text")
+    items = windows(asked, words, literal).unionByName(windows(asked, words, literal, inserted=True)).distinct()
+    items = scratch.keep(items.select(F.col("id").alias("item_id"), "at", "h", F.col("slots").alias("asked")), "items")
+    # items of equal windows are one
+    marks = items.select("item_id", "at", "h").distinct().groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"), F.sum(F.xxhash64("at", "h").cast("decimal(38,0)")).alias("mark"))
+    sizes = scratch.keep(marks.groupBy("n_windows", "mark").agg(F.min("item_id").alias("item_id")).select("item_id", "n_windows"), "sizes")
+    items = items.join(sizes.select("item_id"), "item_id")
+
+    seen = scratch.keep(windows(texts, words, literal, _bitmap(items)).withColumnRenamed("id", "doc_id").withColumnRenamed("at", "doc_at"), "seen")
+    hits = seen.select("doc_id", "h").distinct().join(items.select("item_id", "at", "h").distinct(), "h")
+    counts = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_found")).join(sizes, "item_id")
+    found = scratch.keep(counts.where(f"n_found * 100 >= n_windows * {percent}"), "found")
+    here = seen.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = here.join(items, "h").join(found.select("doc_id", "item_id", "n_windows"), ["doc_id", "item_id"])
+    pairs = scratch.keep(pairs.select("doc_id", "item_id", "n_windows", "doc_at", "at", (F.col("doc_at") - F.col("at")).alias("shift"), "asked", "slots"), "pairs")
+
+    pooled = _agreement(pairs.select("doc_id", "item_id", "doc_at", "asked", "slots").distinct(), "doc_id", "item_id")
+    places = pairs.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("at").alias("n"), F.first("n_windows").alias("n_windows")).where(f"n * 100 >= n_windows * {percent}").select("doc_id", "item_id", "shift")
+    alone = _agreement(pairs.join(places, ["doc_id", "item_id", "shift"]), "doc_id", "item_id", "shift").drop("shift")
+    best = pooled.unionByName(alone).groupBy("doc_id", "item_id").agg(F.max("slot_agreement").alias("slot_agreement"))
+    out = found.join(best, ["doc_id", "item_id"], "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0)))
+    return out.where(F.col("slot_agreement") * 100 >= consistent).select("doc_id", "item_id", "n_windows", "n_found", "slot_agreement")
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; rows with a null doc_id stay."""
-    return docs.join(contaminated(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(leaks(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items: template windows of five words, 80 per cent of an item."""
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
