@@ -129,3 +129,24 @@ def test_every_occurrence_is_judged_alone(spark):
     got = leaked(spark, docs, items)
     assert set(got) == {(1, 7), (2, 7), (3, 8)}
     assert all(r.slot_agreement == 1 for r in got.values())
+
+
+def test_passages_other_case_and_short_items(spark):
+    long = " ".join(f"word{i} on{i} the way" for i in range(15))
+    parted = long.split()[7:47]
+    docs = [(1, "so " + " ".join(parted) + " end"), (2, ITEM.lower()), (3, ITEM.upper().replace("9", "140").replace("12", "5")), (4, "It is Too short, here!"), (5, "a 1 2 3 4 5 6 7 8 9"), (6, "1 2 3 4 5 6 7 9 short here too -- ..."), (7, " ".join(long.split()[:12])), (8, "The train. Leaves in 4 days")]
+    items = [(1, long), (2, ITEM), (3, "too short here"), (4, "1 2 3 4 5 6 7 8"), (5, "-- ..."), (6, ""), (7, None)]
+    got = leaked(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 3), (5, 4)}
+    assert got[4, 3].n_windows == 0 and got[1, 1].n_found < 0.8 * got[1, 1].n_windows
+
+
+def test_nothing_found_before_is_lost(spark):
+    import random
+
+    rng = random.Random(4)
+    vocab = ["the", "a", "train", "leaves", "Éva", "Anna", "Bob", "3", "4.5", "km", "with", "stone.", "bridge,", "--", "10%"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(3, 30)))) for i in range(12)]
+    docs = [(d, " ".join(rng.choice(vocab) for _ in range(20)) + " " + rng.choice(items)[1].replace("Anna", rng.choice(["Carl", "Anna"])).replace("3", rng.choice("37"))) for d in range(60)]
+    before = {x[:2] for x in run(spark, docs, items)}
+    assert before and before <= set(leaked(spark, docs, items))

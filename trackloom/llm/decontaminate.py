@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
@@ -138,6 +138,59 @@ def windows(texts: DataFrame, words: int, literal: int, bitmap=None, inserted: b
     return texts.mapInArrow(run, "id long, at long, h long, slots array<long>")
 
 
+#: Kinds of windows in ``features``; from VERBATIM on the kind tells how many words the run has.
+TYPED, FOLDED, VERBATIM = 0, 1, 2
+_KIND = np.uint64(0x9E6C63D0876A9A47)
+
+
+def features(texts: DataFrame, words: int, literal: int, runs: list[int], bitmap=None, inserted: bool = False, whole: bool = False) -> DataFrame:
+    """id, kind, at, h, slots: windows of three kinds, all to be joined by hash.
+
+    TYPED are those of ``windows``; in FOLDED ones names are literals without case, only numbers and units are
+    slots; VERBATIM + k are all runs of k words without case or outer punctuation, for every k of ``runs``.
+    ``whole``: of ``runs`` only the longest a row has words for, as long as the row if it is shorter than all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blank = T.mix(np.zeros(1, np.uint64))[0]  # hash of an empty word
+        for batch in batches:
+            ids = batch.column(0)
+            for i, j, data, off in T.pieces(*T.column(batch.column(1))):
+                shape, value, slot, first = templates(data, off, inserted)
+                name = slot & (shape == NAME)
+                row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                parts = [(TYPED, slot, *_windows(shape, slot, first, words, literal))]
+                if not inserted:  # neither of the others depends on where a sentence starts
+                    folded = slot & ~name
+                    parts.append((FOLDED, folded, *_windows(np.where(name, value, shape), folded, first, words, literal)))
+                    size = np.diff(first)
+                    for k in runs:
+                        g = T.grams(value, k)
+                        solid = np.concatenate(([0], np.cumsum(value != blank)))
+                        ok = (row[: len(g)] == row[k - 1 :]) & (solid[k:] > solid[:-k]) if len(g) else np.zeros(0, bool)
+                        if whole and len(g):
+                            ok &= (size[row[: len(g)]] == k) | ((size[row[: len(g)]] > k) & (k == max(runs)))
+                        at = np.flatnonzero(ok)
+                        parts.append((VERBATIM + k, None, g[at], at, row[at]))
+                for kind, is_slot, h, at, of in parts:
+                    if kind != TYPED:
+                        h = T.mix(h + np.uint64(kind) * _KIND)
+                    if bitmap is not None and len(h):
+                        bit = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                        hit = (bitmap.value[bit >> 3] >> (bit & 7)) & 1 == 1
+                        h, at, of = h[hit], at[hit], of[hit]
+                    if is_slot is None or not len(at):
+                        values, ends = np.empty(0, np.int64), np.zeros(len(at) + 1, np.int32)
+                    else:
+                        held = at[:, None] + np.arange(words)
+                        values = T.signed(value)[held[is_slot[held]]]
+                        ends = np.concatenate(([0], np.cumsum(is_slot[held].sum(1)))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(of)), pa.array(np.full(len(at), kind, np.int32)), pa.array(at - first[of]), pa.array(T.signed(h)), lists], ["id", "kind", "at", "h", "slots"])
+
+    return texts.mapInArrow(run, "id long, kind int, at long, h long, slots array<long>")
+
+
 def _bitmap(items: DataFrame):
     """A broadcast of the bits of all window hashes: at most 2 ** MAP_BITS rows come to the driver, whatever the benchmark's size."""
     bits = items.select(F.shiftrightunsigned("h", 64 - MAP_BITS).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(dtype=np.int64)
@@ -188,38 +241,68 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, perce
     return out.where(F.col("slot_agreement") * 100 >= consistent).select("doc_id", "item_id", "n_windows", "n_found", "slot_agreement")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, percent: int = 80, literal: int = 2, consistent: int = 80) -> DataFrame:
-    """Like ``contaminated``, and the slots of every occurrence of an item are also compared for themselves.
+def leaks(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, percent: int = 80, literal: int = 2, consistent: int = 80, run: int = 13) -> DataFrame:
+    """Like ``contaminated``, but finds occurrences and parts of items too.
 
     An occurrence is all windows at one distance between their places in the document and in the item.  An item is
-    found if ``percent`` per cent of its windows are in the document and the slots of all of them agree, or
-    those of one occurrence with as many windows.  ``slot_agreement`` is the best of these.
+    found in a document if one of these holds for its typed or its folded windows (see ``features``):
+
+    - ``percent`` per cent of its windows are in the document, and the slots of all of them agree,
+    - one occurrence has as many windows, and its slots agree,
+    - consecutive windows of one occurrence hold ``run`` words or more, and their slots agree,
+
+    or if ``run`` consecutive words of it (all, if it has fewer) are in the document, without regard to case and
+    outer punctuation.  ``n_windows`` and ``n_found`` count typed windows (0 for an item without any);
+    ``slot_agreement`` is the best of these, 1 for words found verbatim.
     """
     spark = with_workers(docs.sparkSession)
     scratch = Scratch(spark, "leaks")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
     asked = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), "text")
-    items = windows(asked, words, literal).unionByName(windows(asked, words, literal, inserted=True)).distinct()
-    items = scratch.keep(items.select(F.col("id").alias("item_id"), "at", "h", F.col("slots").alias("asked")), "items")
-    # items of equal windows are one
-    marks = items.select("item_id", "at", "h").distinct().groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"), F.sum(F.xxhash64("at", "h").cast("decimal(38,0)")).alias("mark"))
-    sizes = scratch.keep(marks.groupBy("n_windows", "mark").agg(F.min("item_id").alias("item_id")).select("item_id", "n_windows"), "sizes")
-    items = items.join(sizes.select("item_id"), "item_id")
-
-    seen = scratch.keep(windows(texts, words, literal, _bitmap(items)).withColumnRenamed("id", "doc_id").withColumnRenamed("at", "doc_at"), "seen")
-    hits = seen.select("doc_id", "h").distinct().join(items.select("item_id", "at", "h").distinct(), "h")
-    counts = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_found")).join(sizes, "item_id")
-    found = scratch.keep(counts.where(f"n_found * 100 >= n_windows * {percent}"), "found")
-    here = seen.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    pairs = here.join(items, "h").join(found.select("doc_id", "item_id", "n_windows"), ["doc_id", "item_id"])
-    pairs = scratch.keep(pairs.select("doc_id", "item_id", "n_windows", "doc_at", "at", (F.col("doc_at") - F.col("at")).alias("shift"), "asked", "slots"), "pairs")
-
-    pooled = _agreement(pairs.select("doc_id", "item_id", "doc_at", "asked", "slots").distinct(), "doc_id", "item_id")
-    places = pairs.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("at").alias("n"), F.first("n_windows").alias("n_windows")).where(f"n * 100 >= n_windows * {percent}").select("doc_id", "item_id", "shift")
-    alone = _agreement(pairs.join(places, ["doc_id", "item_id", "shift"]), "doc_id", "item_id", "shift").drop("shift")
-    best = pooled.unionByName(alone).groupBy("doc_id", "item_id").agg(F.max("slot_agreement").alias("slot_agreement"))
-    out = found.join(best, ["doc_id", "item_id"], "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0)))
-    return out.where(F.col("slot_agreement") * 100 >= consistent).select("doc_id", "item_id", "n_windows", "n_found", "slot_agreement")
+    every = list(range(1, run + 1))
+    items = features(asked, words, literal, every, whole=True).unionByName(features(asked, words, literal, [], inserted=True)).distinct()
+    items = scratch.keep(items.select(F.col("id").alias("item_id"), "kind", "at", "h", F.col("slots").alias("asked")), "items")
+    # items of equal windows and values are one
+    marks = items.groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("kind", "at", "h", "asked").cast("decimal(38,0)")).alias("mark"))
+    known = scratch.keep(marks.groupBy("n", "mark").agg(F.min("item_id").alias("item_id")).select("item_id"), "known")
+    items = items.join(known, "item_id")
+    places = items.select("item_id", "kind", "at").distinct()
+    sizes = scratch.keep(places.groupBy("item_id").agg(F.count(F.when(F.col("kind") == TYPED, 1)).alias("typed"), F.count(F.when(F.col("kind") == FOLDED, 1)).alias("folded")), "sizes")
+    runs = sorted(r.kind - VERBATIM for r in items.where(f"kind > {VERBATIM}").select("kind").distinct().collect())
+
+    seen = features(texts, words, literal, runs, _bitmap(items)).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "h", "slots")
+    seen = scratch.keep(seen, "seen")
+    hits = seen.select("doc_id", "h").distinct().join(items.select("item_id", "kind", "at", "h").distinct(), "h").select("doc_id", "item_id", "kind", "at").distinct()
+    counts = hits.groupBy("doc_id", "item_id").agg(
+        F.count(F.when(F.col("kind") == TYPED, 1)).alias("n_typed"), F.count(F.when(F.col("kind") == FOLDED, 1)).alias("n_folded"), F.max(F.col("kind") > VERBATIM).alias("verbatim")
+    )
+    span = max(run - words + 1, 1)  # windows in a run
+    enough = " OR ".join(f"(n_{x} > 0 AND (n_{x} * 100 >= {x} * {percent} OR n_{x} >= {span}))" for x in ("typed", "folded"))
+    found = scratch.keep(counts.join(sizes, "item_id").where(f"verbatim OR {enough}"), "found")
+
+    # slot values of the item against those of the document; what is found verbatim needs no comparison
+    open_ = found.where("NOT verbatim").select("doc_id", "item_id", "typed", "folded", "n_typed", "n_folded")
+    here = seen.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = here.join(items.where(f"kind < {VERBATIM}"), "h").join(open_, ["doc_id", "item_id"])
+    size, n_found = (F.when(F.col("kind") == TYPED, F.col(a)).otherwise(F.col(b)) for a, b in (("typed", "folded"), ("n_typed", "n_folded")))
+    pairs = pairs.select("doc_id", "item_id", "kind", "doc_at", "at", (F.col("doc_at") - F.col("at")).alias("shift"), "asked", "slots", size.alias("size"), n_found.alias("n_found")).distinct()
+    shift = Window.partitionBy("doc_id", "item_id", "kind", "shift")
+    pairs = pairs.withColumn("n", F.count("*").over(shift)).withColumn("piece", F.col("at") - F.row_number().over(shift.orderBy("at")))
+    pairs = scratch.keep(pairs.withColumn("length", F.count("*").over(Window.partitionBy("doc_id", "item_id", "kind", "shift", "piece"))), "pairs")
+
+    def agreeing(rows: DataFrame, *keys: str) -> DataFrame:
+        keys = ("doc_id", "item_id", "kind", *keys)
+        # a group without slots agrees with itself
+        shares = rows.select(*keys).distinct().join(_agreement(rows, *keys), list(keys), "left")
+        return shares.select("doc_id", "item_id", F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"))
+
+    pooled = agreeing(pairs.where(f"n_found * 100 >= size * {percent}").select("doc_id", "item_id", "kind", "doc_at", "asked", "slots").distinct())
+    alone = agreeing(pairs.where(f"n * 100 >= size * {percent}"), "shift")
+    parts = agreeing(pairs.where(f"length >= {span}"), "shift", "piece")
+    sure = found.where("verbatim").select("doc_id", "item_id", F.lit(1.0).alias("slot_agreement"))
+    best = pooled.unionByName(alone).unionByName(parts).unionByName(sure).groupBy("doc_id", "item_id").agg(F.max("slot_agreement").alias("slot_agreement"))
+    out = found.join(best.where(F.col("slot_agreement") * 100 >= consistent), ["doc_id", "item_id"])
+    return out.select("doc_id", "item_id", F.col("typed").alias("n_windows"), F.col("n_typed").alias("n_found"), "slot_agreement")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -228,5 +311,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
-    """All documents against all benchmark items: template windows of five words, 80 per cent of an item."""
+    """All documents against all benchmark items: template windows of five words, 80 per cent of an item or 13 words on end."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
