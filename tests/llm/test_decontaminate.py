@@ -150,3 +150,16 @@ def test_nothing_found_before_is_lost(spark):
     docs = [(d, " ".join(rng.choice(vocab) for _ in range(20)) + " " + rng.choice(items)[1].replace("Anna", rng.choice(["Carl", "Anna"])).replace("3", rng.choice("37"))) for d in range(60)]
     before = {x[:2] for x in run(spark, docs, items)}
     assert before and before <= set(leaked(spark, docs, items))
+
+
+def test_equal_items_are_all_reported(spark):
+    other = ITEM.replace("Paris", "Rome").replace("12", "15")
+    got = leaked(spark, [(1, "so " + ITEM), (2, "so " + other)], [(3, ITEM), (5, other), (7, ITEM), (9, "short one"), (8, "Short one!")])
+    assert set(got) == {(d, i) for d in (1, 2) for i in (3, 5, 7)}
+    assert set(leaked(spark, [(4, "a short one")], [(9, "short one"), (8, "Short one!")])) == {(4, 8), (4, 9)}
+
+
+def test_leaks_with_slots_filled_unlike_stay(spark):
+    item = "if Anna has 3 red apples and Bert has 4 red apples then Anna and Bert share 7 red apples while Anna keeps 3 red apples for home"
+    bad = "if Carl has 5 red apples and Dora has 6 red apples then Emil and Frau share 8 red apples while Gina keeps 9 red apples for home"
+    assert not leaked(spark, [(2, "so " + bad)], [(7, item)], consistent=90)

@@ -140,7 +140,7 @@ def windows(texts: DataFrame, words: int, literal: int, bitmap=None, inserted: b
 
 #: Kinds of windows in ``features``; from VERBATIM on the kind tells how many words the run has.
 TYPED, FOLDED, VERBATIM = 0, 1, 2
-_KIND = np.uint64(0x9E6C63D0876A9A47)
+_KIND = 0x9E6C63D0876A9A47
 
 
 def features(texts: DataFrame, words: int, literal: int, runs: list[int], bitmap=None, inserted: bool = False, whole: bool = False) -> DataFrame:
@@ -174,7 +174,7 @@ def features(texts: DataFrame, words: int, literal: int, runs: list[int], bitmap
                         parts.append((VERBATIM + k, None, g[at], at, row[at]))
                 for kind, is_slot, h, at, of in parts:
                     if kind != TYPED:
-                        h = T.mix(h + np.uint64(kind) * _KIND)
+                        h = T.mix(h + np.uint64(kind * _KIND % 2**64))
                     if bitmap is not None and len(h):
                         bit = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
                         hit = (bitmap.value[bit >> 3] >> (bit & 7)) & 1 == 1
@@ -253,7 +253,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, percent: int
 
     or if ``run`` consecutive words of it (all, if it has fewer) are in the document, without regard to case and
     outer punctuation.  ``n_windows`` and ``n_found`` count typed windows (0 for an item without any);
-    ``slot_agreement`` is the best of these, 1 for words found verbatim.
+    ``slot_agreement`` is the best of these, 1 for words found verbatim.  Every item that is found is reported, equal
+    ones too.
     """
     spark = with_workers(docs.sparkSession)
     scratch = Scratch(spark, "leaks")
@@ -262,10 +263,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, percent: int
     every = list(range(1, run + 1))
     items = features(asked, words, literal, every, whole=True).unionByName(features(asked, words, literal, [], inserted=True)).distinct()
     items = scratch.keep(items.select(F.col("id").alias("item_id"), "kind", "at", "h", F.col("slots").alias("asked")), "items")
-    # items of equal windows and values are one
+    # items of equal windows and values are compared once
     marks = items.groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("kind", "at", "h", "asked").cast("decimal(38,0)")).alias("mark"))
-    known = scratch.keep(marks.groupBy("n", "mark").agg(F.min("item_id").alias("item_id")).select("item_id"), "known")
-    items = items.join(known, "item_id")
+    members = scratch.keep(marks.select("item_id", F.min("item_id").over(Window.partitionBy("n", "mark")).alias("as_item")), "members")
+    items = items.join(members.where("item_id = as_item").select("item_id"), "item_id")
     places = items.select("item_id", "kind", "at").distinct()
     sizes = scratch.keep(places.groupBy("item_id").agg(F.count(F.when(F.col("kind") == TYPED, 1)).alias("typed"), F.count(F.when(F.col("kind") == FOLDED, 1)).alias("folded")), "sizes")
     runs = sorted(r.kind - VERBATIM for r in items.where(f"kind > {VERBATIM}").select("kind").distinct().collect())
@@ -302,6 +303,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, percent: int
     sure = found.where("verbatim").select("doc_id", "item_id", F.lit(1.0).alias("slot_agreement"))
     best = pooled.unionByName(alone).unionByName(parts).unionByName(sure).groupBy("doc_id", "item_id").agg(F.max("slot_agreement").alias("slot_agreement"))
     out = found.join(best.where(F.col("slot_agreement") * 100 >= consistent), ["doc_id", "item_id"])
+    out = out.withColumnRenamed("item_id", "as_item").join(members, "as_item")
     return out.select("doc_id", "item_id", F.col("typed").alias("n_windows"), F.col("n_typed").alias("n_found"), "slot_agreement")
 
 
