@@ -82,3 +82,19 @@ def test_prior_and_risk_on_a_mixture():
     assert abs(prior - 0.7) < 0.06
     w, b = fit_nnpu(p, u, prior)
     assert (one_hot(rng.normal(1.5, 0.7, 2000)) @ w + b > 0).mean() > 0.93 and (one_hot(rng.normal(-1.5, 0.7, 2000)) @ w + b < 0).mean() > 0.93
+
+
+def test_training_goes_on_beyond_200_steps():
+    from trackloom.llm.toxicity import Sparse, fit
+
+    rng = np.random.default_rng(1)
+    on = rng.random((600, 80)) < 0.1
+    y = (on[:, :10].sum(1) + rng.random(600) > 1.5).astype(float)
+    x = Sparse(*np.nonzero(on), 600, 80)
+
+    def loss(**how):
+        w, v, b = fit(x, np.empty((600, 0)), y, np.ones(600), **how)
+        z = x.times(w) + b
+        return np.mean(np.logaddexp(0, z) - y * z) + 1e-4 * (w @ w)
+
+    assert loss() < loss(steps=200)
