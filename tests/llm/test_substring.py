@@ -50,6 +50,31 @@ def test_odd_rows(spark):
     assert run(spark, [], 10) == []
 
 
+def test_words_with_the_structure_of_a_polynomial_hash(spark):
+    # a Thue-Morse word and its complement are equal under any polynomial modulo 2 ** 64 with an odd multiplier
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"t{i}" for i in range(40))
+    rows = [(1, f"{word} {' '.join(f't{i}' for i in range(11))}"), (2, f"{other} {' '.join(f't{i}' for i in range(11))}"), (3, word), (4, f"x {tail}"), (5, f"y {tail}")]
+    assert run(spark, rows, 12) == expected(rows, 12)
+    # the same with words for letters
+    rows = [(1, " ".join(word[:256])), (2, " ".join(other[:256])), (3, " ".join(word))]
+    assert run(spark, rows, 200) == expected(rows, 200)
+
+
+@pytest.mark.parametrize("shard_words", [60, 10**6])
+def test_a_short_passage_in_very_many_contexts(spark, shard_words):
+    # 11 words that all documents share give windows of 12 with one smallest hash and no equal partner
+    rng = random.Random(4)
+    shared = " ".join(f"s{i}" for i in range(11))
+    rows = [(d, f"{' '.join(f'a{rng.randrange(40)}' for _ in range(14))} {shared} {' '.join(f'b{rng.randrange(3)}' for _ in range(9))}") for d in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[:4] for r in substring_dedup(df, window=12, shard_words=shard_words).collect())
+    assert got == expected(rows, 12) and 0 < sum(r[2] > 0 for r in got)
+
+
 def test_kept_text(spark):
     df = spark.createDataFrame([(1, "a b c x\ny"), (2, "z a b c"), (3, "n")], "doc_id long, text string")
     assert {r.doc_id: r.kept_text for r in substring_dedup(df, window=3).collect()} == {1: "x y", 2: "z", 3: None}

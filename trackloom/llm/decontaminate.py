@@ -152,7 +152,6 @@ def features(texts: DataFrame, words: int, literal: int, runs: list[int], bitmap
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blank = T.mix(np.zeros(1, np.uint64))[0]  # hash of an empty word
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, off in T.pieces(*T.column(batch.column(1))):
@@ -166,7 +165,7 @@ def features(texts: DataFrame, words: int, literal: int, runs: list[int], bitmap
                     size = np.diff(first)
                     for k in runs:
                         g = T.grams(value, k)
-                        solid = np.concatenate(([0], np.cumsum(value != blank)))
+                        solid = np.concatenate(([0], np.cumsum(value != T.EMPTY)))
                         ok = (row[: len(g)] == row[k - 1 :]) & (solid[k:] > solid[:-k]) if len(g) else np.zeros(0, bool)
                         if whole and len(g):
                             ok &= (size[row[: len(g)]] == k) | ((size[row[: len(g)]] > k) & (k == max(runs)))

@@ -6,6 +6,10 @@ segment.  Only segments whose hash occurs more than once go on; equal segments t
 their number.  Shards are dealt by that hash, so a shard holds all windows equal to any of its own:
 its compressed FM-index, built over the shard's distinct segments, finds by backward search the
 intervals of at least ``window`` words that occur twice.  Work and traffic grow with the input.
+
+A smallest hash whose segments alone exceed a shard (a short passage in very many contexts) is split:
+its windows become segments of one window each, only those that occur twice go on, and they are dealt
+by their own hash, which equal windows share as well.
 """
 
 from __future__ import annotations
@@ -62,8 +66,7 @@ def segments(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
     many = np.diff(np.concatenate((starts, [len(valid)])))
     start = valid[starts]
     size = many + window - 1
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(T.mix(h + np.uint64(0x632BE59BD9B4E019)) * T._powers(T._STEP, len(h)), dtype=np.uint64)))
-    key = T.mix((total[start + size] - total[start]) * T._powers(T._BACK, len(h))[start] + size.astype(np.uint64))
+    key = T.run_hashes(h, start, size)
     return low[start], key, start, size, _places(g, low, valid, start, size - gram, window - gram + 1)
 
 
@@ -80,13 +83,6 @@ def _places(g: np.ndarray, low: np.ndarray, valid: np.ndarray, start: np.ndarray
     return np.bincount(owner[g[at[inner]] == low[start][owner]], minlength=len(start))
 
 
-def _sha(data: np.ndarray, ws: np.ndarray, we: np.ndarray, keep: np.ndarray | None = None) -> str:
-    raw = data.tobytes()
-    if keep is None:
-        return hashlib.sha256(b" ".join(raw[a:b] for a, b in zip(ws.tolist(), we.tolist(), strict=True))).hexdigest()
-    return hashlib.sha256(b" ".join(raw[a:b] for a, b in zip(ws[keep].tolist(), we[keep].tolist(), strict=True))).hexdigest()
-
-
 def _joined(data: np.ndarray, ws: np.ndarray, we: np.ndarray, first: np.ndarray) -> list[str]:
     """SHA-256 of every row's words joined by one space."""
     n = len(data)
@@ -124,8 +120,10 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
                 low, key, start, size, places = segments(h, first, window)
                 row = np.searchsorted(first, start, side="right") - 1
                 ends = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                items = pa.StructArray.from_arrays([pa.array(T.signed(low)), pa.array(T.signed(key)), pa.array((start - first[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(places.astype(np.int32))], fields=list(seg))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(first)), pa.array(_joined(data, ws, we, first)), pa.ListArray.from_arrays(pa.array(ends), items)], ["doc_id", "n_words", "sha", "segs"])
+                small = [pa.array(x.astype(np.int32)) for x in (start - first[row], size, places)]
+                items = pa.StructArray.from_arrays([pa.array(T.signed(low)), pa.array(T.signed(key)), *small], fields=list(seg))
+                columns = [ids.slice(i, j - i), pa.array(np.diff(first)), pa.array(_joined(data, ws, we, first)), pa.ListArray.from_arrays(pa.array(ends), items)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "sha", "segs"])
 
     return docs.mapInArrow(run, "doc_id long, n_words long, sha string, segs array<struct<m:long,k:long,start:int,len:int,places:int>>")
 
@@ -149,8 +147,35 @@ def _unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
 
+def _single_windows(wanted: DataFrame, window: int) -> DataFrame:
+    """doc_id, m, k (hash of the window's words), start: every window of the given segments on its own.
+
+    Rows of doc_id, packed, segs (m, start, len).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                ids, segs = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+                for i, j, part, poff in T.pieces(*_unpacked(batch.column(1))):
+                    ws, we, first = T.words(part, poff)
+                    h = T.word_hashes(part, ws, we)
+                    of = [(r, s) for r in range(j - i) for s in segs[i + r]]
+                    many = np.array([s["len"] - window + 1 for _, s in of])
+                    begin = np.repeat([s["start"] for _, s in of], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    row = np.repeat([r for r, _ in of], many)
+                    k = T.run_hashes(h, first[row] + begin, np.full(len(row), window))
+                    m = np.repeat(np.array([s["m"] for _, s in of], np.int64), many)
+                    columns = [pa.array(ids[i + row]), pa.array(m), pa.array(T.signed(k)), pa.array(begin.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "m", "k", "start"])
+
+    return wanted.mapInArrow(run, "doc_id long, m long, k long, start int")
+
+
 def _fetch(wanted: DataFrame) -> DataFrame:
-    """k, shard, mult, words of the wanted segments: rows of doc_id, packed, segs."""
+    """m, k, shard, mult, words of the wanted segments: rows of doc_id, packed, segs."""
+    names = ["m", "k", "shard", "mult", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -161,14 +186,15 @@ def _fetch(wanted: DataFrame) -> DataFrame:
                 for i, j, part, poff in T.pieces(data, off):
                     ws, we, first = T.words(part, poff)
                     h = T.signed(T.word_hashes(part, ws, we))
-                    rows = [(s["k"], s["shard"], s["mult"], first[r] + s["start"], s["len"]) for r, of in enumerate(segs[i:j]) for s in of]
+                    rows = [(s["m"], s["k"], s["shard"], s["mult"], first[r] + s["start"], s["len"]) for r, of in enumerate(segs[i:j]) for s in of]
                     if not rows:
                         continue
-                    k, shard, mult, start, size = zip(*rows, strict=True)
-                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]).astype(np.int32)), pa.array(np.concatenate([h[a : a + b] for a, b in zip(start, size, strict=True)])))
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(shard, pa.int32()), pa.array(mult, pa.int64()), lists], ["k", "shard", "mult", "words"])
+                    m, k, shard, mult, start, size = zip(*rows, strict=True)
+                    flat = np.concatenate([h[a : a + b] for a, b in zip(start, size, strict=True)])
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]).astype(np.int32)), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(k, pa.int64()), pa.array(shard, pa.int32()), pa.array(mult, pa.int64()), lists], names)
 
-    return wanted.mapInArrow(run, "k long, shard int, mult long, words array<long>")
+    return wanted.mapInArrow(run, "m long, k long, shard int, mult long, words array<long>")
 
 
 def _search(window: int):
@@ -178,15 +204,15 @@ def _search(window: int):
         off = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
         flat = words.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
         _, ids = np.unique(flat, return_inverse=True)
-        index = FMIndex(ids.astype(np.int64) + 1, np.diff(off).astype(np.int64), table.column("mult").to_numpy())
+        index = FMIndex(ids.astype(np.int32) + 1, np.diff(off).astype(np.int64), table.column("mult").to_numpy())
         seq, start, end = index.repeated(window)
         by = np.argsort(seq, kind="stable")
         seq, start, end = seq[by], start[by], end[by]
         has, at = np.unique(seq, return_index=True)
         spans = np.stack((start, end), 1).astype(np.int32).ravel()
         ends = np.concatenate((at * 2, [len(spans)])).astype(np.int32)
-        keys = table.column("k").to_numpy()[has]
-        return pa.table({"k": pa.array(keys, pa.int64()), "spans": pa.ListArray.from_arrays(pa.array(ends), pa.array(spans))})
+        m, k = (pa.array(table.column(c).to_numpy()[has], pa.int64()) for c in ("m", "k"))
+        return pa.table({"m": m, "k": k, "spans": pa.ListArray.from_arrays(pa.array(ends), pa.array(spans))})
 
     return run
 
@@ -226,14 +252,21 @@ def _removed(marked: DataFrame, with_text: bool) -> DataFrame:
     return marked.mapInArrow(run, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, *, window: int = 50, with_text: bool = True) -> DataFrame:
+def _distinct(runs: DataFrame) -> DataFrame:
+    """m, k, mult, doc_id, start, len: equal segments once, with their number and one place of theirs."""
+    place = F.min(F.struct("doc_id", "start")).alias("place")
+    return runs.groupBy("m", "k").agg(F.count("*").alias("mult"), place, F.max("len").alias("len")).select("m", "k", "mult", "place.doc_id", "place.start", "len")
+
+
+def substring_dedup(docs: DataFrame, *, window: int = 50, with_text: bool = True, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Remove every word that lies in a window of ``window`` words which also starts elsewhere.
 
     ``docs`` needs ``doc_id`` (unique, integer) and ``text``; more columns are ignored.  Returns
     ``doc_id, n_words, n_removed, kept_sha256`` and, with ``with_text``, ``kept_text``: the kept words
     joined by one space (null where nothing was removed).  All occurrences go, the first included.
     Null, empty and short texts have no window and lose nothing; equal texts of at least one window
-    lose all words.  An empty table gives an empty result.  Rows with a null doc_id take no part.
+    lose all words.  A text of any length is one row's work.  An empty table gives an empty result.  Rows
+    with a null doc_id take no part.
     """
     spark = with_workers(docs.sparkSession)
     scratch = Scratch(spark, "substring")
@@ -242,19 +275,33 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, with_text: bool = True
     runs = scanned.select("doc_id", F.inline("segs"))
     twice = runs.groupBy("m").agg(F.sum("places").alias("many")).where("many > 1").select("m")
     runs = scratch.keep(runs.drop("places").join(twice, "m"), "runs")
-    distinct = runs.groupBy("m", "k").agg(F.count("*").alias("mult"), F.min("doc_id").alias("doc_id"), F.expr("min_by(start, doc_id)").alias("start"), F.max("len").alias("len"))
-    distinct = scratch.keep(distinct, "distinct")
+    distinct = scratch.keep(_distinct(runs), "distinct")
+    # a smallest hash with very many contexts would be one shard's work: its windows are dealt one by one
+    loads = distinct.groupBy("m").agg(F.sum("len").alias("words")).where(F.col("words") > shard_words)
+    hot = scratch.keep(loads.select("m"), "hot")
+    if not hot.isEmpty():
+        segs = runs.join(hot, "m", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("m", "start", "len")).alias("segs"))
+        single = scratch.keep(_single_windows(_packed(docs).join(segs, "doc_id").select("doc_id", "packed", "segs"), window), "single")
+        again = single.groupBy("m", "k").agg(F.count("*").alias("many")).where("many > 1").select("m", "k")
+        single = scratch.keep(single.join(again, ["m", "k"]).select("doc_id", "m", "k", "start", F.lit(window).alias("len")), "windows")
+        runs = runs.join(hot, "m", "left_anti").select("doc_id", "m", "k", "start", "len").unionByName(single)
+        rest = distinct.join(hot, "m", "left_anti").withColumn("deal", F.col("m"))
+        distinct = rest.unionByName(_distinct(single).withColumn("deal", F.xxhash64("m", "k")))
+        distinct = scratch.keep(distinct, "dealt")
+    else:
+        distinct = distinct.withColumn("deal", F.col("m"))
     total = distinct.agg(F.sum("len")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
-    spread = distinct.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)).cast("int"))
-    places = spread.groupBy("doc_id").agg(F.collect_list(F.struct("k", "shard", "mult", "start", "len")).alias("segs"))
+    shards = max(1, -(-total // shard_words))
+    spread = distinct.withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)).cast("int"))
+    places = spread.groupBy("doc_id").agg(F.collect_list(F.struct("m", "k", "shard", "mult", "start", "len")).alias("segs"))
     wanted = _packed(docs).join(places, "doc_id").select("doc_id", "packed", "segs")
-    spans = _fetch(wanted).groupBy("shard").applyInArrow(_search(window), "k long, spans array<int>")
+    spans = _fetch(wanted).groupBy("shard").applyInArrow(_search(window), "m long, k long, spans array<int>")
     spans = scratch.keep(spans, "spans")
-    marks = runs.join(spans, "k").groupBy("doc_id").agg(F.collect_list(F.struct("start", "spans")).alias("spans"))
+    marks = runs.join(spans, ["m", "k"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "spans")).alias("spans"))
     changed = _removed(_packed(docs).join(marks, "doc_id").select("doc_id", "packed", "spans"), with_text)
     out = scanned.select("doc_id", "n_words", "sha").join(changed, "doc_id", "left")
-    out = out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept_text")
+    removed = F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed")
+    out = out.select("doc_id", "n_words", removed, F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept_text")
     return out if with_text else out.drop("kept_text")
 
 
