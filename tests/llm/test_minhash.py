@@ -69,6 +69,47 @@ def test_a_large_group_of_variants(spark):
     assert run(spark, rows, words=3, percent=85) == expected(rows, 3, 85)
 
 
+@pytest.mark.parametrize("members", [15, 16, 17, 18])
+def test_pivots_with_few_and_with_many_members(spark, members):
+    # around the number of members from which pairs come from rare differences
+    rng = random.Random(members)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, members + 1):
+        t = list(base)
+        for i in rng.sample(range(0, 100, 5), rng.randint(1, 6)):
+            t[i] = f"y{i}" if rng.random() < 0.7 else f"x{d}"
+        rows.append((d, " ".join(t)))
+    assert run(spark, rows, words=3, percent=85) == expected(rows, 3, 85)
+
+
+@pytest.mark.parametrize("delegates", [1, 2, 64])
+def test_components_that_share_an_element(spark, monkeypatch, delegates):
+    # many members of several components under one pivot: the rounds find what all pairs would
+    monkeypatch.setattr("trackloom.llm.minhash.DELEGATES", delegates)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 120):
+        t = list(base)
+        for i in range(0, 90, 15):  # three groups, each with changes of its own away from the pivot
+            t[i] = f"g{d % 3}_{i}"
+        for i in rng.sample(range(90), rng.randint(0, 2)):
+            t[i] = f"x{d}_{i}"
+        rows.append((d, " ".join(t)))
+    want = expected(rows, 3, 85)
+    assert run(spark, rows, words=3, percent=85) == want and len({r[2] for r in want}) > 2
+
+
+def test_words_with_the_structure_of_a_polynomial_hash(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} p q r"), (2, f"{other} p q r"), (3, word), (4, other)]
+    assert run(spark, rows, words=3, percent=85) == expected(rows, 3, 85)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one two"), (8, "a b c d e"), (9, "x " * 30000), (10, "x " * 20000), (-3, "a b c d e")]
     assert run(spark, rows) == expected(rows, 5, 80)

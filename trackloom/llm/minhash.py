@@ -13,8 +13,9 @@ so that a pair at the threshold is missed with a probability of at most ``miss``
 Work per group.  Equal sets become one class before any banding.  Every bucket compares its
 members with its smallest one, the pivot (as many pairs as rows).  Links found there give
 components; only pivots whose members are still in several components get more pairs, see
-``_across``.  No candidate is dropped that could be a link, and every link is confirmed on the
-full sets.
+``Across``.  No candidate is dropped that could be a link, and every link is confirmed on the
+full sets: 64-bit hashes of shingles, which two sets of m elements share by chance with a probability
+of m^2 / 2^64, whatever their words (see ``tokens.word_hashes``).
 """
 
 from __future__ import annotations
@@ -98,7 +99,8 @@ def signatures(docs: DataFrame, width: int, lower: bool, bands: int, rows: int,
                 keys.append(T.signed(_band_keys(sketch(x, t), bands, rows)) if len(x) >= least else np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists], ["doc_id", "n", "k1", "k2", "bands"])
+            numbers = [pa.array(x, pa.int64()) for x in (n, k1, k2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, lists], ["doc_id", "n", "k1", "k2", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
@@ -112,17 +114,31 @@ def sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
                 batch = whole.slice(at, 256)
                 found = list(shingle_sets(batch.column(1), width, lower))
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(T.signed(np.concatenate(found))))], ["id", "set"])
+                flat = pa.array(T.signed(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "set"])
 
     return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, set array<long>")
 
 
-#: Members of a pivot up to which its pairs are listed as they are.
+#: Members of a pivot up to which its pairs are listed as they are; the pairs found are the same either way.
 FEW = 16
+#: Members of a component that stand for it in the first round of pairs under one element.
+DELEGATES = 64
 
 
-def _across(star: DataFrame, labels: DataFrame, buckets: DataFrame, stored: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b: pairs under a common pivot, in different components, that can be links.
+def _twins(df: DataFrame, percent: int, *on: str) -> DataFrame:
+    """Pairs of rows with equal ``on``, in different components, that their distances from the pivot allow."""
+    other = df.select(*on, *(F.col(k).alias(f"{k}2") for k in df.columns if k not in on))
+    near = F.abs(F.col("far") - F.col("far2")) * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
+    return df.join(other, list(on)).where("root < root2").where(near)
+
+
+def _pair() -> tuple:
+    return F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b")
+
+
+class Across:
+    """Pairs under a common pivot, in different components, that can be links.
 
     Let x and y be members of pivot c, and X and Y their symmetric differences from c, of sizes known
     from the first comparison.  A link means |x ^ y| <= B = (|x| + |y|) (1 - s) / (1 + s), and x ^ y = X ^ Y.
@@ -131,37 +147,56 @@ def _across(star: DataFrame, labels: DataFrame, buckets: DataFrame, stored: Data
     the first (|X| - |Y| + B) / 2 + 1 of X and the first (|Y| - |X| + B) / 2 + 1 of Y.  Edits of one
     text's own stand first there and are shared by nobody, so a large group of variants gives few pairs.
     Pivots with few members skip this and list the pairs that sizes and distances allow.
+
+    Two large components under one element would give the product of their sizes, though one link
+    makes them one.  So pairs come in rounds: in each, a component is stood for by its first members
+    under an element, 64 times as many as in the round before, and components are joined before the next.
+    The last round has them all, so no pair of different components is left out.
     """
-    sizes = buckets.select(F.col("id").alias("x"), "n").distinct()
-    of = star.select(F.col("a").alias("c"), F.col("b").alias("x"), (F.col("uni") - F.col("inter")).alias("far"))
-    of = of.join(labels.withColumnRenamed("id", "x"), "x", "left").join(sizes, "x").withColumn("root", F.coalesce("root", "x"))
-    mixed = of.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
-    mixed = scratch.keep(mixed.select("c", "many"), "mixed")  # read anew, so that the join below can split a large pivot
-    of = scratch.keep(of.join(mixed, "c"), "members")
-    limit = (F.col("n") + F.col("n2")) * (100 - percent)  # B times 100 + percent
-
-    def twin(df: DataFrame, *on: str) -> DataFrame:
-        other = df.select(*on, *(F.col(k).alias(f"{k}2") for k in df.columns if k not in on))
-        return df.join(other, list(on)).where("root < root2").where(F.abs(F.col("far") - F.col("far2")) * (100 + percent) <= limit)
-
-    pair = (F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b"))
-    few = twin(of.where(F.col("many") <= FEW).drop("many"), "c").select(*pair)
-
-    many = of.where(F.col("many") > FEW).drop("many")
-    own, pivots = stored.select(F.col("id").alias("x"), "set"), stored.select(F.col("id").alias("c"), F.col("set").alias("base"))
-    differ = F.concat(F.array_except("set", "base"), F.array_except("base", "set"))
-    parts = many.join(own, "x").join(pivots, "c").select("c", "x", "n", "root", "far", F.explode(differ).alias("e"))
-    parts = scratch.keep(parts, "parts")
-    shared = parts.groupBy("c", "e").agg(F.count("*").alias("df")).where("df > 1")
-    parts = parts.join(shared, ["c", "e"])
-    in_doc = Window.partitionBy("c", "x")
-    place = F.row_number().over(in_doc.orderBy("df", "e")) + F.col("far") - F.count("*").over(in_doc)
-    parts = parts.withColumn("place", place).where((F.col("place") - 1) * percent <= F.col("n") * (100 - percent)).drop("df")
-    near = twin(parts, "c", "e")
-    ahead = (F.col("far") - F.col("far2")) * (100 + percent)
-    near = near.where((2 * (F.col("place") - 1) * (100 + percent) <= ahead + limit) & (2 * (F.col("place2") - 1) * (100 + percent) <= limit - ahead))
-    rest = few.unionByName(near.select(*pair)).distinct()
-    return rest.join(star.select("a", "b"), ["a", "b"], "left_anti")
+
+    def __init__(self, star: DataFrame, labels: DataFrame, buckets: DataFrame, stored: DataFrame, percent: int, scratch: Scratch):
+        self.percent, self.scratch, self.done = percent, scratch, star.select("a", "b")
+        sizes = buckets.select(F.col("id").alias("x"), "n").distinct()
+        of = star.select(F.col("a").alias("c"), F.col("b").alias("x"), (F.col("uni") - F.col("inter")).alias("far")).join(sizes, "x")
+        of = self._rooted(of, labels)
+        mixed = of.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+        mixed = scratch.keep(mixed.select("c", "many"), "mixed")  # read anew, so that the join below can split a large pivot
+        of = scratch.keep(of.join(mixed, "c"), "members")
+        self.few = of.where(F.col("many") <= FEW).drop("many")
+
+        many = of.where(F.col("many") > FEW).drop("many", "root")
+        own, pivots = stored.select(F.col("id").alias("x"), "set"), stored.select(F.col("id").alias("c"), F.col("set").alias("base"))
+        differ = F.concat(F.array_except("set", "base"), F.array_except("base", "set"))
+        parts = many.join(own, "x").join(pivots, "c").select("c", "x", "n", "far", F.explode(differ).alias("e"))
+        parts = scratch.keep(parts, "differences")
+        shared = parts.groupBy("c", "e").agg(F.count("*").alias("df")).where("df > 1")
+        parts = parts.join(shared, ["c", "e"])
+        in_doc = Window.partitionBy("c", "x")
+        place = F.row_number().over(in_doc.orderBy("df", "e")) + F.col("far") - F.count("*").over(in_doc)
+        parts = parts.withColumn("place", place).where((F.col("place") - 1) * percent <= F.col("n") * (100 - percent)).drop("df")
+        self.parts = scratch.keep(parts, "parts")
+
+    @staticmethod
+    def _rooted(df: DataFrame, labels: DataFrame) -> DataFrame:
+        return df.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+
+    def pairs(self, labels: DataFrame, delegates: int, first: bool) -> tuple[DataFrame, bool]:
+        """New pairs (a, b), and whether some component has more members under an element than ``delegates``."""
+        percent = self.percent
+        rooted = self._rooted(self.parts, labels)
+        several = rooted.groupBy("c", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c", "e")
+        nth = F.row_number().over(Window.partitionBy("c", "e", "root").orderBy("x"))
+        open_ = self.scratch.keep(rooted.join(several, ["c", "e"]).withColumn("nth", nth), "open")
+        near = _twins(open_.where(F.col("nth") <= delegates), percent, "c", "e")
+        limit = (F.col("n") + F.col("n2")) * (100 - percent)  # B times 100 + percent
+        ahead = (F.col("far") - F.col("far2")) * (100 + percent)
+        places = (2 * (F.col("place") - 1) * (100 + percent) <= ahead + limit) & (2 * (F.col("place2") - 1) * (100 + percent) <= limit - ahead)
+        found = near.where(places).select(*_pair())
+        if first:
+            found = found.unionByName(_twins(self.few, percent, "c").select(*_pair()))
+        found = self.scratch.keep(found.distinct().join(self.done, ["a", "b"], "left_anti"), "pairs")
+        self.done = self.done.unionByName(found)
+        return found, not open_.where(F.col("nth") > delegates).isEmpty()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower: bool = True, rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -171,8 +206,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     ``doc_id, n_shingles, component_id, kept``: component_id is the smallest doc_id reachable over
     links, kept marks that document.  Null or empty text and text without words: an empty set, linked
     with nothing.  Fewer words than a shingle has: the whole sequence is the one shingle.  Equal
-    texts are linked whatever their length.  An empty table gives an empty result.  Rows with a null
-    doc_id take no part.
+    texts are linked whatever their length.  A similarity of exactly the bound is a link.  An empty table
+    gives an empty result.  Rows with a null doc_id take no part.
     """
     spark = with_workers(docs.sparkSession)
     scratch = Scratch(spark, "minhash")
@@ -198,8 +233,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
         left = stored.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
         right = stored.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
         both = pairs.join(left, "a").join(right, "b")
-        both = both.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("inter"))
-        return scratch.keep(both.select("a", "b", F.col("inter").cast("long").alias("inter"), (F.col("n_a") + F.col("n_b") - F.col("inter")).cast("long").alias("uni")), name)
+        inter = F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("inter")
+        both = both.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("total"), inter)
+        return scratch.keep(both.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("uni")), name)
 
     linked = lambda df: df.where(f"100 * inter >= {percent} * uni")
     first = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -207,12 +243,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     links = linked(star).select("a", "b")
     labels = connected_components(links, scratch)
 
-    rest = _across(star, labels, buckets, stored, percent, scratch)
-    more = verified(rest, "rest")
+    across = Across(star, labels, buckets, stored, percent, scratch)
+    size, more = DELEGATES, True
+    while more:
+        rest, more = across.pairs(labels, size, size == DELEGATES)
+        new = linked(verified(rest, "rest")).select("a", "b")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = connected_components(links, scratch)
+        size *= 64
     scratch.drop(stored)
-    new = linked(more)
-    if new.limit(1).count():
-        labels = connected_components(links.unionByName(new.select("a", "b")), scratch)
     scratch.drop(buckets)
 
     root = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("root"))
