@@ -36,17 +36,25 @@ class GraphIndex:
         dots = np.matmul(self.x[ids], q[:, :, None])[:, :, 0]
         return np.where(ids >= 0, np.maximum(self.sq[ids] + q_sq[:, None] - 2 * dots, 0), np.inf)
 
-    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and squared distances of the ``beam`` nearest found per row, nearest first (-1: none)."""
+    def _minus_product(self, q: np.ndarray, q_sq: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Inner products of every row's query with its ids, negated: a "distance" to rank by."""
+        return np.where(ids >= 0, -np.matmul(self.x[ids], q[:, :, None])[:, :, 0], np.inf)
+
+    def search(self, q: np.ndarray, beam: int, *, product: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and squared distances of the ``beam`` nearest found per row, nearest first (-1: none).
+
+        ``product``: nearest by inner product, which then is returned with a minus.
+        """
         n, rows = len(self.x), len(q)
         q = np.ascontiguousarray(q, np.float32)
         q_sq = np.einsum("ij,ij->i", q, q)
+        measure = self._minus_product if product else self._distance
         every = np.arange(rows)
         ids = np.full((rows, beam), -1, np.int32)
         dist = np.full((rows, beam), np.inf, np.float32)
         open_ = np.zeros((rows, beam), bool)
         ids[:, 0] = self.entry
-        dist[:, 0] = self._distance(q, q_sq, ids[:, :1])[:, 0]
+        dist[:, 0] = measure(q, q_sq, ids[:, :1])[:, 0]
         open_[:, 0] = True
         seen = np.zeros((rows, n + 1), bool)  # the last column stands for "no neighbour"
         seen[:, n] = True
@@ -70,7 +78,7 @@ class GraphIndex:
             near = np.sort(near, axis=1)
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
             seen[live[:, None], near] = True
-            d = self._distance(q[live], q_sq[live], near)
+            d = measure(q[live], q_sq[live], near)
             all_d = np.concatenate((dist[live], d), 1)
             keep = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
             all_i = np.concatenate((ids[live], near), 1)
@@ -132,14 +140,16 @@ class GraphIndex:
         ids = np.sort(ids, axis=1)
         ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
         room = (ids >= 0).sum(1) <= self.degree
-        packed = -np.sort(-ids, axis=1)[:, : self.degree]
-        self.links[to[room]] = packed[room]
+        packed_all = -np.sort(-ids, axis=1)
+        self.links[to[room]] = packed_all[room, : self.degree]
+        # points by how many candidates they have, so that all of them are compared in little memory
+        size = (ids >= 0).sum(1)
         over = np.flatnonzero(~room)
-        for at in range(0, len(over), 256):
-            o = over[at : at + 256]
-            cand = ids[o]
-            d = self._distance(self.x[to[o]], self.sq[to[o]], cand)
-            if cand.shape[1] > 4 * self.degree:  # pruning looks at the nearest first anyway
-                near = np.argpartition(d, 4 * self.degree - 1, axis=1)[:, : 4 * self.degree]
-                cand, d = np.take_along_axis(cand, near, 1), np.take_along_axis(d, near, 1)
-            self.links[to[o]] = self._prune(to[o], cand, d)
+        over = over[np.argsort(size[over], kind="stable")]
+        at = 0
+        while at < len(over):
+            many = max(1, min(256, (1 << 23) // int(size[over[min(at + 255, len(over) - 1)]]) ** 2))
+            o = over[at : at + many]
+            cand = packed_all[o][:, : size[o].max()]
+            self.links[to[o]] = self._prune(to[o], cand, self._distance(self.x[to[o]], self.sq[to[o]], cand))
+            at += many
