@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .shared import Scratch, with_workers
+from .shared import Scratch, smallest_by_hash, with_workers
 
 #: Trusted positives and unlabelled texts that training takes at most.
 POSITIVES, UNLABELLED = 8000, 12000
@@ -157,7 +157,8 @@ def _described(docs: DataFrame, keep: list[str]) -> DataFrame:
         for batch in batches:
             for i, j, data, off in T.pieces(*T.column(batch.column(0))):
                 x = stats(data, off)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_STATS).astype(np.int32)), pa.array(x.ravel()))
+                ends = np.arange(0, x.size + 1, N_STATS).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), lists], [*keep, "x"])
 
     rows = docs.select("text", *keep)
@@ -167,11 +168,14 @@ def _described(docs: DataFrame, keep: list[str]) -> DataFrame:
 def fitted(docs: DataFrame, trusted: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict | None:
     """The model from documents and the doc_ids of trusted positives; None with too few of either."""
     spark = with_workers(docs.sparkSession)
+    scratch = Scratch(spark, "quality")
     ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(ids, "doc_id", "left_semi").orderBy(*by_hash).limit(positives).withColumn("good", F.lit(1))
-    some = ids.distinct().orderBy(*by_hash).limit(unlabelled).withColumn("good", F.lit(0))
-    chosen = Scratch(spark, "quality").keep(good.unionByName(some), "sample")
+    good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(ids, "doc_id", "left_semi")
+    good = scratch.keep(good, "trusted")
+    good = smallest_by_hash(good, good.count(), positives).withColumn("good", F.lit(1))
+    # of repeated ids one is taken, after the bound on the hash
+    some = smallest_by_hash(ids, ids.count(), unlabelled).distinct().withColumn("good", F.lit(0))
+    chosen = scratch.keep(good.unionByName(some), "sample")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # positives + unlabelled rows at most
 
     def learn(table: pa.Table) -> pa.Table:
@@ -196,20 +200,26 @@ def scored(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
         for batch in batches:
             for i, j, data, off in T.pieces(*T.column(batch.column(0))):
                 z = design(stats(data, off), m["edges"]) @ m["w"] + m["b"]
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), pa.array(_sigmoid(z).astype(np.float64))], [*keep, "score"])
+                score = pa.array(_sigmoid(z).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), score], [*keep, "score"])
 
     rows = docs.select("text", *keep)
     return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]), "score double"]))
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, held_out: Column | None = None, cut: float = 0.3, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
+def quality(
+    docs: DataFrame, labels: DataFrame, *, held_out: Column | None = None, cut: float = 0.3,
+    positives: int = POSITIVES, unlabelled: int = UNLABELLED,
+) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= ``cut``, else 0) for every document.
 
     ``docs`` needs ``doc_id`` and ``text``, ``labels`` needs ``doc_id`` and ``quality``; more columns are ignored.
     Documents for which ``held_out`` holds take no part in training, neither their labels nor their texts.
     Trusted positives are the labels of quality 1; other labels and nulls are not used.  Null and empty
     texts have statistics of zero and are scored as such.  Rows with a null doc_id are scored and held
-    out of training.  An empty table gives an empty result.
+    out of training.  Rows that repeat a doc_id are each scored, and each learned from if the id is in a
+    sample.  A text of any length is scored whole; a score equal to ``cut`` counts as good.  An empty table
+    gives an empty result.
     """
     if held_out is None:
         held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

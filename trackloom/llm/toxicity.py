@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as T
 from .decontaminate import _EDGE
-from .shared import Scratch, with_workers
+from .shared import Scratch, smallest_by_hash, with_workers
 
 BITS = 20
 #: Labelled rows of each class of the last category that training takes at most.
@@ -126,7 +126,8 @@ def train(ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, labels: np.ndarra
     for y in labels.T.astype(float):
         if n < 2 * FOLDS or y.min() == y.max():  # nothing to tell apart: the prior for all
             p = float(np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3))
-            chain.append({"chosen": np.empty(0, np.int64), "w": np.empty(0), "v": np.zeros(extra.shape[1]), "b": float(np.log(p / (1 - p))), "threshold": 0.5})
+            nothing = {"chosen": np.empty(0, np.int64), "w": np.empty(0), "v": np.zeros(extra.shape[1])}
+            chain.append(nothing | {"b": float(np.log(p / (1 - p))), "threshold": 0.5})
             extra = np.column_stack((extra, np.zeros(n)))
             continue
         whole = Sparse(rows, cols, n, 1 << BITS)
@@ -157,11 +158,16 @@ def sampled(labels: DataFrame, categories: dict[str, Column], sample: int) -> Da
 
     Of several labels of one document the largest counts; rows with a null label take no part.
     """
-    rows = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), *(c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values()))).dropna()
-    rows = rows.groupBy("doc_id").agg(*(F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))))
-    last = f"y{len(categories) - 1}"
+    ys = [c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]
+    rows = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), *ys).dropna()
+    rows = rows.groupBy("doc_id").agg(*(F.max(f"y{i}").alias(f"y{i}") for i in range(len(ys))))
+    last = f"y{len(ys) - 1}"
     many = {r[0]: r[1] for r in rows.groupBy(last).count().collect()}  # two classes
-    parts = [rows.where(F.col(last) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("weight", F.lit(max(1.0, many.get(value, 0) / sample))) for value in (0, 1)]
+    parts = []
+    for value in (0, 1):
+        total = many.get(value, 0)
+        weight = F.lit(max(1.0, total / sample)).alias("weight")
+        parts.append(smallest_by_hash(rows.where(F.col(last) == value), total, sample).select("*", weight))
     return parts[0].unionByName(parts[1])
 
 
@@ -178,13 +184,17 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
             for i, j, data, off in T.pieces(*T.column(batch.column(1))):
                 pair = np.unique(np.stack(features(data, off)), axis=1) if len(data) else np.empty((2, 0), np.int64)
                 ends = np.searchsorted(pair[0], np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(batch.column(2 + k).slice(i, j - i) for k in range(many + 1)), pa.ListArray.from_arrays(pa.array(ends), pa.array(pair[1].astype(np.int32)))], ["doc_id", *ys, "weight", "cols"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(pair[1].astype(np.int32)))
+                rest = [batch.column(c).slice(i, j - i) for c in (0, *range(2, many + 3))]
+                yield pa.RecordBatch.from_arrays([*rest, lists], ["doc_id", *ys, "weight", "cols"])
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id").combine_chunks()
         cols = table.column("cols").combine_chunks()
         size = np.diff(np.frombuffer(cols.buffers()[1], np.int32)[cols.offset : cols.offset + len(cols) + 1])
-        chain = train(table.column("doc_id").to_numpy(), np.repeat(np.arange(len(size)), size), cols.flatten().to_numpy().astype(np.int64), np.column_stack([table.column(y).to_numpy() for y in ys]), table.column("weight").to_numpy())
+        row, col = np.repeat(np.arange(len(size)), size), cols.flatten().to_numpy().astype(np.int64)
+        truth = np.column_stack([table.column(y).to_numpy() for y in ys])
+        chain = train(table.column("doc_id").to_numpy(), row, col, truth, table.column("weight").to_numpy())
         return pa.table({"model": pa.array([pickle.dumps(chain)], pa.binary())})
 
     made = rows.select("doc_id", "text", *ys, "weight").mapInArrow(hashed, f"doc_id long, {', '.join(f'{y} int' for y in ys)}, weight double, cols array<int>")
@@ -235,7 +245,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] |
     ``docs`` needs ``doc_id`` and ``text``, ``labels`` needs ``doc_id`` and what ``categories`` (name to a boolean
     or 0/1 column, in the order of the chain) refer to; more columns are ignored.  Null and empty texts have
     no features and get the intercepts; without labels all get p = 0.001 and no decision.  Rows with a null
-    doc_id are scored too.  An empty table gives an empty result.
+    doc_id are scored too.  Rows that repeat a doc_id are each scored, and each learned from if the id is
+    in the sample.  A text of any length is scored whole; a probability equal to the threshold decides for
+    the category.  An empty table gives an empty result.
     """
     categories = categories or {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
