@@ -34,12 +34,20 @@ FROM w LEFT JOIN k USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
 OP9 = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS newest FROM p)
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(url, ''), '[\\x00-\\x20\\x7F]', '%20', 'g') AS url FROM pages),
+h AS (SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS newest FROM p),
+r AS (SELECT *, split_part(CASE WHEN strpos(url, '://') > 0 AND strpos(url, '://') + 2 < length(url) THEN substr(url, strpos(url, '://') + 3) ELSE url END, '#', 1) AS rest FROM h),
+s AS (SELECT *, split_part(rest, '/', 1) AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM r),
+k AS (
+  SELECT *, array_to_string(list_reverse(string_split(regexp_replace(lower(split_part(list_extract(string_split(host, '@'), -1), ':', 1)), '^www\\.', ''), '.')), ',')
+    || ')' || path AS url_key,
+  strftime(make_timestamp((1704067200 + page_id % 1000000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM s)
 SELECT page_id, payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
-  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
-FROM h
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to,
+  url_key, captured, CAST(row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS BIGINT) AS position
+FROM k
 """
 
 _MARKS = r"^(?:[ \t]{0,3}>)+"

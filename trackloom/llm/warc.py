@@ -1,29 +1,41 @@
 """WARC archives of web captures, and a merged index of their histories.
 
-Writing: Spark's text writer puts one record a row into gzip files (any file system, task commits
-as usual), with identical payloads stored once as a response and otherwise as revisits.
+Writing: a record is a gzip member of its own, so that it can be read alone from its offset.  Identical
+payloads are stored once as a response and otherwise as revisits.  Members are gathered to archives
+of about ``ARCHIVE_BYTES``; Spark's text writer puts one archive a file (any file system, task commits as
+usual).  It ends every file with a separator, a zero byte: the last byte of every archive, which is cut
+off before (an empty member is added where a record's member ends otherwise).
 Reading: every file is parsed by the Content-Length of its records, digests are taken anew from the
 payloads.  Index: every archive file gives a run sorted by URL key, timestamp and record; runs are
-cut at common range bounds, and each range is a k-way merge of its runs by a loser tree.
+cut at common range bounds, as many as keep a range at ``RANGE_ROWS``, and each range is a k-way merge
+of its runs by a loser tree.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, with_workers
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EOL = "\r\n"
-#: Records of one archive file at most.
-PER_FILE = 4000
+#: Bytes at which an archive file is closed; only a larger record makes a larger file.
+ARCHIVE_BYTES = 32 << 20
+#: Records of the index that one range of the merge is planned for.
+RANGE_ROWS = 200_000
+#: Records of a run whose keys are read at once.
+BLOCK = 1024
 _RECORD = "page_id long, url string, url_key string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, offset long, payload string"
 
 
@@ -47,8 +59,8 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     return both.select("page_id", "url", "html", "payload_bytes", base32_sha1(F.col("sha1")).alias("payload_digest"), refers.alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str, *, captured: Column | None = None) -> None:
-    """One WARC/1.1 record per row of ``plan_records`` in gzip files below ``path``."""
+def write_archives(records: DataFrame, path: str, *, captured: Column | None = None, size: int | None = None) -> None:
+    """One WARC/1.1 record per row of ``plan_records`` in archives of about ``size`` bytes below ``path``."""
     if captured is None:  # pages carry no time of capture: one second per page from a fixed day on
         captured = F.timestamp_seconds(F.lit(1704067200) + F.pmod("page_id", F.lit(1_000_000_000)))
     revisit = F.col("refers_to").isNotNull()
@@ -64,8 +76,31 @@ def write_archives(records: DataFrame, path: str, *, captured: Column | None = N
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {_PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_EOL * 2),
     )
-    out = records.select(F.concat(head, block).alias("value"))
-    out.write.option("lineSep", _EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    with_workers(records.sparkSession)
+    size = size or ARCHIVE_BYTES
+    empty = gzip.compress(b"", mtime=0)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def archive(members: list[bytes]) -> pa.RecordBatch:
+            if members[-1][-1]:  # only a member of 16 MB or more ends with another byte
+                members.append(empty)
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["archive"])
+
+        members, held = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                members.append(gzip.compress(record.as_py().encode() + b"\r\n\r\n", 6, mtime=0))
+                held += len(members[-1])
+                if held >= size:
+                    yield archive(members)
+                    members, held = [], 0
+        if members:
+            yield archive(members)
+
+    made = records.select(F.concat(head, block).alias("record")).mapInArrow(pack, "archive binary")
+    # the string's bytes are written as they are
+    out = made.select(F.col("archive").cast("string").alias("value")).write
+    out.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 class _Stream:
@@ -74,16 +109,15 @@ class _Stream:
     def __init__(self, raw: bytes):
         self.raw, self.at, self.buf, self.gone = memoryview(raw), 0, bytearray(), 0
         self.unpack = zlib.decompressobj(31)
+        self.members = [(0, 0)]  # where each begins, in unpacked and in packed bytes
 
     def more(self) -> bool:
-        if self.at >= len(self.raw) and not self.unpack.unconsumed_tail:
-            return False
         if self.unpack.eof:
-            rest = self.unpack.unused_data
-            self.at -= len(rest)
-            if self.at >= len(self.raw):
-                return False
+            self.at -= len(self.unpack.unused_data)
             self.unpack = zlib.decompressobj(31)
+            self.members.append((self.gone + len(self.buf), self.at))
+        if self.at >= len(self.raw):
+            return False
         chunk = self.raw[self.at : self.at + 65536]
         self.at += len(chunk)
         self.buf += self.unpack.decompress(chunk)
@@ -106,6 +140,13 @@ class _Stream:
         self.gone += n
         return out
 
+    def member_of(self, at: int) -> int:
+        """Where the member that holds unpacked byte ``at`` begins in the file."""
+        i = bisect_right(self.members, (at, len(self.raw)))
+        packed = self.members[i - 1][1]
+        del self.members[: i - 1]
+        return packed
+
 
 def url_key(url: str) -> str:
     """The host's labels in reverse order, then the path: captures of a site sort together."""
@@ -116,10 +157,10 @@ def url_key(url: str) -> str:
 
 
 def parse_archive(raw: bytes) -> Iterator[dict]:
-    """The records of one gzip archive."""
+    """The records of one gzip archive; ``offset`` is where the gzip member begins that a record begins in."""
     src = _Stream(raw)
     while True:
-        offset = src.gone
+        begin = src.gone
         head = src.until(b"\r\n\r\n")
         if head is None:
             if src.buf.strip():
@@ -134,7 +175,7 @@ def parse_archive(raw: bytes) -> Iterator[dict]:
             raise ValueError("a record isn't followed by two line ends")
         http, _, payload = block.partition(b"\r\n\r\n")
         number = lambda name: int(fields[name].rpartition(":")[2].rstrip(">"))
-        out = {"page_id": number("warc-record-id"), "url": fields["warc-target-uri"], "captured": fields["warc-date"], "record_type": fields["warc-type"], "offset": offset}
+        out = {"page_id": number("warc-record-id"), "url": fields["warc-target-uri"], "captured": fields["warc-date"], "record_type": fields["warc-type"], "offset": src.member_of(begin)}
         if out["record_type"] == "revisit":
             size = next(x for x in http.decode().split(_EOL) if x.lower().startswith("content-length:"))
             out |= {"payload": None, "payload_bytes": int(size.partition(":")[2]), "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:"), "refers_to": number("warc-refers-to")}
@@ -148,11 +189,12 @@ def parse_archive(raw: bytes) -> Iterator[dict]:
 def read_archives(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
     """All records of the gzip archives below ``path``; without ``payload`` that column is null."""
     names = [x.split(" ")[0] for x in _RECORD.split(", ")]
+    kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in _RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[dict]) -> pa.RecordBatch:
-            kinds = {"long": pa.int64(), "string": pa.string()}
-            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[x.split(" ")[1]]) for n, x in zip(names, _RECORD.split(", "), strict=True)], names)
+            columns = [pa.array([r[n] for r in rows], kind) for n, kind in zip(names, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             for file, raw in zip(batch.column(0), batch.column(1), strict=True):
@@ -167,7 +209,7 @@ def read_archives(spark: SparkSession, path: str, *, payload: bool = True) -> Da
                 if rows:
                     yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(run, _RECORD)
 
 
@@ -213,28 +255,41 @@ class LoserTree:
             self._play(i)
 
 
-def merge_index(records: DataFrame, run: str = "file", keys: tuple[str, ...] = ("url_key", "captured", "page_id")) -> DataFrame:
-    """All records in the global order of ``keys``, with ``position`` rising in that order.
+def merge_index(records: DataFrame, scratch: Scratch, run: str = "file", keys: tuple[str, ...] = ("url_key", "captured", "page_id"), rows: int | None = None) -> DataFrame:
+    """All records in the global order of ``keys``, with their ``position`` in it (from 0).
 
     The rows of one ``run`` (an archive file) are sorted among themselves first; each of the ranges
-    of keys then merges its runs.  A URL with very many captures is cut by time like any others.
+    of keys then merges its runs.  There are as many ranges as hold ``rows`` records each, and a URL with
+    very many captures is cut by time like any others, so a task's memory doesn't grow with the input.
     """
-    ranged = records.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(run, *keys)
     names = records.columns
+    ranges = max(1, -(-records.count() // (rows or RANGE_ROWS)))
+    ranged = records.repartitionByRange(ranges, *[F.col(k) for k in keys]).sortWithinPartitions(run, *keys)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [b for b in batches if b.num_rows]
         if not whole:
             return
         table = pa.Table.from_batches(whole).combine_chunks()
-        of_run = table.column(run).to_pylist()
-        key = list(zip(*(table.column(k).to_pylist() for k in keys), range(table.num_rows), strict=True))
-        cuts = [0, *(i for i in range(1, len(of_run)) if of_run[i] != of_run[i - 1]), len(of_run)]
-        tree = LoserTree([iter(key[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
-        yield from table.take(pa.array([x[-1] for x in tree], pa.int64())).to_batches(8192)
+        of_run = table.column(run).combine_chunks().dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(of_run)) + 1).tolist(), len(of_run)]
+
+        def heads(a: int, b: int) -> Iterator[tuple]:
+            for at in range(a, b, BLOCK):
+                part = table.slice(at, min(BLOCK, b - at))
+                yield from zip(*(part.column(k).to_pylist() for k in keys), range(at, at + part.num_rows), strict=True)
+
+        order = (x[-1] for x in LoserTree([heads(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]))
+        while some := list(islice(order, 8 * BLOCK)):
+            yield from table.take(pa.array(some, pa.int64())).to_batches()
 
-    out = ranged.mapInArrow(merge, records.schema)
-    return out.withColumn("position", F.monotonically_increasing_id()).select(*names, "position")
+    merged = ranged.mapInArrow(merge, records.schema).withColumn("at", F.monotonically_increasing_id())
+    merged = scratch.keep(merged.withColumn("range", F.shiftright("at", 33)), "merged")
+    # one row a range: how many records lie in the ranges before
+    before = F.sum("many").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = merged.groupBy("range").agg(F.count("*").alias("many")).select("range", F.coalesce(before, F.lit(0)).alias("start"))
+    position = (F.col("start") + F.col("at") - F.shiftleft("range", 33)).alias("position")
+    return merged.join(starts, "range").select(*names, position)
 
 
 def capture_histories(pages: DataFrame, *, path: str | None = None, least: int = 0) -> DataFrame:
@@ -243,7 +298,8 @@ def capture_histories(pages: DataFrame, *, path: str | None = None, least: int =
     Returns one row per page in the order of URL key, time and page_id: the record's columns without
     its payload, and ``position``.  Null html is an empty payload, null url an empty URI; control
     characters and spaces of a URL are written as %20.  Rows with a null page_id take no part;
-    repeated rows give a record each.  An empty table gives an empty result.
+    repeated rows give a record each, in any order among themselves.  A text of any length is one record.
+    An empty table gives an empty result.
     """
     spark = with_workers(pages.sparkSession)
     scratch = Scratch(spark, "warc")
@@ -251,10 +307,10 @@ def capture_histories(pages: DataFrame, *, path: str | None = None, least: int =
     pages = pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("long"), "url", "html")
     write_archives(plan_records(pages, least), path)
     index = scratch.keep(read_archives(spark, path, payload=False).drop("payload"), "index")
-    return merge_index(index)
+    return merge_index(index, scratch)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     """Every page as a record, read back and merged; equal payloads of any length are stored once."""
     found = capture_histories(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
