@@ -1,4 +1,6 @@
-from trackloom.llm.decontaminate import contaminated, decontaminated, leaks
+from pyspark.sql import functions as F
+
+from trackloom.llm.decontaminate import _candidates, contaminated, decontaminated, leaks, windows
 
 ITEM = "A train leaves Paris at 9 km per hour and meets Alice after 12 minutes near the old stone bridge by the river"
 
@@ -163,3 +165,21 @@ def test_leaks_with_slots_filled_unlike_stay(spark):
     item = "if Anna has 3 red apples and Bert has 4 red apples then Anna and Bert share 7 red apples while Anna keeps 3 red apples for home"
     bad = "if Carl has 5 red apples and Dora has 6 red apples then Emil and Frau share 8 red apples while Gina keeps 9 red apples for home"
     assert not leaked(spark, [(2, "so " + bad)], [(7, item)], consistent=90)
+
+
+def test_a_template_that_all_items_and_documents_share(spark):
+    # five common words: pairs come from rare windows only, and none is lost
+    import random
+
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(500)]
+    lead = "choose the right answer to this"
+    items = [(i, f"{lead} {' '.join(rng.choice(vocab) for _ in range(rng.randint(1, 25)))}") for i in range(150)]
+    docs = [(d, f"{lead} {' '.join(rng.choice(vocab) for _ in range(20))} {rng.choice(items)[1] if d % 3 == 0 else ''}") for d in range(150)]
+    assert set(run(spark, docs, items)) == brute(docs, items)
+    d = spark.createDataFrame(docs, "id long, text string")
+    b = spark.createDataFrame(items, "id long, text string")
+    by_doc = windows(d, 5, 2).select(F.col("id").alias("doc_id"), "h").distinct()
+    known = windows(b, 5, 2).select(F.col("id").alias("item_id"), F.lit(0).alias("kind"), "at", "h")
+    pairs = by_doc.join(known, "h").select("doc_id", "item_id").distinct().count()
+    assert pairs == 150 * 150 and _candidates(by_doc, known, 80).count() < pairs / 20

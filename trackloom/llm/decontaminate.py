@@ -200,11 +200,39 @@ def _bitmap(items: DataFrame):
 
 def _agreement(pairs: DataFrame, *keys: str) -> DataFrame:
     """Per ``keys`` the share of slot fillings (asked to slots) in line with the most frequent one of the same value."""
-    fills = pairs.select(*keys, F.explode(F.arrays_zip("asked", "slots")).alias("s")).groupBy(*keys, F.col("s.asked").alias("asked"), F.col("s.slots").alias("given")).agg(F.count("*").alias("times"))
+    filled = pairs.select(*keys, F.explode(F.arrays_zip("asked", "slots")).alias("s")).select(*keys, "s.asked", F.col("s.slots").alias("given"))
+    fills = filled.groupBy(*keys, "asked", "given").agg(F.count("*").alias("times"))
     best = fills.groupBy(*keys, "asked").agg(F.max("times").alias("top"), F.sum("times").alias("all"))
     return best.groupBy(*keys).agg((F.sum("top") / F.sum("all")).alias("slot_agreement"))
 
 
+def _candidates(by_doc: DataFrame, items: DataFrame, percent: int, span: int | None = None) -> DataFrame:
+    """doc_id, item_id: pairs that can reach ``percent`` of the item's places, or ``span`` of them on end.
+
+    ``by_doc``: distinct (doc_id, h); ``items``: item_id, kind, at, h, all hashes of an item's places.  A pair
+    that reaches ``percent`` of n places has one of the n - need + 1 rarest, and one with ``span`` places on end
+    has the rarest of those.  Only these are joined, so what very many documents and items have in common
+    gives no pairs.  Of other kinds than TYPED and FOLDED every place counts alone.
+    """
+    known = items.select("item_id", "kind", "at", "h").distinct()
+    in_docs = by_doc.groupBy("h").agg(F.count("*").alias("docs"))
+    in_items = known.select("item_id", "h").distinct().groupBy("h").agg(F.count("*").alias("items"))
+    cost = in_docs.join(in_items, "h").select("h", (F.col("docs") * F.col("items")).alias("cost"))
+    places = known.join(cost, "h", "left").groupBy("item_id", "kind", "at").agg(F.sum(F.coalesce("cost", F.lit(0))).alias("cost"))
+    of_item = Window.partitionBy("item_id", "kind")
+    windows_ = F.col("kind") < VERBATIM
+    nth, many = F.row_number().over(of_item.orderBy("cost", "at")), F.count("*").over(of_item)
+    rare = nth <= many - F.ceil(many * percent / 100) + 1
+    ranked = places.withColumn("rare", rare).withColumn("piece", F.col("at") - F.row_number().over(of_item.orderBy("at")))
+    taken = ranked.where(~windows_ | F.col("rare")).select("item_id", "kind", "at")
+    if span:
+        ahead = Window.partitionBy("item_id", "kind", "piece").orderBy("at").rowsBetween(0, span - 1)
+        least = ranked.where(windows_).select("item_id", "kind", F.min(F.struct("cost", "at")).over(ahead).alias("least"), F.count("*").over(ahead).alias("length"))
+        taken = taken.unionByName(least.where(f"length = {span}").select("item_id", "kind", "least.at")).distinct()
+    probes = known.join(taken, ["item_id", "kind", "at"]).select("item_id", "h").distinct()
+    return by_doc.join(probes, "h").select("doc_id", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, percent: int = 80, literal: int = 2, consistent: int = 80) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains, perhaps with other slot values.
 
@@ -228,13 +256,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, perce
     items = items.join(sizes, "item_id")
     bitmap = _bitmap(items)
     seen = scratch.keep(windows(texts, words, literal, bitmap).withColumnRenamed("id", "doc_id"), "seen")
-    by_doc = seen.select("doc_id", "h").distinct()
-    found = by_doc.join(items.select("item_id", "at", "h", "n_windows").distinct(), "h").groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("at").alias("n_found"))
+    by_doc = scratch.keep(seen.select("doc_id", "h").distinct(), "by_doc")
+    near = _candidates(by_doc, items.withColumn("kind", F.lit(TYPED)), percent)
+    hits = near.join(items.select("item_id", "at", "h", "n_windows").distinct(), "item_id").join(by_doc, ["doc_id", "h"])
+    found = hits.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("at").alias("n_found"))
     found = scratch.keep(found.where(f"n_found * 100 >= n_windows * {percent}"), "found")
 
     # slot values of the item against those of the document, window by window
     here = seen.where("size(slots) > 0").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    pairs = here.join(items.where("size(slots) > 0").select("item_id", "h", F.col("slots").alias("asked")).distinct(), "h").join(found.select("doc_id", "item_id"), ["doc_id", "item_id"])
+    asked_of = items.where("size(slots) > 0").select("item_id", "h", F.col("slots").alias("asked")).distinct()
+    pairs = found.select("doc_id", "item_id").join(asked_of, "item_id").join(here, ["doc_id", "h"])
     agree = _agreement(pairs, "doc_id", "item_id")
     out = found.join(agree, ["doc_id", "item_id"], "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0)))
     return out.where(F.col("slot_agreement") * 100 >= consistent).select("doc_id", "item_id", "n_windows", "n_found", "slot_agreement")
@@ -252,8 +283,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, percent: int
 
     or if ``run`` consecutive words of it (all, if it has fewer) are in the document, without regard to case and
     outer punctuation.  ``n_windows`` and ``n_found`` count typed windows (0 for an item without any);
-    ``slot_agreement`` is the best of these, 1 for words found verbatim.  Every item that is found is reported, equal
-    ones too.
+    ``slot_agreement`` is the best of these, 1 for words found verbatim; shares equal to a bound count.  Every item
+    that is found is reported, equal ones too.  Rows that repeat a doc_id are read as one document with the
+    windows of all.  Null, empty and very long texts, empty tables and more columns are as in ``contaminated``.
     """
     spark = with_workers(docs.sparkSession)
     scratch = Scratch(spark, "leaks")
@@ -272,20 +304,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, words: int = 5, percent: int
 
     seen = features(texts, words, literal, runs, _bitmap(items)).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "h", "slots")
     seen = scratch.keep(seen, "seen")
-    hits = seen.select("doc_id", "h").distinct().join(items.select("item_id", "kind", "at", "h").distinct(), "h").select("doc_id", "item_id", "kind", "at").distinct()
-    counts = hits.groupBy("doc_id", "item_id").agg(
-        F.count(F.when(F.col("kind") == TYPED, 1)).alias("n_typed"), F.count(F.when(F.col("kind") == FOLDED, 1)).alias("n_folded"), F.max(F.col("kind") > VERBATIM).alias("verbatim")
-    )
+    by_doc = scratch.keep(seen.select("doc_id", "h").distinct(), "by_doc")
     span = max(run - words + 1, 1)  # windows in a run
+    near = scratch.keep(_candidates(by_doc, items, percent, span), "near")
+    hits = near.join(items.select("item_id", "kind", "at", "h").distinct(), "item_id").join(by_doc, ["doc_id", "h"])
+    hits = hits.select("doc_id", "item_id", "kind", "at").distinct()
+    many = {name: F.count(F.when(F.col("kind") == kind, 1)) for name, kind in (("n_typed", TYPED), ("n_folded", FOLDED))}
+    counts = hits.groupBy("doc_id", "item_id").agg(*(c.alias(n) for n, c in many.items()), F.max(F.col("kind") > VERBATIM).alias("verbatim"))
     enough = " OR ".join(f"(n_{x} > 0 AND (n_{x} * 100 >= {x} * {percent} OR n_{x} >= {span}))" for x in ("typed", "folded"))
     found = scratch.keep(counts.join(sizes, "item_id").where(f"verbatim OR {enough}"), "found")
 
     # slot values of the item against those of the document; what is found verbatim needs no comparison
     open_ = found.where("NOT verbatim").select("doc_id", "item_id", "typed", "folded", "n_typed", "n_folded")
     here = seen.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
-    pairs = here.join(items.where(f"kind < {VERBATIM}"), "h").join(open_, ["doc_id", "item_id"])
+    # by pair first: a window that very many items share meets the items found in its document only
+    pairs = open_.join(items.where(f"kind < {VERBATIM}"), "item_id").join(here, ["doc_id", "h"])
     size, n_found = (F.when(F.col("kind") == TYPED, F.col(a)).otherwise(F.col(b)) for a, b in (("typed", "folded"), ("n_typed", "n_folded")))
-    pairs = pairs.select("doc_id", "item_id", "kind", "doc_at", "at", (F.col("doc_at") - F.col("at")).alias("shift"), "asked", "slots", size.alias("size"), n_found.alias("n_found")).distinct()
+    shifted = (F.col("doc_at") - F.col("at")).alias("shift")
+    pairs = pairs.select("doc_id", "item_id", "kind", "doc_at", "at", shifted, "asked", "slots", size.alias("size"), n_found.alias("n_found")).distinct()
     shift = Window.partitionBy("doc_id", "item_id", "kind", "shift")
     pairs = pairs.withColumn("n", F.count("*").over(shift)).withColumn("piece", F.col("at") - F.row_number().over(shift.orderBy("at")))
     pairs = scratch.keep(pairs.withColumn("length", F.count("*").over(Window.partitionBy("doc_id", "item_id", "kind", "shift", "piece"))), "pairs")
