@@ -44,3 +44,13 @@ def test_matrix_and_heap_agree():
     for piece, ids in zip(pieces, codec.encode_pieces(pieces), strict=True):
         want = [codec.ranks[piece]] if piece in codec.ranks else codec._merge_long(piece).tolist()
         assert ids.tolist() == want
+
+
+@pytest.mark.parametrize("n", [255, 256, 257, 511, 513, 1025, 5000, 40_000])
+def test_pieces_around_and_beyond_one_matrix_row(theirs, n):
+    rng = random.Random(n)
+    with open(PATH, "rb") as f:
+        codec = Codec(f.read(), P.PATTERN)
+    for letters in ("a", "ab", "etaoinshrdlu", "é漢"):
+        piece = "".join(rng.choice(letters) for _ in range(n))
+        assert codec.encode_pieces([piece.encode()])[0].tolist() == theirs._encode_single_piece(piece)

@@ -4,14 +4,13 @@ Pieces of text are encoded together: distinct pieces that are not a token themse
 length into padded matrices of token ids.  In every round each row merges its leftmost pair of
 minimum rank; merged ranks come from an open-addressing table over hashed (left, right) pairs;
 rows shift left after a merge, and rows without a pair left leave the matrix.  A piece of over
-``LONG`` bytes goes through a heap over its pairs instead, in the same order of merges, so that
-time stays near its length.
+``LONG`` bytes is a matrix of its own: its ids fill rows of ``WIDTH``, each with its smallest rank, and a
+round merges the leftmost pair of the smallest of all, so that time stays near the piece's length.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,7 @@ from . import tokens as T
 from .shared import with_workers
 
 LONG = 256
+WIDTH = 512
 #: Distinct pieces that a worker remembers; beyond, it starts anew.
 REMEMBERED = 150_000
 _NONE = np.int32(2**31 - 1)
@@ -136,26 +136,37 @@ class Codec:
         return out
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
-        ids: list[int | None] = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := self.pairs.get((a, b))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = rank, None
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if (r := self.pairs.get((rank, ids[k]))) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[k]))
-            h = before[i]
-            if h >= 0 and (r := self.pairs.get((ids[h], rank))) is not None:
-                heapq.heappush(heap, (r, h, ids[h], rank))
-        return np.array([x for x in ids if x is not None], np.int32)
+        """Merge one long piece, whose ids fill the rows of a matrix one after another.
+
+        Each row keeps its smallest rank; a round merges the leftmost pair of the smallest of these.
+        Once half of the ids are gone, the rest is laid out anew.
+        """
+        ids = self.byte[np.frombuffer(piece, np.uint8)]
+        while len(ids) > LONG:
+            n = len(ids)
+            rank = np.full(-(-n // WIDTH) * WIDTH, _NONE, np.int32)
+            rank[: n - 1] = self.table(ids[:-1], ids[1:])
+            rows = rank.reshape(-1, WIDTH)
+            least = rows.min(1)
+            value, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+            for _ in range(n // 2):
+                row = int(least.argmin())
+                best = int(least[row])
+                if best == _NONE:
+                    return np.array([x for x in value if x >= 0], np.int32)
+                i = row * WIDTH + int(rows[row].argmin())
+                gone, left = after[i], before[i]
+                right = after[i] = after[gone]
+                value[i], value[gone], rank[gone], rank[i] = best, -1, _NONE, _NONE
+                if right < n:
+                    before[right] = i
+                    rank[i] = self.pairs.get((best, value[right]), _NONE)
+                if left >= 0:
+                    rank[left] = self.pairs.get((value[left], best), _NONE)
+                for changed in {row, gone // WIDTH, max(left, 0) // WIDTH}:
+                    least[changed] = rows[changed].min()
+            ids = np.array([x for x in value if x >= 0], np.int32)
+        return self._merge_rows(ids[None, :], np.array([len(ids)]))[0]
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]
