@@ -258,7 +258,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
     """``docs`` without the documents that the last category's model rejects, in one pass over the texts."""
     categories = categories or {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     names = list(categories)
-    return scored(docs, fitted(docs, labels, categories, sample=sample), names).where(~F.col(f"is_{names[-1]}")).select(docs.columns)
+    while any(x in docs.columns for k in names for x in (f"p_{k}", f"is_{k}")):  # columns of the same name stay as they are
+        names = [f"_{k}" for k in names]
+    found = scored(docs, fitted(docs, labels, categories, sample=sample), names)
+    return found.where(~F.col(f"is_{names[-1]}")).select(docs.columns)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
