@@ -164,10 +164,10 @@ class Across:
         of = scratch.keep(of.join(mixed, "c"), "members")
         self.few = of.where(F.col("many") <= FEW).drop("many")
 
-        many = of.where(F.col("many") > FEW).drop("many", "root")
+        many = of.where(F.col("many") > FEW).drop("many")
         own, pivots = stored.select(F.col("id").alias("x"), "set"), stored.select(F.col("id").alias("c"), F.col("set").alias("base"))
         differ = F.concat(F.array_except("set", "base"), F.array_except("base", "set"))
-        parts = many.join(own, "x").join(pivots, "c").select("c", "x", "n", "far", F.explode(differ).alias("e"))
+        parts = many.join(own, "x").join(pivots, "c").select("c", "x", "n", "far", "root", F.explode(differ).alias("e"))
         parts = scratch.keep(parts, "differences")
         shared = parts.groupBy("c", "e").agg(F.count("*").alias("df")).where("df > 1")
         parts = parts.join(shared, ["c", "e"])
@@ -180,23 +180,34 @@ class Across:
     def _rooted(df: DataFrame, labels: DataFrame) -> DataFrame:
         return df.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
 
-    def pairs(self, labels: DataFrame, delegates: int, first: bool) -> tuple[DataFrame, bool]:
-        """New pairs (a, b), and whether some component has more members under an element than ``delegates``."""
-        percent = self.percent
-        rooted = self._rooted(self.parts, labels)
-        several = rooted.groupBy("c", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c", "e")
-        nth = F.row_number().over(Window.partitionBy("c", "e", "root").orderBy("x"))
-        open_ = self.scratch.keep(rooted.join(several, ["c", "e"]).withColumn("nth", nth), "open")
-        near = _twins(open_.where(F.col("nth") <= delegates), percent, "c", "e")
-        limit = (F.col("n") + F.col("n2")) * (100 - percent)  # B times 100 + percent
-        ahead = (F.col("far") - F.col("far2")) * (100 + percent)
-        places = (2 * (F.col("place") - 1) * (100 + percent) <= ahead + limit) & (2 * (F.col("place2") - 1) * (100 + percent) <= limit - ahead)
-        found = near.where(places).select(*_pair())
-        if first:
-            found = found.unionByName(_twins(self.few, percent, "c").select(*_pair()))
-        found = self.scratch.keep(found.distinct().join(self.done, ["a", "b"], "left_anti"), "pairs")
+    def _limited(self, parts: DataFrame, delegates: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs of the first ``delegates`` members of every component; (c, e) of groups that have more members."""
+        nth = F.row_number().over(Window.partitionBy("c", "e", "root").orderBy("x"))  # limited before the shuffle
+        near = _twins(parts.withColumn("nth", nth).where(F.col("nth") <= delegates), self.percent, "c", "e")
+        limit = (F.col("n") + F.col("n2")) * (100 - self.percent)  # B times 100 + percent
+        ahead = (F.col("far") - F.col("far2")) * (100 + self.percent)
+        places = [2 * (F.col(p) - 1) * (100 + self.percent) <= limit + d for p, d in (("place", ahead), ("place2", -ahead))]
+        sizes = parts.groupBy("c", "e", "root").agg(F.count("*").alias("size"))
+        crowded = sizes.groupBy("c", "e").agg(F.max("size").alias("top"), F.count("*").alias("roots")).where((F.col("top") > delegates) & (F.col("roots") > 1))
+        return near.where(places[0] & places[1]).select(*_pair()), crowded.select("c", "e")
+
+    def _new(self, pairs: DataFrame) -> DataFrame:
+        found = self.scratch.keep(pairs.distinct().join(self.done, ["a", "b"], "left_anti"), "pairs")
         self.done = self.done.unionByName(found)
-        return found, not open_.where(F.col("nth") > delegates).isEmpty()
+        return found
+
+    def first(self, delegates: int) -> tuple[DataFrame, bool]:
+        """New pairs (a, b), and whether groups are left that have more members than were paired."""
+        pairs, crowded = self._limited(self.parts, delegates)
+        found = self._new(pairs.unionByName(_twins(self.few, self.percent, "c").select(*_pair())))
+        self.open = self.scratch.keep(self.parts.join(crowded, ["c", "e"], "left_semi").drop("root"), "open")
+        return found, not self.open.isEmpty()
+
+    def further(self, labels: DataFrame, delegates: int) -> tuple[DataFrame, bool]:
+        """The same for the groups that were left, with the components that have been joined since."""
+        rooted = self.scratch.keep(self._rooted(self.open, labels), "rooted")
+        pairs, crowded = self._limited(rooted, delegates)
+        return self._new(pairs), not crowded.isEmpty()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower: bool = True, rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -244,14 +255,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     labels = connected_components(links, scratch)
 
     across = Across(star, labels, buckets, stored, percent, scratch)
-    size, more = DELEGATES, True
-    while more:
-        rest, more = across.pairs(labels, size, size == DELEGATES)
+    size = DELEGATES
+    rest, more = across.first(size)
+    while True:
         new = linked(verified(rest, "rest")).select("a", "b")
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = connected_components(links, scratch)
+        if not more:
+            break
         size *= 64
+        rest, more = across.further(labels, size)
     scratch.drop(stored)
     scratch.drop(buckets)
 
