@@ -63,10 +63,6 @@ VIEWS: dict[str, str] = {
                LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous_id,
                CAST(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS is_hole, CAST(o_orderkey % 97 AS BIGINT) AS chi2
         FROM orders""",
-    # suppliers as layers of a directed graph: an edge leads to a node of larger number
-    "graph_edges": """
-        SELECT edge_id, node1, node2, CAST((edge_id * 7) % 64 AS BIGINT) AS curv FROM (
-          SELECT p_partkey AS edge_id, p_partkey % 211 AS node1, p_partkey % 211 + 1 + (p_partkey * 17) % 23 AS node2 FROM part) AS e""",
     "hits": """
         SELECT CAST(FLOOR(l_orderkey / 100.0e0) AS BIGINT) AS event_id, l_orderkey * 1000 + l_linenumber AS hit_id, 1 + l_orderkey % 150 AS particle_id,
                CAST(l_suppkey % 50 AS INT) AS module_index, CAST(l_quantity AS DOUBLE) AS time_ns, l_extendedprice AS tx
