@@ -116,32 +116,34 @@ def binned(spacepoints: DataFrame, cfg: SeedConfig) -> DataFrame:
     return out
 
 
-def compatible(cfg: SeedConfig, *, bottom: bool) -> str:
+#: Rise in radius and z from the inner to the outer of middle (m) and other (o) point.
+_DR, _DZ = "ABS(m_r - o_r)", "SIGN(m_r - o_r) * (m_z - o_z)"
+
+
+def compatible(cfg: SeedConfig) -> str:
     """The doublet cut between middle (m) and other (o); without transverse distance in x or y the helix cut passes.
 
     The two circles of the smallest radius R through both points have their centres at
     mid +- q n, q^2 = R^2 - d^2 / 4, n the normal of the chord of length d.  As |mid|^2 - d^2 / 4 = m . o and
     mid . n = (m x o) / d, the nearer centre is at the squared distance m . o + R^2 - 2 (q / d) |m x o|.
     """
-    dr = "(m_r - o_r)" if bottom else "(o_r - m_r)"
-    dz = "(m_z - o_z)" if bottom else "(o_z - m_z)"
     big = cfg.min_helix_radius
     d2 = "((o_x - m_x) * (o_x - m_x) + (o_y - m_y) * (o_y - m_y))"
     centre = f"m_x * o_x + m_y * o_y + {big * big!r} - 2e0 * SQRT({big * big!r} / NULLIF({d2}, 0e0) - 0.25e0) * ABS(m_x * o_y - o_x * m_y)"
     limit = (big - cfg.impact_max) ** 2
     return (
-        f"{dr} < {cfg.delta_r_max!r} AND {dr} > {cfg.delta_r_min!r} AND ABS({dz}) < {cfg.cot_theta_max!r} * {dr} "
-        f"AND m_z * {dr} - m_r * {dz} > {cfg.collision_min!r} * {dr} AND m_z * {dr} - m_r * {dz} < {cfg.collision_max!r} * {dr} "
-        f"AND ABS({dz}) < {cfg.delta_z_max!r} AND (m_x = o_x OR m_y = o_y OR {centre} > {limit!r})"
+        f"{_DR} < {cfg.delta_r_max!r} AND {_DR} > {cfg.delta_r_min!r} AND ABS({_DZ}) < {cfg.cot_theta_max!r} * {_DR} "
+        f"AND m_z * {_DR} - m_r * {_DZ} > {cfg.collision_min!r} * {_DR} AND m_z * {_DR} - m_r * {_DZ} < {cfg.collision_max!r} * {_DR} "
+        f"AND ABS({_DZ}) < {cfg.delta_z_max!r} AND (m_x = o_x OR m_y = o_y OR {centre} > {limit!r})"
     )
 
 
-def lin_circle(*, bottom: bool) -> dict[str, str]:
+def lin_circle() -> dict[str, str]:
     """Inverse distance, cot theta, z at the axis, error, and the conformal u and v of a doublet, each from earlier ones."""
-    dx, dy, dz = "(o_x - m_x)", "(o_y - m_y)", "(o_z - m_z)"
+    dx, dy = "(o_x - m_x)", "(o_y - m_y)"
     return {
         "inv": f"(1e0 / NULLIF(SQRT({dx} * {dx} + {dy} * {dy}), 0e0))",
-        "cot": f"({'-' if bottom else ''}{dz} * {{inv}})",
+        "cot": f"({_DZ} * {{inv}})",
         "z0": "(m_z - m_r * {cot})",
         "er": "(((m_var_z + o_var_z) + {cot} * {cot} * (m_var_r + o_var_r)) * {inv} * {inv})",
         "u": f"(({dx} * m_x + {dy} * m_y) / NULLIF(m_r, 0e0) * {{inv}} * {{inv}})",
@@ -152,31 +154,35 @@ def lin_circle(*, bottom: bool) -> dict[str, str]:
 _POINT = ("x", "y", "z", "r", "var_r", "var_z")
 
 
-def doublets(points: DataFrame, cfg: SeedConfig, *, bottom: bool) -> DataFrame:
-    """Pairs of a middle and a bottom (or top) point from the middle's bin and its neighbours.
+def doublets(points: DataFrame, cfg: SeedConfig) -> DataFrame:
+    """Pairs of a middle (m_) and another point (o_), ``is_bottom`` where the other is nearer to the axis.
 
-    Every middle looks up its neighbouring bins by an equi-join on (event, phi_bin, z_bin); wrap-around
-    bins are listed once.
+    Every middle looks up its own and the neighbouring bins by one equi-join on (event, phi_bin, z_bin) for
+    both sides; wrap-around bins are listed once.
     """
     phi_axis, z_axis = axes(cfg)
     n = cfg.neighbours
     # neighbours of a bin: from the bin's own middle, so that the lists depend on the bin only
     phi_mid = (F.col("phi_bin") + 0.5) * ((phi_axis.high - phi_axis.low) / phi_axis.bins) + phi_axis.low
     z_mid = (F.col("z_bin") + 0.5) * ((z_axis.high - z_axis.low) / z_axis.bins) + z_axis.low
-    middle = points.select("event_id", F.col("spacepoint_id").alias("middle_id"), *(F.col(c).alias(f"m_{c}") for c in _POINT), F.explode(phi_axis.zone(phi_mid, n, n)).alias("phi_bin"), z_axis.zone(z_mid, n, n).alias("zs"))
+    middle = points.select(
+        "event_id", F.col("spacepoint_id").alias("middle_id"), *(F.col(c).alias(f"m_{c}") for c in _POINT),
+        F.explode(phi_axis.zone(phi_mid, n, n)).alias("phi_bin"), z_axis.zone(z_mid, n, n).alias("zs"),
+    )
     middle = middle.withColumn("z_bin", F.explode("zs")).drop("zs")
     other = points.select("event_id", F.col("spacepoint_id").alias("other_id"), *(F.col(c).alias(f"o_{c}") for c in _POINT), "phi_bin", "z_bin")
-    pairs = middle.join(other, ["event_id", "phi_bin", "z_bin"]).where(compatible(cfg, bottom=bottom))
-    return pairs.drop("phi_bin", "z_bin")
+    pairs = middle.join(other, ["event_id", "phi_bin", "z_bin"]).where(compatible(cfg)).drop("phi_bin", "z_bin")
+    return pairs.withColumn("is_bottom", F.col("m_r") > F.col("o_r"))
 
 
-def _side(pairs: DataFrame, side: str, *, bottom: bool) -> DataFrame:
-    names = {n: f"{side}_{n}" for n in lin_circle(bottom=bottom)}
-    for n, e in lin_circle(bottom=bottom).items():
+def _sided(pairs: DataFrame) -> DataFrame:
+    """event_id, middle_id, m (point), is_bottom, side: the doublets with their line in the plane of the middle point."""
+    names = {n: f"d_{n}" for n in lin_circle()}
+    for n, e in lin_circle().items():
         pairs = pairs.withColumn(names[n], F.expr(e.format(**names)))
-    keep = [F.col("other_id").alias(f"{side}_id"), F.col("o_r").alias(f"{side}_r"), F.col("o_y").alias(f"{side}_y"), F.col("o_z").alias(f"{side}_z")]
-    mid = [F.col(f"m_{c}") for c in ("r", "var_r", "var_z")] if bottom else []
-    return pairs.select("event_id", "middle_id", *mid, *keep, *names.values())
+    side = F.struct(F.col("other_id").alias("id"), *(F.col(f"o_{c}").alias(c) for c in "xyzr"), *(F.col(v).alias(k) for k, v in names.items()))
+    middle = F.struct(*(F.col(f"m_{c}").alias(c) for c in _POINT))
+    return pairs.select("event_id", "middle_id", middle.alias("m"), "is_bottom", side.alias("side"))
 
 
 def triplet_terms() -> dict[str, str]:
@@ -210,13 +216,23 @@ def triplet_cut(cfg: SeedConfig) -> str:
 TRIPLET_VALUES = {"curvature": "(bn / SQRT(s2) * SIGN(du))", "impact": "(ABS((dv - bn * m_r) * m_r) / ABS(du))"}
 
 
-def triplets(bottoms: DataFrame, tops: DataFrame, cfg: SeedConfig) -> DataFrame:
-    """Bottom and top doublets of one middle point that lie on a common helix."""
-    both = _side(bottoms, "b", bottom=True).join(_side(tops, "t", bottom=False), ["event_id", "middle_id"])
+_CARRIED = ("b_z0", "b_r", "t_r", *(f"{p}_{c}" for p in "bmt" for c in "xyz"))
+
+
+def triplets(pairs: DataFrame, cfg: SeedConfig) -> DataFrame:
+    """Bottom and top doublets of one middle point that lie on a common helix.
+
+    The doublets of a middle point meet by one shuffle; a detector's density bounds their number.
+    """
+    sides = {k: F.collect_list(F.when(c, F.col("side"))).alias(k) for k, c in (("b", F.col("is_bottom")), ("t", ~F.col("is_bottom")))}
+    both = _sided(pairs).groupBy("event_id", "middle_id").agg(F.first("m").alias("m"), *sides.values()).where("size(b) > 0 AND size(t) > 0")
+    both = both.select("event_id", "middle_id", "m", "t", F.explode("b").alias("b")).select("event_id", "middle_id", "m", "b", F.explode("t").alias("t"))
+    fields = ("id", "x", "y", "z", "r", *lin_circle())
+    both = both.select("event_id", "middle_id", *(F.col(f"m.{c}").alias(f"m_{c}") for c in _POINT), *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "bt" for c in fields))
     for name, e in triplet_terms().items():
         both = both.withColumn(name, F.expr(e))
     passed = both.where(triplet_cut(cfg))
-    return passed.select("event_id", "b_id", "middle_id", "t_id", *(F.expr(e).alias(n) for n, e in TRIPLET_VALUES.items()), "b_z0", "b_r", "t_r", "b_y", "b_z", "t_y", "t_z")
+    return passed.select("event_id", "b_id", "middle_id", "t_id", *(F.expr(e).alias(n) for n, e in TRIPLET_VALUES.items()), *_CARRIED)
 
 
 def compatible_tops(found: DataFrame, flt: FilterConfig) -> DataFrame:
@@ -224,24 +240,27 @@ def compatible_tops(found: DataFrame, flt: FilterConfig) -> DataFrame:
 
     Tops count in the order of their ids; the first always does, a second one if it is at least
     ``delta_r_min`` from the first in radius.  That needs the first and whether any other is far enough.
+    Only tops within the difference in curvature are gathered: the window's frame is a range of it.
     """
-    same = Window.partitionBy("event_id", "b_id", "middle_id")
-    rows = found.withColumn("all_tops", F.array_sort(F.collect_list(F.struct("t_id", "t_r", "curvature")).over(same)))
-    lo, hi = F.col("curvature") - flt.delta_inv_diameter, F.col("curvature") + flt.delta_inv_diameter
-    near = F.filter("all_tops", lambda o: (o["t_id"] != F.col("t_id")) & (F.abs(o["t_r"] - F.col("t_r")) >= flt.delta_r_min) & (o["curvature"] >= lo) & (o["curvature"] <= hi))
-    rows = rows.withColumn("near", near).withColumn("r_first", F.get("near", F.lit(0))["t_r"])
+    reach = f"{flt.delta_inv_diameter!r}D"
+    frame = f"OVER (PARTITION BY event_id, b_id, middle_id ORDER BY curvature RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)"
+    rows = found.withColumn("like", F.expr(f"collect_list(struct(t_id, t_r)) {frame}"))
+    near = F.filter("like", lambda o: (o["t_id"] != F.col("t_id")) & (F.abs(o["t_r"] - F.col("t_r")) >= flt.delta_r_min))
+    rows = rows.withColumn("near", near).withColumn("r_first", F.array_min("near")["t_r"])
     second = F.exists("near", lambda o: F.abs(o["t_r"] - F.col("r_first")) >= flt.delta_r_min)
     n = F.when(F.col("r_first").isNull(), 0).when(second, 2).otherwise(1)
-    return rows.withColumn("n_compatible", n).drop("all_tops", "near", "r_first")
+    return rows.withColumn("n_compatible", n).drop("like", "near", "r_first")
 
 
 def weighted(found: DataFrame, flt: FilterConfig) -> DataFrame:
     """Triplet weights, without those that fail the cut on a single triplet.
 
-    A top within ``good_top_r`` replaces, not adds to, the increase of a far bottom.
+    A top within ``good_top_r`` replaces, not adds to, the increase of a far bottom.  Weights count to a
+    millionth: ties and cuts don't hang on rounding errors of the impact parameter.
     """
     rise = F.when(F.col("t_r") < flt.good_top_r, flt.good_top_weight).when(F.col("b_r") > flt.good_bottom_r, flt.good_bottom_weight).otherwise(0.0)
-    out = compatible_tops(found, flt).withColumn("weight", -F.col("impact") * flt.impact_factor + F.col("n_compatible") * flt.compatible_weight + rise)
+    raw = -F.col("impact") * flt.impact_factor + F.col("n_compatible") * flt.compatible_weight + rise
+    out = compatible_tops(found, flt).withColumn("weight", F.floor(raw * 1e6 + 0.5) / 1e6)
     return out.where(~((F.col("b_r") > flt.good_bottom_r) & (F.col("weight") < flt.good_bottom_min_weight)))
 
 
@@ -253,13 +272,16 @@ def selected(candidates: DataFrame, cfg: SeedConfig, flt: FilterConfig) -> DataF
     return ranked.where((F.col("rank") == 1) | (F.col("weight") > flt.min_weight) | (F.col("b_r") > flt.min_bottom_r)).drop("size")
 
 
-def seeds(spacepoints: DataFrame, cfg: SeedConfig | None = None, flt: FilterConfig | None = None) -> DataFrame:
-    """(event_id, bottom_id, middle_id, top_id, quality)."""
+def seeds(spacepoints: DataFrame, cfg: SeedConfig | None = None, flt: FilterConfig | None = None, *, coordinates: bool = False) -> DataFrame:
+    """(event_id, bottom_id, middle_id, top_id, quality), with ``coordinates`` also bottom_x to top_z."""
     cfg, flt = cfg or SeedConfig(), flt or FilterConfig()
-    points = binned(spacepoints, cfg)
-    found = triplets(doublets(points, cfg, bottom=True), doublets(points, cfg, bottom=False), cfg)
+    found = triplets(doublets(binned(spacepoints, cfg), cfg), cfg)
     best = selected(weighted(found, flt), cfg, flt)
-    return best.select("event_id", F.col("b_id").alias("bottom_id"), "middle_id", F.col("t_id").alias("top_id"), F.col("weight").alias("quality"))
+    ids = {"bottom": "b", "middle": "m", "top": "t"}
+    own = [F.col("b_id").alias("bottom_id"), F.col("middle_id"), F.col("t_id").alias("top_id"), F.col("weight").alias("quality")]
+    if coordinates:
+        own += [F.col(f"{short}_{c}").alias(f"{side}_{c}") for side, short in ids.items() for c in "xyz"]
+    return best.select("event_id", *own)
 
 
 def _vec(name: str) -> list[Column]:
@@ -274,13 +296,13 @@ def _dot(a: list, b: list):
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
 
-def track_parameters(found: DataFrame, spacepoints: DataFrame, field: tuple[float, float, float] = (0.0, 0.0, 2 * TESLA)) -> DataFrame:
+def track_parameters(found: DataFrame, spacepoints: DataFrame | None = None, field: tuple[float, float, float] = (0.0, 0.0, 2 * TESLA)) -> DataFrame:
     """phi, theta and q/p at the bottom point of every seed, from the circle through its three points.
 
     A frame with its z axis along the field and its x axis towards the middle point; there the conformal
-    map turns the circle into a line.
+    map turns the circle into a line.  Seeds that carry no coordinates take them from ``spacepoints``.
     """
-    for side in ("bottom", "middle", "top"):
+    for side in () if "bottom_x" in found.columns else ("bottom", "middle", "top"):
         found = found.join(spacepoints.select("event_id", F.col("spacepoint_id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}_{c}") for c in "xyz")), ["event_id", f"{side}_id"])
     size = math.sqrt(sum(c * c for c in field))
     ez = [F.lit(c / size) for c in field]

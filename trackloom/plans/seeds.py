@@ -32,42 +32,51 @@ _VALID = f"z >= {CFG.z_min!r} AND z <= {CFG.z_max!r} AND ATAN2(y, x) >= {-math.p
 _POINTS = f"""WITH pts AS (SELECT event_id, spacepoint_id, x, y, z, SQRT(x * x + y * y) AS r, 0e0 AS var_r, 0e0 AS var_z,
     CAST(((CAST(FLOOR((ATAN2(y, x) - {-math.pi!r}) / ({math.pi!r} - {-math.pi!r}) * {float(_PHI.bins)!r}) AS BIGINT) % {_PHI.bins}) + {_PHI.bins}) % {_PHI.bins} AS BIGINT) AS phi_bin, CAST(0 AS BIGINT) AS z_bin
     FROM spacepoints WHERE {_VALID})"""
-_COLS = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "mo" for c in ("x", "y", "z", "r", "var_r", "var_z"))
+_R = CFG.min_pt / CFG.b_z  # the smallest helix radius
+_HIGHLAND = 13.6e-3 * math.sqrt(CFG.rad_length) * (1 + 0.038 * math.log(CFG.rad_length))
+_NEXT = f"JOIN pts o ON m.event_id = o.event_id AND (m.phi_bin - o.phi_bin + {_PHI.bins + 1}) % {_PHI.bins} <= 2"
 
 
 def _pairs(name: str, bottom: bool) -> str:
-    return f""", {name}_all AS (SELECT m.event_id, m.spacepoint_id AS middle_id, o.spacepoint_id AS other_id, {_COLS} FROM pts m JOIN pts o ON m.event_id = o.event_id AND (m.phi_bin - o.phi_bin + {_PHI.bins + 1}) % {_PHI.bins} <= 2),
-    {name} AS (SELECT * FROM {name}_all WHERE {S.compatible(CFG, bottom=bottom)})"""
+    """Doublets by the cuts as they are usually written: slope of the bisector, both circle centres, the nearer one."""
+    dr, dz = ("m.r - o.r", "m.z - o.z") if bottom else ("o.r - m.r", "o.z - m.z")
+    return f""", {name}_near AS (SELECT m.event_id, m.spacepoint_id AS middle_id, o.spacepoint_id AS other_id, m.x AS mx, m.y AS my, m.z AS mz, m.r AS mr, o.x AS ox, o.y AS oy, o.z AS oz, o.r AS o_r,
+        {dr} AS dr, {dz} AS dz FROM pts m {_NEXT} WHERE {dr} < {CFG.delta_r_max!r} AND {dr} > {CFG.delta_r_min!r}),
+    {name}_flat AS (SELECT *, mz * dr - mr * dz AS z_origin, 0.5e0 * (mx + ox) AS mid_x, 0.5e0 * (my + oy) AS mid_y, (ox - mx) * (ox - mx) + (oy - my) * (oy - my) AS d2,
+        CASE WHEN ox <> mx AND oy <> my THEN (oy - my) / (ox - mx) END AS slope FROM {name}_near),
+    {name}_turn AS (SELECT *, SQRT({_R * _R!r} - d2 / 4e0) / SQRT((slope * slope + 1e0) / (slope * slope)) AS step FROM {name}_flat
+        WHERE ABS(dz) < {CFG.cot_theta_max!r} * dr AND ABS(dz) < {CFG.delta_z_max!r} AND z_origin > {CFG.collision_min!r} * dr AND z_origin < {CFG.collision_max!r} * dr),
+    {name} AS (SELECT * FROM {name}_turn WHERE slope IS NULL OR LEAST((mid_x + step) * (mid_x + step) + (mid_y - step / slope) * (mid_y - step / slope),
+        (mid_x - step) * (mid_x - step) + (mid_y + step / slope) * (mid_y + step / slope)) > {(_R - CFG.impact_max) ** 2!r})"""
 
 
 def _sides(name: str, side: str, bottom: bool) -> str:
-    terms = S.lin_circle(bottom=bottom)
-    names = {n: f"{side}_{n}" for n in terms}
-    out, last = "", name
-    for i, (n, e) in enumerate(terms.items()):
-        out += f", {side}_l{i} AS (SELECT *, {e.format(**names)} AS {names[n]} FROM {last})"
-        last = f"{side}_l{i}"
-    mid = "m_r, m_var_r, m_var_z, " if bottom else ""
-    return out + f", {side}_side AS (SELECT event_id, middle_id, {mid}other_id AS {side}_id, o_r AS {side}_r, o_y AS {side}_y, o_z AS {side}_z, {', '.join(names.values())} FROM {last})"
-
-
-def _steps() -> str:
-    out, last = ", k0 AS (SELECT * FROM b_side JOIN t_side USING (event_id, middle_id))", "k0"
-    for i, (name, e) in enumerate(S.triplet_terms().items(), 1):
-        out += f", k{i} AS (SELECT *, {e} AS {name} FROM {last})"
-        last = f"k{i}"
-    values = ", ".join(f"{e} AS {n}" for n, e in S.TRIPLET_VALUES.items())
-    return out + f", trips AS MATERIALIZED (SELECT event_id, b_id, middle_id, t_id, {values}, b_z0, b_r, t_r, b_y, b_z, t_y, t_z FROM {last} WHERE {S.triplet_cut(CFG)})"
-
-
-_TRIPLETS = _POINTS + _pairs("bottoms", True) + _pairs("tops", False) + _sides("bottoms", "b", True) + _sides("tops", "t", False) + _steps()
-_WEIGHTED = _TRIPLETS + f""", near AS (SELECT a.event_id, a.b_id, a.middle_id, a.t_id, o.t_id AS t2, o.t_r AS r2, ROW_NUMBER() OVER (PARTITION BY a.event_id, a.b_id, a.middle_id, a.t_id ORDER BY o.t_id) AS rn
+    """Lines of the doublets: cot theta, and u and v in the frame whose x axis points to the middle point (variances are zero)."""
+    sign = -1 if bottom else 1
+    return f""", {side}_line AS (SELECT *, 1e0 / d2 AS inv2, mx / mr AS cos_m, my / mr AS sin_m FROM {name}),
+    {side}_side AS (SELECT event_id, middle_id, mr, other_id AS {side}_id, o_r AS {side}_r, ox AS {side}_x, oy AS {side}_y, oz AS {side}_z, {sign}e0 * (oz - mz) * SQRT(inv2) AS {side}_cot,
+        ((ox - mx) * cos_m + (oy - my) * sin_m) * inv2 AS {side}_u, ((oy - my) * cos_m - (ox - mx) * sin_m) * inv2 AS {side}_v FROM {side}_line)"""
+
+
+# the line v = a u + b through both doublets; curvature and impact parameter from it
+_CUTS = f""", k0 AS (SELECT b.*, t_id, t_r, t_x, t_y, t_z, t_cot, t_u, t_v, t_u - b_u AS du FROM b_side b JOIN t_side t ON b.event_id = t.event_id AND b.middle_id = t.middle_id),
+    k1 AS (SELECT *, (t_v - b_v) / du AS a, (b_cot - t_cot) * (b_cot - t_cot) AS dcot2, 1e0 + b_cot * b_cot AS inv_sin2 FROM k0 WHERE du <> 0),
+    k2 AS (SELECT *, 1e0 + a * a AS s2, b_v - a * b_u AS b FROM k1),
+    k3 AS (SELECT *, CASE WHEN b = 0 OR {CFG.b_z!r} * SQRT(s2 / (b * b)) / 2e0 > {CFG.max_pt_scattering!r} THEN {(_HIGHLAND / CFG.max_pt_scattering) ** 2!r}
+        ELSE 4e0 * (b * b / s2) * {(_HIGHLAND / CFG.b_z) ** 2!r} END AS scatter FROM k2),
+    trips AS MATERIALIZED (SELECT event_id, b_id, middle_id, t_id, b / SQRT(s2) AS curvature, ABS((a - b * mr) * mr) AS impact, b_r, t_r, b_y, b_z, t_y, t_z FROM k3
+      WHERE s2 >= b * b * {(2 * _R) ** 2!r} AND ABS((a - b * mr) * mr) <= {CFG.impact_max!r}
+        AND (dcot2 <= 0 OR (dcot2 <= {(_HIGHLAND / CFG.min_pt) ** 2 * CFG.sigma_scattering**2!r} * inv_sin2 AND dcot2 <= scatter * inv_sin2 * {CFG.sigma_scattering**2!r})))"""
+
+_TRIPLETS = _POINTS + _pairs("bottoms", True) + _pairs("tops", False) + _sides("bottoms", "b", True) + _sides("tops", "t", False) + _CUTS
+_WEIGHTED = _TRIPLETS + f""", near AS MATERIALIZED (SELECT a.event_id, a.b_id, a.middle_id, a.t_id, o.t_id AS t2, o.t_r AS r2, ROW_NUMBER() OVER (PARTITION BY a.event_id, a.b_id, a.middle_id, a.t_id ORDER BY o.t_id) AS rn
       FROM trips a JOIN trips o ON a.event_id = o.event_id AND a.b_id = o.b_id AND a.middle_id = o.middle_id AND a.t_id <> o.t_id AND ABS(a.t_r - o.t_r) >= {FLT.delta_r_min!r}
       AND o.curvature >= a.curvature - {FLT.delta_inv_diameter!r} AND o.curvature <= a.curvature + {FLT.delta_inv_diameter!r}),
-    firsts AS (SELECT event_id, b_id, middle_id, t_id, r2 AS r_first FROM near WHERE rn = 1),
-    compat AS (SELECT event_id, b_id, middle_id, t_id, 1 + MAX(CASE WHEN ABS(r2 - r_first) >= {FLT.delta_r_min!r} THEN 1 ELSE 0 END) AS n_compatible FROM near JOIN firsts USING (event_id, b_id, middle_id, t_id) GROUP BY event_id, b_id, middle_id, t_id),
-    heavy AS (SELECT trips.*, COALESCE(n_compatible, 0) AS n_compatible, -impact * {FLT.impact_factor!r} + COALESCE(n_compatible, 0) * {FLT.compatible_weight!r}
-      + CASE WHEN t_r < {FLT.good_top_r!r} THEN {FLT.good_top_weight!r} WHEN b_r > {FLT.good_bottom_r!r} THEN {FLT.good_bottom_weight!r} ELSE 0e0 END AS weight FROM trips LEFT JOIN compat USING (event_id, b_id, middle_id, t_id)),
+    firsts AS MATERIALIZED (SELECT event_id, b_id, middle_id, t_id, r2 AS r_first FROM near WHERE rn = 1),
+    compat AS MATERIALIZED (SELECT event_id, b_id, middle_id, t_id, 1 + MAX(CASE WHEN ABS(r2 - r_first) >= {FLT.delta_r_min!r} THEN 1 ELSE 0 END) AS n_compatible FROM near JOIN firsts USING (event_id, b_id, middle_id, t_id) GROUP BY event_id, b_id, middle_id, t_id),
+    heavy AS (SELECT trips.*, COALESCE(n_compatible, 0) AS n_compatible, FLOOR((-impact * {FLT.impact_factor!r} + COALESCE(n_compatible, 0) * {FLT.compatible_weight!r}
+      + CASE WHEN t_r < {FLT.good_top_r!r} THEN {FLT.good_top_weight!r} WHEN b_r > {FLT.good_bottom_r!r} THEN {FLT.good_bottom_weight!r} ELSE 0e0 END) * 1e6 + 0.5e0) / 1e6 AS weight
+      FROM trips LEFT JOIN compat USING (event_id, b_id, middle_id, t_id)),
     weighted AS (SELECT * FROM heavy WHERE NOT (b_r > {FLT.good_bottom_r!r} AND weight < {FLT.good_bottom_min_weight!r})),
     ranked AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY event_id, middle_id ORDER BY weight DESC, b_y * b_y + b_z * b_z + t_y * t_y + t_z * t_z DESC, b_id, t_id) AS BIGINT) AS rank FROM weighted),
     chosen AS MATERIALIZED (SELECT * FROM ranked WHERE rank <= {CFG.max_per_middle} AND (rank = 1 OR weight > {FLT.min_weight!r} OR b_r > {FLT.min_bottom_r!r}))"""
@@ -78,8 +87,7 @@ def _points(spark, d):
 
 
 def _found(spark, d):
-    p = _points(spark, d)
-    return S.triplets(S.doublets(p, CFG, bottom=True), S.doublets(p, CFG, bottom=False), CFG)
+    return S.triplets(S.doublets(_points(spark, d), CFG), CFG)
 
 
 @query("fi1_valid_spacepoints", f"SELECT spacepoint_id FROM spacepoints WHERE {_VALID}")
@@ -101,12 +109,12 @@ for _bottom, _name in ((True, "bottom"), (False, "top")):
 
     @query(f"jo3_{_name}_doublets", _POINTS + _pairs("ds", _bottom) + "SELECT event_id, middle_id, other_id FROM ds")
     def jo3(spark, d, bottom=_bottom):
-        return S.doublets(_points(spark, d), CFG, bottom=bottom).select("event_id", "middle_id", "other_id")
+        return S.doublets(_points(spark, d), CFG).where(F.col("is_bottom") == bottom).select("event_id", "middle_id", "other_id")
 
 
 @query("fi3_doublet_counts", _POINTS + _pairs("ds", True) + "SELECT event_id, COUNT(*) AS n_doublets, COUNT(DISTINCT middle_id) AS n_middles FROM ds GROUP BY event_id")
 def fi3(spark, d):
-    return S.doublets(_points(spark, d), CFG, bottom=True).groupBy("event_id").agg(F.count("*").alias("n_doublets"), F.countDistinct("middle_id").alias("n_middles"))
+    return S.doublets(_points(spark, d), CFG).where("is_bottom").groupBy("event_id").agg(F.count("*").alias("n_doublets"), F.countDistinct("middle_id").alias("n_middles"))
 
 
 @query("jo4_triplets", _TRIPLETS + "SELECT event_id, b_id, middle_id, t_id FROM trips")
@@ -151,10 +159,11 @@ _PARAMS = _WEIGHTED + f""", p0 AS (SELECT c.event_id, c.b_id AS bottom_id, c.mid
 
 
 @query("al8_track_parameters", _PARAMS + f"""SELECT bottom_id, middle_id, top_id, CAST(FLOOR(ATAN2((ry + rx * a) / n, (rx - ry * a) / n) * 1e6 + 0.5e0) AS BIGINT) AS phi_u,
+    CAST(FLOOR(ATAN2(1e0, inv_tan) * 1e6 + 0.5e0) AS BIGINT) AS theta_u,
     CAST(FLOOR(COALESCE(1e0 / (radius * {_B!r}) / SQRT(1e0 + inv_tan * inv_tan), 0e0) * 1e6 + 0.5e0) AS BIGINT) AS qop_u FROM p7""")
 def al8(spark, d):
-    sp = table(spark, d, "spacepoints")
-    return S.track_parameters(S.seeds(sp), sp).select("bottom_id", "middle_id", "top_id", _micro(F.col("phi"), "phi_u"), _micro(F.col("qop"), "qop_u"))
+    found = S.track_parameters(S.seeds(table(spark, d, "spacepoints"), coordinates=True))
+    return found.select("bottom_id", "middle_id", "top_id", *(_micro(F.col(c), f"{c}_u") for c in ("phi", "theta", "qop")))
 
 
 @query("pr9_initial_covariance", "SELECT particle_id, CAST(FLOOR((POWER(0.1e0 * SIN(1e0 + vz / 200e0), 2) + POWER(0.1e0 * px, 2) + POWER(px / TAN(1e0 + vz / 200e0), 2) * 3.046174197867086e-4) * 1e6 + 0.5e0) AS BIGINT) AS cov_qop_u FROM particles")
