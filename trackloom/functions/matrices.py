@@ -56,3 +56,8 @@ def regularize(cov: np.ndarray, floor: float = -0.01) -> tuple[np.ndarray, np.nd
     i = np.arange(cov.shape[-1])
     out[..., i, i] = np.abs(diag)
     return out, ok
+
+
+def line_sign(is_line: Column, loc0: Column) -> Column:
+    """Sign of the observation of the first coordinate: a drift radius is positive on either side of its wire."""
+    return F.when(is_line & (loc0 < 0), -1).otherwise(1)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chi2 import prob
+from ..kernels.batches import by_groups
+from ..workers import with_workers
 
 
 def bin_of(value: Column, bins: int, low: float, high: float) -> Column:
@@ -74,24 +80,84 @@ def weighted_moments(bins: DataFrame, centre: str, weight: str, *by: str) -> Dat
     return out.select(*by, mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("w") - mean * mean, F.lit(0.0))).alias("sigma"))
 
 
+def _skyline(points: np.ndarray) -> np.ndarray:
+    """Places of the rows that no other row equals or undercuts in every column; rows are distinct."""
+    order = np.lexsort(points.T[::-1])  # a row can only be beaten by one before it
+    best = np.empty((0, points.shape[1]))
+    found: list[int] = []
+    for at in range(0, len(order), 1024):
+        some = order[at : at + 1024]
+        beaten = np.zeros(len(some), bool)
+        for i in range(0, len(best), 1024):
+            beaten |= (best[None, i : i + 1024] <= points[some][:, None]).all(2).any(1)
+        some = some[~beaten]
+        among = (points[some][None] <= points[some][:, None]).all(2)
+        np.fill_diagonal(among, False)
+        some = some[~among.any(1)]
+        found += some.tolist()
+        best = np.concatenate((best, points[some]))
+    return np.array(found, np.int64)
+
+
 def pareto(results: DataFrame, key: str, lower: list[str], higher: list[str]) -> DataFrame:
     """Rows that no other row equals or beats in all metrics; equal rows eliminate each other.
 
-    Rows of equal metrics are counted first, so the dominance test runs over distinct points only and a
-    point that occurs twice is out at once.  The test itself compares a point with those that are no
-    worse in the first metric, in its bucket of the others' best values per slice of that metric.
+    Rows of equal metrics are counted first.  Every partition keeps its own skyline, and what is left of all
+    is merged in a last task: it sees points that are the best of their partition only.
     """
     metrics = [*lower, *higher]
     points = results.groupBy(*metrics).agg(F.count("*").alias("n"), F.min(key).alias(key))
-    other = points.select(*(F.col(m).alias(f"{m}2") for m in metrics))
-    no_worse = [F.col(f"{m}2") <= F.col(m) for m in lower] + [F.col(f"{m}2") >= F.col(m) for m in higher]
-    differs = [F.col(f"{m}2") != F.col(m) for m in metrics]
-    every, some = no_worse[0], differs[0]
-    for c in no_worse[1:]:
-        every = every & c
-    for c in differs[1:]:
-        some = some | c
-    return points.where("n = 1").join(other, every & some, "left_anti").select(key, *metrics)
+    kind = points.schema
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            x = np.column_stack([table.column(m).to_numpy().astype(float) * (1 if m in lower else -1) for m in metrics])
+            held = table.take(pa.array(_skyline(x)))
+        if held is not None:
+            yield from held.to_batches()
+
+    with_workers(results.sparkSession)
+    return points.mapInArrow(keep, kind).repartition(1).mapInArrow(keep, kind).where("n = 1").select(key, *metrics)
+
+
+def gaussian_fit(rows: DataFrame, by: list[str], value: Column, *, bins: int = 100, low: float = -1.0, high: float = 1.0) -> DataFrame:
+    """Per group the mean and sigma of a Gaussian fitted to the histogram of ``value``, and sigma's error.
+
+    Least squares over the filled bins with Poisson weights, from the moments on; null with fewer than four filled bins.
+    """
+    width = (high - low) / bins
+    at = F.floor((value - low) / width).cast("long")
+    counts = rows.withColumn("at", at).where(F.col("at").between(0, bins - 1)).groupBy(*by, "at").agg(F.count("*").alias("n"))
+
+    def kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        place, n = table.column("at").to_numpy(), table.column("n").to_numpy().astype(float)
+        out = []
+        for a, b in zip(starts, [*starts[1:], len(n)], strict=True):
+            x, y = low + (place[a:b] + 0.5) * width, n[a:b]
+            mean = (x * y).sum() / y.sum()
+            sigma = max(np.sqrt((y * (x - mean) ** 2).sum() / y.sum()), width / 4)
+            fit = np.array([y.max(), mean, sigma])
+            error = None
+            for _ in range(50 if b - a > 3 else 0):
+                u = (x - fit[1]) / fit[2]
+                e = np.exp(-u * u / 2)
+                jac = np.column_stack((e, fit[0] * e * u / fit[2], fit[0] * e * u * u / fit[2])) / np.sqrt(y)[:, None]
+                normal = jac.T @ jac + 1e-12 * np.eye(3)
+                step = np.linalg.solve(normal, jac.T @ ((y - fit[0] * e) / np.sqrt(y)))
+                fit = fit + np.clip(step, -0.5 * np.abs(fit) - width, 0.5 * np.abs(fit) + width)
+                fit[2] = max(abs(fit[2]), width / 100)
+                error = float(np.sqrt(np.linalg.inv(normal)[2, 2]))
+                if np.abs(step / np.maximum(np.abs(fit), width)).max() < 1e-9:
+                    break
+            out.append((float(fit[1]), float(fit[2]), error) if error is not None else (None, None, None))
+        groups = {k: table.column(k).take(pa.array(starts)) for k in by}
+        return pa.table(groups | {k: pa.array([r[i] for r in out], pa.float64()) for i, k in enumerate(("mean", "sigma", "sigma_error"))})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema if f.name in by)
+    return by_groups(counts, by, ["at"], kernel, f"{kinds}, mean double, sigma double, sigma_error double")
 
 
 def close_matches(lhs: DataFrame, rhs: DataFrame, keys: list[str], columns: list[str], uncertainty: float, ident: str) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels.batches import by_groups
+
 
 def prefix_sums(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Inclusive and exclusive running sums within a group."""
@@ -75,27 +81,49 @@ def tips(links: DataFrame) -> DataFrame:
     return links.join(links.select(F.col("previous_id").alias("link_id")).where("link_id IS NOT NULL"), "link_id", "left_anti")
 
 
-def back_walk(links: DataFrame, keep=None) -> DataFrame:
+def back_walk(links: DataFrame) -> DataFrame:
     """(tip_id, link_id, back): every tip with its chain of predecessors, the tip itself at 0.
 
-    Pointer doubling: round k joins chains of length 2 ** k, so the number of joins is logarithmic in
-    the longest chain.  ``keep`` cuts the lineage between rounds (a table written in the shared folder).
+    A chain stays within its seed, so seeds are the groups: one shuffle, and many seeds walk together.
+    """
+
+    def kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        link = table.column("link_id").to_numpy()
+        order = np.argsort(link)
+        up = table.column("previous_id").fill_null(-1).to_numpy()
+        known = table.column("previous_id").is_valid().to_numpy()
+        before = np.where(known, order[np.minimum(np.searchsorted(link[order], up), len(link) - 1)], -1)
+        before[known & (link[before] != up)] = -1  # a predecessor that isn't there ends the chain
+        led = np.zeros(len(link), bool)
+        led[before[before >= 0]] = True
+        tip = front = np.flatnonzero(~led)
+        found = []
+        while len(front):
+            found.append((link[tip], link[front], np.full(len(tip), len(found))))
+            after = before[front]
+            tip, front = tip[after >= 0], after[after >= 0]
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+        return pa.table(dict(zip(("tip_id", "link_id", "back"), columns, strict=True)))
+
+    return by_groups(links.select("seed_id", "link_id", "previous_id"), ["seed_id"], ["link_id"], kernel, "tip_id long, link_id long, back long")
+
+
+def duplicate_tips(walks: DataFrame, tips_: DataFrame, min_length: int = 5) -> DataFrame:
+    """Tips whose measurements are the last ones of another tip of higher p-value (ties: the lower id stays).
+
+    ``walks``: tip_id, meas_id, back (0: the last); ``tips_``: tip_id, pval, ndf.  Only tips of more than
+    ``min_length`` measurements take part, and only those with ndf over 5 can go.  Every tip offers each of
+    its endings; a tip goes if the best offer of what it consists of isn't its own.  No pair of tips that merely
+    share a last measurement is formed.
     """
-    keep = keep or (lambda df: df)
-    parent = links.select("link_id", F.col("previous_id").alias("up"))
-    walk = tips(links).select(F.col("link_id").alias("tip_id"), "link_id", F.lit(0).cast("long").alias("back"))
-    jump, size = parent.where("up IS NOT NULL"), 1
-    while True:
-        more = walk.join(jump, "link_id").select("tip_id", F.col("up").alias("link_id"), (F.col("back") + size).alias("back"))
-        longer = jump.join(jump.select(F.col("link_id").alias("up"), F.col("up").alias("up2")), "up").select("link_id", F.col("up2").alias("up"))
-        walk, jump, size = keep(walk.unionByName(more)), keep(longer), size * 2
-        if not jump.limit(1).count():
-            return walk
-
-
-def duplicate_tips(walks: DataFrame, tips_: DataFrame, shared: int) -> DataFrame:
-    """Tips that end with the same ``shared`` measurements as another tip of higher p-value (ties: lower id stays)."""
-    tail = walks.where(F.col("back") < shared).groupBy("tip_id").agg(F.array_sort(F.collect_list(F.struct("back", "meas_id"))).alias("t"), F.count("*").alias("n")).where(F.col("n") == shared)
-    named = tail.join(tips_, "tip_id").withColumn("key", F.transform("t", lambda s: s["meas_id"]))
-    by = Window.partitionBy("key").orderBy(F.desc("pval"), "tip_id")
-    return named.withColumn("rank", F.row_number().over(by)).where("rank > 1").select("tip_id")
+    chains = walks.groupBy("tip_id").agg(F.array_sort(F.collect_list(F.struct("back", "meas_id"))).alias("t")).select("tip_id", F.transform("t", lambda s: s["meas_id"]).alias("chain"))
+    chains = chains.where(F.size("chain") > min_length).join(tips_, "tip_id")
+    sizes = F.sequence(F.lit(min_length + 1), F.size("chain"))
+    offers = chains.select(F.explode(F.transform(sizes, lambda k: F.slice("chain", 1, k))).alias("chain"), F.struct("pval", (-F.col("tip_id")).alias("minus")).alias("offer"))
+    best = offers.groupBy("chain").agg(F.max("offer").alias("best"))
+    return chains.where("ndf > 5").join(best, "chain").where(-F.col("best.minus") != F.col("tip_id")).select("tip_id")
+
+
+def divergence_key(theta: Column, alive: Column) -> Column:
+    """Sort key of tracks by their angle to the transverse plane, dead ones behind all others."""
+    return F.when(alive, 0.0).otherwise(1e4) + F.abs(theta - math.pi / 2)

@@ -5,12 +5,14 @@ Geometry: planes perpendicular to x, a constant field along z, no material.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..functions.chi2 import upper_tail
 from ..kernels import kalman as K
@@ -46,12 +48,16 @@ def simulate(spark: SparkSession, events: int, tracks: int, planes: list[float],
     return spark.range(events).mapInPandas(run, schema)
 
 
-def smeared_seeds(truth: DataFrame, *, seed: int = 7, scale: float = 0.1) -> DataFrame:
-    """Truth states on the first plane with normal errors of ``scale`` times the initial uncertainties."""
-    from pyspark.sql import functions as F
+def normal(seed: int, *keys: str) -> Column:
+    """A standard normal number of the keys alone (Box-Muller on two hashes): the same in any partitioning."""
+    uniform = [(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), *keys), 11) + 0.5) / 2.0**53 for i in (0, 1)]
+    return F.sqrt(-2 * F.ln(uniform[0])) * F.cos(2 * math.pi * uniform[1])
+
 
-    first = truth.where("plane = 0")
-    return first.select("event_id", "track_id", *((F.col(f"t_{n}") + F.randn(seed + i) * float(SIGMA[i] * scale) * (0.0 if n == "time" else 1.0)).alias(n) for i, n in enumerate(_SEED)))
+def smeared_seeds(truth: DataFrame, *, seed: int = 7, scale: float = 0.1) -> DataFrame:
+    """Truth states on the first plane with normal errors of ``scale`` times the initial uncertainties; times have none."""
+    errors = [normal(seed + i, "event_id", "track_id") * float(0.0 if n == "time" else SIGMA[i] * scale) for i, n in enumerate(_SEED)]
+    return truth.where("plane = 0").select("event_id", "track_id", *((F.col(f"t_{n}") + e).alias(n) for n, e in zip(_SEED, errors, strict=True)))
 
 
 def fit_tracks(states: DataFrame, seeds: DataFrame, *, bz: float, scatter: float = 0.0, iterations: int = 1) -> DataFrame:
@@ -127,28 +133,54 @@ def find_tracks(measurements: DataFrame, seeds: DataFrame, planes: list[float],
     return left.groupBy("event_id").cogroup(right.groupBy("event_id")).applyInArrow(run, "event_id long, seed_id long, branch int, pos int, meas_id long, chi2 double, ndf double")
 
 
-def generate_cells(spark: SparkSession, events: int, *, modules: int = 2500, size: int = 655, hits: tuple[float, float] = (1.65, 0.95), cells: tuple[float, float] = (1.80, 0.89), seed: int = 1) -> DataFrame:
-    """Random cells: log-normal hits per module, log-normal cells per hit grown by random neighbour steps."""
+def smooth_found(found: DataFrame, measurements: DataFrame, seeds: DataFrame, *, bz: float, scatter: float = 0.0) -> DataFrame:
+    """Fit and smooth the tracks of ``find_tracks``, with the seeds they were found from; track_id is seed_id * 1024 + branch."""
+    own = (F.col("seed_id") * 1024 + F.col("branch")).alias("track_id")
+    states = found.select("event_id", own, "meas_id").join(measurements.drop("track_id"), ["event_id", "meas_id"])
+    start = found.select("event_id", "seed_id", own).distinct().join(seeds.select("event_id", "seed_id", *_SEED), ["event_id", "seed_id"]).drop("seed_id")
+    return fit_tracks(states, start, bz=bz, scatter=scatter)
+
+
+def simulation_tables(truth: DataFrame) -> dict[str, DataFrame]:
+    """particles, hits, measurements and hit_map of simulated tracks, as a simulation writes them."""
+    hit = F.col("plane") * 1_000_000 + F.col("track_id")
+    return {
+        "particles": truth.where("plane = 0").select("event_id", F.col("track_id").alias("particle_id"), *(f"t_{n}" for n in _SEED)),
+        "hits": truth.select("event_id", hit.alias("hit_id"), F.col("track_id").alias("particle_id"), "plane", "x", F.col("t_loc0").alias("y"), F.col("t_loc1").alias("z")),
+        "measurements": truth.select("event_id", "meas_id", "plane", "m0", "m1", "var0", "var1", "dim"),
+        "hit_map": truth.select("event_id", hit.alias("hit_id"), "meas_id"),
+    }
+
+
+def generate_cells(
+    spark: SparkSession, events: int, *, modules: int = 2500, size: int = 655,
+    hits: tuple[float, float] = (1.65, 0.95), cells: tuple[float, float] = (1.80, 0.89), seed: int = 1,
+) -> DataFrame:
+    """Random cells: log-normal hits per module, log-normal cells per hit grown by random neighbour steps.
+
+    All hits of an event grow together, one cell a step.
+    """
+
+    def one_event(event: int) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, event])
+        module = np.repeat(np.arange(modules), rng.lognormal(*hits, modules).astype(int))
+        many = np.maximum(rng.lognormal(*cells, len(module)).astype(int), 1)
+        first = np.cumsum(many) - many
+        place = np.empty((int(many.sum()), 2), np.int64)
+        place[first] = rng.integers(0, size, (len(module), 2))
+        for step in range(1, int(many.max(initial=1))):
+            on = first[many > step]
+            parent = on + (rng.random(len(on)) * step).astype(int)
+            place[on + step] = np.clip(place[parent] + rng.integers(-1, 2, (len(on), 2)), 0, size - 1)
+        rows = np.unique(np.column_stack((np.repeat(module, many), place)), axis=0)
+        return pd.DataFrame({
+            "event_id": event, "module_index": rows[:, 0].astype(np.int32), "channel0": rows[:, 1].astype(np.int32), "channel1": rows[:, 2].astype(np.int32),
+            "activation": rng.integers(1, 100, len(rows)), "cell_id": np.arange(len(rows)) + event * 10_000_000,
+        })
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for event in frame["id"]:
-                rng = np.random.default_rng([seed, int(event)])
-                rows = []
-                for module in range(modules):
-                    seen: set[tuple[int, int]] = set()
-                    for _ in range(int(rng.lognormal(*hits))):
-                        c = tuple(int(v) for v in rng.integers(0, size, 2))
-                        grown = [c]
-                        for _ in range(int(rng.lognormal(*cells)) - 1):
-                            b = grown[rng.integers(len(grown))]
-                            d = rng.integers(-1, 2, 2)
-                            grown.append((int(np.clip(b[0] + d[0], 0, size - 1)), int(np.clip(b[1] + d[1], 0, size - 1))))
-                        seen |= set(grown)
-                    rows += [(event, module, a, b, int(rng.integers(1, 100))) for a, b in sorted(seen)]
-                out = pd.DataFrame(rows, columns=["event_id", "module_index", "channel0", "channel1", "activation"])
-                out["cell_id"] = np.arange(len(out)) + int(event) * 10_000_000
-                yield out
+            yield from (one_event(int(event)) for event in frame["id"])
 
     return spark.range(events).mapInPandas(run, "event_id long, module_index int, channel0 int, channel1 int, activation long, cell_id long")
 
@@ -183,9 +215,6 @@ def triplet_fit(states: DataFrame, *, bz: float, scatter: float = 0.0) -> DataFr
 
 def truth_candidates(truth: DataFrame, *, pt_min: float = 0.0) -> DataFrame:
     """Time-ordered truth measurements of every particle above a transverse momentum, as candidates."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     rows = truth.where(F.sin("t_theta") >= F.abs("t_qop") * pt_min)
     by = Window.partitionBy("event_id", "track_id").orderBy("plane", "meas_id")
     return rows.select("event_id", "track_id", (F.row_number().over(by) - 1).alias("pos"), "meas_id")

@@ -75,7 +75,7 @@ def wrapped(phi: Column) -> Column:
 
 def eta_index(z: Column, r: Column, cfg: GraphConfig) -> Column:
     """Bin of the pseudorapidity, the first and last for all beyond."""
-    at = F.floor((F.asinh(z / r) - cfg.eta_min) / ((cfg.eta_max - cfg.eta_min) / cfg.eta_bins)).cast("long")
+    at = F.floor((F.asinh(z / F.nullif(r, F.lit(0.0))) - cfg.eta_min) / ((cfg.eta_max - cfg.eta_min) / cfg.eta_bins)).cast("long")
     return F.least(F.greatest(at, F.lit(0)), F.lit(cfg.eta_bins - 1))
 
 
@@ -144,12 +144,13 @@ def make_edges(points: DataFrame, layer_pairs: DataFrame, cfg: GraphConfig | Non
     inner = inner.withColumn("phi_bin", F.explode(F.array_distinct(F.transform(bins, lambda b: F.pmod(b, F.lit(cfg.phi_bins))))))
     outer = points.select("event_id", F.col("spacepoint_id").alias("node2"), F.col("layer").alias("layer2"), "phi_bin", *(F.col(c).alias(f"{c}2") for c in both))
     pairs = inner.join(outer, ["event_id", "layer2", "phi_bin"]).withColumn("dr", F.col("r2") - F.col("r1")).where(F.col("dr") >= cfg.min_delta_r)
-    pairs = pairs.withColumn("tau", (F.col("z2") - F.col("z1")) / F.col("dr")).withColumn("z0", F.col("z1") - F.col("r1") * F.col("tau"))
+    rise = F.nullif("dr", F.lit(0.0))  # conditions of a join may be tested in any order
+    pairs = pairs.withColumn("tau", (F.col("z2") - F.col("z1")) / rise).withColumn("z0", F.col("z1") - F.col("r1") * F.col("tau"))
     steep = F.abs("tau")
     pairs = pairs.where(steep.between(F.greatest("tau_min1", "tau_min2"), F.least("tau_max1", "tau_max2")) & F.col("z0").between(cfg.min_z0, cfg.max_z0))
     reach = cfg.outer_radius * cfg.tau_region
     pairs = pairs.where((F.col("z0") + F.col("tau") * cfg.outer_radius).between(cfg.min_z0 - reach, cfg.max_z0 + reach))
-    pairs = pairs.withColumn("dphi", wrapped(F.col("phi2") - F.col("phi1"))).where(F.abs("dphi") <= F.col("delta_phi")).withColumn("curv", F.col("dphi") / F.col("dr"))
+    pairs = pairs.withColumn("dphi", wrapped(F.col("phi2") - F.col("phi1"))).where(F.abs("dphi") <= F.col("delta_phi")).withColumn("curv", F.col("dphi") / rise)
     d0 = F.when(steep < cfg.steep_tau, cfg.low_kappa_d0).otherwise(cfg.high_kappa_d0)
     pairs = pairs.where(F.col("r1") * F.col("r2") * (F.abs("curv") - cfg.max_kappa) <= d0)
     return pairs.select(
@@ -171,7 +172,7 @@ def link_edges(edges: DataFrame, cfg: GraphConfig | None = None) -> DataFrame:
     then = edges.select("event_id", F.col("edge_id").alias("next_id"), F.col("node1").alias("node"), F.col("curv").alias("c2"), F.col("exp_eta").alias("e2"), F.col("phi_in").alias("p2"))
     apart = F.abs(F.col("c1") - F.col("c2"))
     close = first.join(then, ["event_id", "node"]).where(apart <= cfg.max_curv_difference)
-    close = close.where((F.abs(F.col("e2") / F.col("e1") - 1) <= cfg.max_tau_ratio) & (F.abs(wrapped(F.col("p1") - F.col("p2"))) <= cfg.max_phi_difference))
+    close = close.where((F.abs(F.col("e2") - F.col("e1")) <= cfg.max_tau_ratio * F.col("e1")) & (F.abs(wrapped(F.col("p1") - F.col("p2"))) <= cfg.max_phi_difference))
     by = Window.partitionBy("event_id", "edge_id").orderBy(apart, "next_id")
     return close.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= cfg.max_links).select("event_id", "edge_id", "next_id")
 
@@ -333,7 +334,7 @@ def _with_curvature(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"r": F.expr("SQRT(mx * mx + my * my)"), "outer": F.expr("SQRT(cx * cx + cy * cy)")})
     for p in "ac":
         rows = rows.withColumns({"dx": F.col(f"{p}x") - F.col("mx"), "dy": F.col(f"{p}y") - F.col("my")})
-        rows = rows.withColumn("size", F.expr("NULLIF(dx * dx + dy * dy, 0e0) * r"))
+        rows = rows.withColumn("size", F.expr("NULLIF((dx * dx + dy * dy) * r, 0e0)"))
         rows = rows.withColumns({f"u{p}": F.expr("(dx * mx + dy * my) / size"), f"v{p}": F.expr("(dy * mx - dx * my) / size")})
     rows = rows.withColumn("line", F.expr("(va - vc) / NULLIF(ua - uc, 0e0)"))
     curvature = F.expr("COALESCE(1000e0 * (vc - line * uc) / SQRT(1e0 + line * line), 0e0)")

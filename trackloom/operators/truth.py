@@ -35,8 +35,8 @@ def eta(px: str, py: str, pz: str) -> Column:
     return F.asinh(F.col(pz) / F.sqrt(pt2))
 
 
-def accepted_particles(particles: DataFrame, meas_particle: DataFrame, *, pt_min: float = 0.5, z_max: float = 500.0, eta_max: float = 3.0, process: int = -1, min_meas: int = 3) -> DataFrame:
-    """Charged particles within the cuts that have at least ``min_meas`` measurements."""
+def accepted_particles(particles: DataFrame, meas_particle: DataFrame, *, pt_min: float = 0.5, z_max: float = 500.0, r_max: float = 200.0, eta_max: float = 3.0, process: int = -1, min_meas: int = 3) -> DataFrame:
+    """Charged particles within the cuts (the vertex within z_max and, across the beam, r_max) with ``min_meas`` measurements or more."""
     size = meas_particle.groupBy("particle_id").agg(F.count("*").alias("n_meas"))
     rows = particles.join(size, "particle_id")
     pt2 = F.col("px") * F.col("px") + F.col("py") * F.col("py")
@@ -44,7 +44,8 @@ def accepted_particles(particles: DataFrame, meas_particle: DataFrame, *, pt_min
     import math
 
     steep = F.col("pz") * F.col("pz") <= pt2 * (math.sinh(eta_max) ** 2)
-    keep = (F.col("charge") != 0) & (pt2 >= pt_min**2) & (F.abs(F.col("vz")) <= z_max) & steep & (F.col("n_meas") >= min_meas)
+    near = F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") <= r_max * r_max
+    keep = near & (F.col("charge") != 0) & (pt2 >= pt_min**2) & (F.abs(F.col("vz")) <= z_max) & steep & (F.col("n_meas") >= min_meas)
     return rows.where(keep if process < 0 else keep & (F.col("process") == process))
 
 
@@ -79,6 +80,16 @@ def rates(accepted: DataFrame, found: DataFrame, links: DataFrame, meas_particle
     return both.withColumns({"efficiency": F.col("n_found") / F.col("n_truth"), "duplicate_rate": F.col("n_duplicate") / F.col("n_found"), "fake_rate": F.col("n_fake") / F.col("n_tracks")})
 
 
+def nseed_report(accepted: DataFrame, found: DataFrame) -> DataFrame:
+    """Seeds that match a particle and that don't, accepted particles with a matched seed and without, and their rates."""
+    seeds = found.agg(F.count_if("matched").alias("n_true"), F.count_if(~F.col("matched")).alias("n_false"), F.lit(1).alias("k"))
+    hit = found.where("matched").select("particle_id").distinct().withColumn("hit", F.lit(True))
+    tracks = accepted.join(hit, "particle_id", "left").agg(F.count("hit").alias("n_matched"), F.count_if(F.col("hit").isNull()).alias("n_unmatched"), F.lit(1).alias("k"))
+    total, truth = F.nullif(F.col("n_true") + F.col("n_false"), F.lit(0)), F.nullif(F.col("n_matched") + F.col("n_unmatched"), F.lit(0))
+    rates_ = {"precision_": F.col("n_true") / total, "fake_rate": F.col("n_false") / total, "recall": F.col("n_matched") / truth}
+    return seeds.join(tracks, "k").drop("k").withColumns(rates_)
+
+
 def exact_matcher(links: DataFrame, meas_particle: DataFrame) -> DataFrame:
     """Smallest particle that contributes as often as the track has links."""
     size = links.groupBy("track_id").agg(F.count("*").alias("n"))

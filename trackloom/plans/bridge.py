@@ -30,7 +30,7 @@ VIEWS: dict[str, str] = {
     # each order is one curved track, each line one layer; only + - * / sqrt, so both engines agree bit by bit
     "spacepoints": """
         SELECT ev AS event_id, base * 100 + ROW_NUMBER() OVER (PARTITION BY base ORDER BY l_suppkey, l_extendedprice) AS spacepoint_id, x, y, z FROM (
-          SELECT ev, base, l_suppkey, l_extendedprice, (a * r - b * s) / l AS x, (b * r + a * s) / l AS y, z FROM (
+          SELECT ev, base, l_suppkey, l_extendedprice, (a * r - b * s) / NULLIF(l, 0e0) AS x, (b * r + a * s) / NULLIF(l, 0e0) AS y, z FROM (
             SELECT ev, base, l_suppkey, l_extendedprice, a, b, SQRT(CAST(a * a + b * b AS DOUBLE)) AS l, CAST(r AS DOUBLE) AS r, CAST(r * r AS DOUBLE) * kap AS s, z0 + cot * r AS z FROM (
               SELECT CAST(FLOOR(l_orderkey / 100.0e0) AS BIGINT) AS ev, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS base, l_suppkey, l_extendedprice,
                      ((l_orderkey * 7919) % 401) - 200 AS a, ((l_orderkey * 104729) % 397) - 198 AS b,
@@ -38,7 +38,7 @@ VIEWS: dict[str, str] = {
                      CAST((l_orderkey % 41) * 5 - 100 AS DOUBLE) AS z0, ((l_orderkey % 23) - 11) * 0.1e0 AS cot
               FROM lineitem) AS shaped WHERE a <> 0 AND b <> 0) AS rotated) AS placed""",
     "tracks": """
-        SELECT o_custkey % 16 AS event_id, o_orderkey AS track_id, CAST((o_orderkey * 7919) % 10007 AS DOUBLE) / 10007e0 AS pval,
+        SELECT CAST(FLOOR(o_orderkey / 400.0e0) AS BIGINT) AS event_id, o_orderkey AS track_id, CAST((o_orderkey * 7919) % 10007 AS DOUBLE) / 10007e0 AS pval,
                CAST(2 * (1 + o_orderkey % 9) AS BIGINT) AS ndf, CAST((o_orderkey * 31) % 4001 AS DOUBLE) / 128e0 AS chi2,
                CAST(o_orderkey % 9 AS BIGINT) AS fit_outcome
         FROM orders""",
@@ -49,7 +49,8 @@ VIEWS: dict[str, str] = {
     "particles": """
         SELECT c_custkey AS particle_id, CAST(c_custkey % 3 - 1 AS BIGINT) AS charge, CAST(c_custkey % 4 AS BIGINT) AS process,
                CAST((c_custkey * 37) % 401 - 200 AS DOUBLE) / 64e0 AS px, CAST((c_custkey * 53) % 397 - 198 AS DOUBLE) / 64e0 AS py,
-               CAST((c_custkey * 71) % 801 - 400 AS DOUBLE) / 64e0 AS pz, CAST((c_custkey * 13) % 301 - 150 AS DOUBLE) AS vz
+               CAST((c_custkey * 71) % 801 - 400 AS DOUBLE) / 64e0 AS pz, CAST((c_custkey * 13) % 301 - 150 AS DOUBLE) AS vz,
+               CAST((c_custkey * 29) % 401 - 200 AS DOUBLE) AS vx, CAST((c_custkey * 43) % 307 - 153 AS DOUBLE) AS vy
         FROM customer""",
     "particle_count": "SELECT COUNT(*) AS n FROM customer",
     # every measurement comes from one particle, every seventh from a second one as well

@@ -192,3 +192,22 @@ def ag18(spark, d):
     SELECT event_id, CAST(FLOOR(before / 256.0e0) AS BIGINT) AS block, COUNT(*) AS n_modules, CAST(SUM(n) AS BIGINT) AS n_cells, MAX(n) AS largest FROM placed GROUP BY event_id, CAST(FLOOR(before / 256.0e0) AS BIGINT)""")
 def al35(spark, d):
     return sanity.module_blocks(table(spark, d, "cells"), 256)
+
+
+_PACKED = """WITH sized AS (SELECT event_id, module_index, COUNT(*) AS n FROM cells GROUP BY event_id, module_index),
+    nth AS (SELECT event_id, n, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY module_index) AS place FROM sized),
+    pack(event_id, place, bin, held) AS (SELECT event_id, place, CAST(0 AS BIGINT), n FROM nth WHERE place = 1
+      UNION ALL SELECT p.event_id, m.place, CASE WHEN p.held >= 96 THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.held >= 96 THEN m.n ELSE p.held + m.n END
+      FROM pack p JOIN nth m ON p.event_id = m.event_id AND m.place = p.place + 1),
+    bins AS (SELECT event_id, bin, COUNT(*) AS n_modules, MAX(held) AS n_cells FROM pack GROUP BY event_id, bin)"""
+
+
+@query("al35_packed_modules", _PACKED + "SELECT event_id, bin, n_modules, n_cells FROM bins", True)
+def al35_packed(spark, d):
+    return sanity.packed_modules(table(spark, d, "cells"), 96)
+
+
+@query("al35_packing_statistics", _PACKED + """SELECT event_id, CAST(SUM(n_modules) AS BIGINT) AS n_modules, CAST(SUM(n_cells) AS BIGINT) AS n_cells, COUNT(*) AS n_bins, MIN(n_cells) AS smallest, MAX(n_cells) AS largest,
+    CAST(COUNT(*) * MAX(n_cells) AS DOUBLE) / SUM(n_cells) AS inefficiency FROM bins GROUP BY event_id""", True)
+def al35_statistics(spark, d):
+    return sanity.packing_statistics(sanity.packed_modules(table(spark, d, "cells"), 96))

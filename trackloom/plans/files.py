@@ -29,10 +29,13 @@ def sc5(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("measurement_id"), "l_linenumber", ((key.bitwiseAND(2) != 0).cast("long") + (key.bitwiseAND(4) != 0).cast("long")).alias("dimensions"))
 
 
-@query("sc6_hit_measurements", "SELECT h.event_id, h.hit_id, COALESCE(m.meas_id, -1) AS meas_id FROM (SELECT DISTINCT event_id, hit_id FROM hits) AS h LEFT JOIN (SELECT meas_id, MIN(particle_id) AS p FROM meas_particle GROUP BY meas_id) AS m ON h.hit_id = m.meas_id")
+@query("sc6_hit_measurements", """SELECT h.event_id, h.hit_id, COALESCE(m.meas_id, -1) AS meas_id FROM (SELECT DISTINCT event_id, hit_id, CAST(FLOOR(hit_id / 30000e0) AS BIGINT) AS slot FROM hits) AS h
+    LEFT JOIN (SELECT DISTINCT meas_id FROM meas_particle) AS m ON h.slot = m.meas_id""")
 def sc6(spark, d):
-    hits = table(spark, d, "hits").select("event_id", "hit_id").distinct()
-    return hits.join(table(spark, d, "meas_particle").select(F.col("meas_id").alias("hit_id"), "meas_id").distinct(), "hit_id", "left").select("event_id", "hit_id", F.coalesce("meas_id", F.lit(-1).cast("long")).alias("meas_id"))
+    # thirty order numbers a part number at any scale: most hits have a measurement
+    hits = table(spark, d, "hits").select("event_id", "hit_id", F.floor(F.col("hit_id") / 30000.0).alias("slot")).distinct()
+    measured = table(spark, d, "meas_particle").select(F.col("meas_id").alias("slot"), "meas_id").distinct()
+    return hits.join(measured, "slot", "left").select("event_id", "hit_id", F.coalesce("meas_id", F.lit(-1).cast("long")).alias("meas_id"))
 
 
 @query("sc8_particle_measurements", "SELECT particle_id, STRING_AGG(CAST(meas_id AS VARCHAR), ',' ORDER BY meas_id) AS meas_ids FROM meas_particle JOIN particles USING (particle_id) GROUP BY particle_id")

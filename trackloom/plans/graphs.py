@@ -96,7 +96,7 @@ def jo13(spark, d):
 
 _LINKS = _EDGES + f""", close AS (SELECT a.event_id, a.edge_id, b.edge_id AS next_id, ROW_NUMBER() OVER (PARTITION BY a.edge_id ORDER BY ABS(a.curv - b.curv), b.edge_id) AS rank
       FROM edges a JOIN edges b ON a.event_id = b.event_id AND a.node2 = b.node1
-      WHERE ABS(b.exp_eta / a.exp_eta - 1e0) <= 0.01e0 AND ABS({_wrap("(a.phi_out - b.phi_in)")}) <= 0.012e0 AND ABS(a.curv - b.curv) <= 0.001e0),
+      WHERE ABS(b.exp_eta - a.exp_eta) <= 0.01e0 * a.exp_eta AND ABS({_wrap("(a.phi_out - b.phi_in)")}) <= 0.012e0 AND ABS(a.curv - b.curv) <= 0.001e0),
     links AS MATERIALIZED (SELECT event_id, edge_id, next_id FROM close WHERE rank <= 10)"""
 
 

@@ -28,7 +28,7 @@ _CONTRIB = """WITH contrib AS (SELECT track_id, particle_id, COUNT(*) AS n_hits
     truth AS (SELECT particle_id, COUNT(*) AS n_truth FROM meas_particle GROUP BY particle_id),
     found AS (SELECT track_id, particle_id, n_hits, n_meas, n_truth, CAST(n_hits AS DOUBLE) / n_meas AS purity, CAST(n_hits AS DOUBLE) / n_truth AS completeness FROM ranked JOIN sized USING (track_id) JOIN truth USING (particle_id) WHERE rank = 1)"""
 # sinh(1.0) ** 2 and sinh(3.0) ** 2
-_ACCEPTED = """, accepted AS (SELECT particle_id, n_truth AS n_meas FROM particles JOIN truth USING (particle_id) WHERE charge <> 0 AND px * px + py * py >= 0.25e0 AND ABS(vz) <= 500e0
+_ACCEPTED = """, accepted AS (SELECT particle_id, n_truth AS n_meas FROM particles JOIN truth USING (particle_id) WHERE charge <> 0 AND px * px + py * py >= 0.25e0 AND ABS(vz) <= 500e0 AND vx * vx + vy * vy <= 40000e0
     AND pz * pz <= (px * px + py * py) * 100.35781774372317e0 AND n_truth >= 3)"""
 
 
@@ -83,6 +83,15 @@ def ag11(spark, d):
     return out.withColumn("precision_", F.col("n_matched") / F.col("n_seeds"))
 
 
+@query("ag11_nseed_totals", _RATED + """, s AS (SELECT CAST(SUM(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_true, CAST(SUM(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_false FROM matched),
+    t AS (SELECT CAST(SUM(CASE WHEN n_matched > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_matched, CAST(SUM(CASE WHEN n_matched > 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_unmatched FROM per_particle)
+    SELECT n_true, n_false, n_matched, n_unmatched, CAST(n_true AS DOUBLE) / (n_true + n_false) AS precision_, CAST(n_false AS DOUBLE) / (n_true + n_false) AS fake_rate,
+    CAST(n_matched AS DOUBLE) / (n_matched + n_unmatched) AS recall FROM s, t""")
+def ag11_totals(spark, d):
+    accepted, found, *_ = _rated(spark, d)
+    return T.nseed_report(accepted, found)
+
+
 @query("ag12_exact_matcher", _CONTRIB + "SELECT track_id, MIN(particle_id) AS particle_id FROM contrib JOIN sized USING (track_id) WHERE n_hits = n_meas GROUP BY track_id")
 def ag12_exact(spark, d):
     return T.exact_matcher(*_inputs(spark, d))

@@ -22,9 +22,12 @@ def query(name: str):
     return keep
 
 
+def _events(spark, d) -> int:
+    return max(1, table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 1000.0).alias("e")).distinct().count())
+
+
 def _truth(spark, d):
-    events = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 1000.0).alias("e")).distinct().count()
-    return T.simulate(spark, max(1, events), 10, PLANES, bz=BZ)
+    return T.simulate(spark, _events(spark, d), 10, PLANES, bz=BZ)
 
 
 def _seeds(truth):
@@ -68,6 +71,19 @@ def al25(spark, d):
     return T.fit_tracks(truth, _seeds(truth), bz=BZ)
 
 
+@query("al26_found_smoothing")
+def al26(spark, d):
+    truth = _truth(spark, d)
+    seeds = _seeds(truth).withColumnRenamed("track_id", "seed_id").withColumn("plane", F.lit(0))
+    found = T.find_tracks(truth, seeds, PLANES, bz=BZ, cfg=FindingConfig())
+    return T.smooth_found(found, truth, seeds, bz=BZ)
+
+
+@query("sk10_simulation_hits")
+def sk10(spark, d):
+    return T.simulation_tables(_truth(spark, d))["hits"]
+
+
 @query("al27_triplet_fit")
 def al27(spark, d):
     return T.triplet_fit(_truth(spark, d), bz=BZ)
@@ -80,4 +96,4 @@ def al30(spark, d):
 
 @query("al34_cell_generator")
 def al34(spark, d):
-    return T.generate_cells(spark, 2, modules=100)
+    return T.generate_cells(spark, _events(spark, d))

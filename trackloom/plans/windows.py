@@ -37,7 +37,12 @@ def _local_folder() -> str:
 
 def kept(spark):
     """Write a table to the shared folder and read it again: cuts the lineage of iterative plans."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_folder()
 
     def keep(df):
         path = f"{base.rstrip('/')}/trackloom-{uuid.uuid4().hex}"
@@ -100,9 +105,9 @@ def so10(spark, d):
     return B.optimal_measurement(_candidates(spark, d), ["track_id", "surface"])
 
 
-@query("jo7_measurement_candidates", f"WITH {_CAND} SELECT t.track_id, c.meas_id, c.chi2 FROM tracks t JOIN cand c ON t.track_id = c.track_id AND t.event_id = c.surface WHERE c.chi2 <= 30e0")
+@query("jo7_measurement_candidates", f"WITH {_CAND} SELECT t.track_id, c.meas_id, c.chi2 FROM tracks t JOIN cand c ON t.track_id = c.track_id AND t.event_id % 20 = c.surface WHERE c.chi2 <= 30e0")
 def jo7(spark, d):
-    t = table(spark, d, "tracks").select("track_id", F.col("event_id").alias("surface"))
+    t = table(spark, d, "tracks").select("track_id", (F.col("event_id") % 20).alias("surface"))
     return t.join(_candidates(spark, d), ["track_id", "surface"]).where("chi2 <= 30").select("track_id", "meas_id", "chi2")
 
 
@@ -126,7 +131,7 @@ def se4(spark, d):
     walk(tip_id, link_id, back) AS (SELECT link_id, link_id, CAST(0 AS BIGINT) FROM tips UNION ALL SELECT w.tip_id, c.previous_id, w.back + 1 FROM walk w JOIN candidate_links c ON w.link_id = c.link_id WHERE c.previous_id IS NOT NULL)
     SELECT tip_id, link_id, back FROM walk""", True)
 def al17(spark, d):
-    return B.back_walk(table(spark, d, "candidate_links"), kept(spark))
+    return B.back_walk(table(spark, d, "candidate_links"))
 
 
 @query("so8_last_measurement", "SELECT track_id, MAX(pos) AS n, ARG_MAX(meas_id, pos) AS last FROM track_links GROUP BY track_id")
@@ -134,11 +139,21 @@ def so8(spark, d):
     return table(spark, d, "track_links").groupBy("track_id").agg(F.max("pos").alias("n"), F.max_by("meas_id", "pos").alias("last"))
 
 
-@query("al18_duplicate_tips", """WITH ends AS (SELECT track_id, meas_id, ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY pos DESC) AS back FROM track_links),
-    tails AS (SELECT track_id, meas_id AS last FROM ends WHERE back = 1), r AS (SELECT track_id, ROW_NUMBER() OVER (PARTITION BY last ORDER BY pval DESC, track_id) AS rank FROM tails JOIN tracks USING (track_id))
-    SELECT track_id AS tip_id FROM r WHERE rank > 1""")
+_ENDS = "SELECT track_id, meas_id % 3 AS m, pos FROM track_links"
+
+
+@query("al18_duplicate_tips", f"""WITH chains AS (SELECT track_id AS tip_id, LIST(m ORDER BY pos DESC) AS chain FROM ({_ENDS}) AS e GROUP BY track_id),
+    c AS (SELECT tip_id, chain, LEN(chain) AS n, pval, ndf FROM chains JOIN tracks ON tip_id = track_id)
+    SELECT DISTINCT a.tip_id FROM c a JOIN c b ON a.chain[1] = b.chain[1] AND a.n <= b.n AND b.chain[1:a.n] = a.chain AND (b.pval > a.pval OR (b.pval = a.pval AND b.tip_id < a.tip_id))
+    WHERE a.n > 2 AND a.ndf > 5""")
 def al18(spark, d):
     links = table(spark, d, "track_links")
     n = links.groupBy("track_id").agg(F.max("pos").alias("n"))
-    walks = links.join(n, "track_id").select(F.col("track_id").alias("tip_id"), "meas_id", (F.col("n") - F.col("pos")).alias("back"))
-    return B.duplicate_tips(walks, table(spark, d, "tracks").select(F.col("track_id").alias("tip_id"), "pval"), 1)
+    walks = links.join(n, "track_id").select(F.col("track_id").alias("tip_id"), (F.col("meas_id") % 3).alias("meas_id"), (F.col("n") - F.col("pos")).alias("back"))
+    return B.duplicate_tips(walks, table(spark, d, "tracks").select(F.col("track_id").alias("tip_id"), "pval", "ndf"), min_length=2)
+
+
+@query("so7_sort_keys", "SELECT particle_id, CASE WHEN process = 0 THEN 1e4 ELSE 0e0 END + ABS(1e0 + vz / 200e0 - 1.5707963267948966e0) AS sort_key FROM particles")
+def so7(spark, d):
+    theta = 1.0 + F.col("vz") / 200.0
+    return table(spark, d, "particles").select("particle_id", B.divergence_key(theta, F.col("process") != 0).alias("sort_key"))

@@ -176,3 +176,27 @@ def grid_field(points: DataFrame, grid: DataFrame, *, origin: tuple[float, float
         weight = weight * F.when(F.col(f"c.d{g}") == 1, F.col(f"f{c}")).otherwise(1 - F.col(f"f{c}"))
     found = each.withColumn("w", weight).join(grid, ["i", "j", "k"])
     return found.groupBy(key).agg(*(F.sum(F.col("w") * F.col(f"b{c}")).alias(f"b{c}") for c in "xyz"))
+
+
+def read_field(spark: SparkSession, path: str) -> DataFrame:
+    """A field map in CSV (x, y, z, Bx, By, Bz, one point of a regular grid a line) as the grid ``grid_field`` reads.
+
+    Returns x, y, z, bx, by, bz and i, j, k: the places of the coordinates among the different ones of their
+    axis (dimension tables of a grid's size).
+    """
+    names = ("x", "y", "z", "bx", "by", "bz")
+    rows = spark.read.schema(", ".join(f"{n} double" for n in names)).option("header", True).option("enforceSchema", True).csv(path)
+    for axis, number in zip("xyz", "ijk", strict=True):
+        places = rows.select(axis).distinct().select(axis, (F.row_number().over(Window.orderBy(axis)) - 1).alias(number))
+        rows = rows.join(F.broadcast(places), axis)  # one row per plane of the grid
+    return rows.select(*names, *"ijk")
+
+
+def constant_grid(spark: SparkSession, field: tuple[float, float, float], *, origin: tuple[float, float, float], step: tuple[float, float, float], size: tuple[int, int, int]) -> DataFrame:
+    """A grid map of one field vector, made in parallel."""
+    ni, nj, nk = size
+    ids = spark.range(ni * nj * nk)
+    place = {"i": F.floor(F.col("id") / (nj * nk)), "j": F.floor(F.col("id") / nk) % nj, "k": F.col("id") % nk}
+    out = ids.select(*(c.cast("int").alias(n) for n, c in place.items()))
+    at = {a: F.lit(o) + F.col(n) * F.lit(s) for a, n, o, s in zip("xyz", "ijk", origin, step, strict=True)}
+    return out.select(*(c.alias(a) for a, c in at.items()), *(F.lit(b).alias(f"b{a}") for a, b in zip("xyz", field, strict=True)), "i", "j", "k")
