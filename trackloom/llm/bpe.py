@@ -250,7 +250,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, lists], [*batch.schema.names, ids])
 
-    return docs.mapInArrow(run, _with(docs.schema, ids, "array<int>"))
+    return docs.mapInArrow(T.tidy(run), _with(docs.schema, ids, "array<int>"))
 
 
 def decode(df: DataFrame, ranks_path: str, *, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -275,7 +275,7 @@ def decode(df: DataFrame, ranks_path: str, *, ids: str = "token_ids", out: str =
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], [*batch.schema.names, out])
 
-    return df.mapInArrow(run, _with(df.schema, out, "binary"))
+    return df.mapInArrow(T.tidy(run), _with(df.schema, out, "binary"))
 
 
 def digests(df: DataFrame) -> DataFrame:

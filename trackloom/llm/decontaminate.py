@@ -135,7 +135,7 @@ def windows(texts: DataFrame, words: int, literal: int, bitmap=None, inserted: b
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64())).cast(slots_type)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(row)), pa.array(at - first[row]), pa.array(T.signed(h)), lists], ["id", "at", "h", "slots"])
 
-    return texts.mapInArrow(run, "id long, at long, h long, slots array<long>")
+    return texts.mapInArrow(T.tidy(run), "id long, at long, h long, slots array<long>")
 
 
 #: Kinds of windows in ``features``; from VERBATIM on the kind tells how many words the run has.
@@ -187,7 +187,7 @@ def features(texts: DataFrame, words: int, literal: int, runs: list[int], bitmap
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(of)), pa.array(np.full(len(at), kind, np.int32)), pa.array(at - first[of]), pa.array(T.signed(h)), lists], ["id", "kind", "at", "h", "slots"])
 
-    return texts.mapInArrow(run, "id long, kind int, at long, h long, slots array<long>")
+    return texts.mapInArrow(T.tidy(run), "id long, kind int, at long, h long, slots array<long>")
 
 
 def _bitmap(items: DataFrame):

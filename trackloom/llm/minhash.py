@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, width: int, lower: bool, bands: int, rows: int,
             numbers = [pa.array(x, pa.int64()) for x in (n, k1, k2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, lists], ["doc_id", "n", "k1", "k2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(T.tidy(run), "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
 def sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
@@ -117,7 +117,7 @@ def sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
                 flat = pa.array(T.signed(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "set"])
 
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, set array<long>")
+    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(T.tidy(run), "id long, set array<long>")
 
 
 #: Members of a pivot up to which its pairs are listed as they are; the pairs found are the same either way.

@@ -162,7 +162,7 @@ def _described(docs: DataFrame, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), lists], [*keep, "x"])
 
     rows = docs.select("text", *keep)
-    return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]), "x array<double>"]))
+    return rows.mapInArrow(T.tidy(run), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]), "x array<double>"]))
 
 
 def fitted(docs: DataFrame, trusted: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict | None:
@@ -204,7 +204,7 @@ def scored(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), score], [*keep, "score"])
 
     rows = docs.select("text", *keep)
-    return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]), "score double"]))
+    return rows.mapInArrow(T.tidy(run), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]), "score double"]))
 
 
 def quality(

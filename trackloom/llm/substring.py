@@ -125,7 +125,7 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
                 columns = [ids.slice(i, j - i), pa.array(np.diff(first)), pa.array(_joined(data, ws, we, first)), pa.ListArray.from_arrays(pa.array(ends), items)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "sha", "segs"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, sha string, segs array<struct<m:long,k:long,start:int,len:int,places:int>>")
+    return docs.mapInArrow(T.tidy(run), "doc_id long, n_words long, sha string, segs array<struct<m:long,k:long,start:int,len:int,places:int>>")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, packed binary")
+    return docs.mapInArrow(T.tidy(run), "doc_id long, packed binary")
 
 
 def _unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +170,7 @@ def _single_windows(wanted: DataFrame, window: int) -> DataFrame:
                     columns = [pa.array(ids[i + row]), pa.array(m), pa.array(T.signed(k)), pa.array(begin.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "m", "k", "start"])
 
-    return wanted.mapInArrow(run, "doc_id long, m long, k long, start int")
+    return wanted.mapInArrow(T.tidy(run), "doc_id long, m long, k long, start int")
 
 
 def _fetch(wanted: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _fetch(wanted: DataFrame) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]).astype(np.int32)), pa.array(flat))
                     yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(k, pa.int64()), pa.array(shard, pa.int32()), pa.array(mult, pa.int64()), lists], names)
 
-    return wanted.mapInArrow(run, "m long, k long, shard int, mult long, words array<long>")
+    return wanted.mapInArrow(T.tidy(run), "m long, k long, shard int, mult long, words array<long>")
 
 
 def _search(window: int):
@@ -249,7 +249,7 @@ def _removed(marked: DataFrame, with_text: bool) -> DataFrame:
                         text.append(kept.decode() if with_text else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(sha), pa.array(text, pa.string())], ["doc_id", "n_removed", "kept_sha256", "kept_text"])
 
-    return marked.mapInArrow(run, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
+    return marked.mapInArrow(T.tidy(run), "doc_id long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def _distinct(runs: DataFrame) -> DataFrame:

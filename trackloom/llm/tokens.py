@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +75,23 @@ def run_hashes(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return mix(_times(total, _powers(_POINT_BACK, len(h))[start]) + mix(size.astype(np.uint64)))
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over the batches of a partition, and ``release`` after it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def column(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null reads as empty."""
     if isinstance(arr, pa.ChunkedArray):

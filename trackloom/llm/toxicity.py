@@ -57,11 +57,18 @@ class Sparse:
     def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, width: int):
         self.rows, self.cols, self.n, self.width = rows, cols, n, width
 
+    def _sums(self, into: np.ndarray, of: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for at in range(0, len(into), 1 << 20):  # a part at a time: no temporary of the whole length
+            part = slice(at, at + (1 << 20))
+            out += np.bincount(into[part], values[of[part]], size)
+        return out
+
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, w[self.cols], self.n)
+        return self._sums(self.rows, self.cols, w, self.n)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, g[self.rows], self.width)
+        return self._sums(self.cols, self.rows, g, self.width)
 
     def take(self, keep: np.ndarray) -> Sparse:
         new = np.cumsum(keep) - 1
@@ -135,10 +142,10 @@ def train(ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, labels: np.ndarra
 
         def model(keep: np.ndarray, whole=whole, y=y, extra=extra) -> tuple[np.ndarray, Sparse, np.ndarray, np.ndarray, float]:
             chosen = _select(whole, y, weight * keep)
-            where = np.full(1 << BITS, -1)
+            where = np.full(1 << BITS, -1, np.int32)
             where[chosen] = np.arange(len(chosen))
-            some = where[cols] >= 0
-            small = Sparse(rows[some], where[cols[some]], n, max(1, len(chosen)))
+            some = (where >= 0)[cols]
+            small = Sparse(rows[some].astype(np.int64), where[cols[some]].astype(np.int64), n, max(1, len(chosen)))
             return chosen, small, *fit(small.take(keep), extra[keep], y[keep], weight[keep])
 
         for k in range(FOLDS):
@@ -192,12 +199,14 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
         table = table.sort_by("doc_id").combine_chunks()
         cols = table.column("cols").combine_chunks()
         size = np.diff(np.frombuffer(cols.buffers()[1], np.int32)[cols.offset : cols.offset + len(cols) + 1])
-        row, col = np.repeat(np.arange(len(size)), size), cols.flatten().to_numpy().astype(np.int64)
+        row, col = np.repeat(np.arange(len(size), dtype=np.int32), size), cols.flatten().to_numpy()
         truth = np.column_stack([table.column(y).to_numpy() for y in ys])
         chain = train(table.column("doc_id").to_numpy(), row, col, truth, table.column("weight").to_numpy())
+        del table, cols, row, col
+        T.release()
         return pa.table({"model": pa.array([pickle.dumps(chain)], pa.binary())})
 
-    made = rows.select("doc_id", "text", *ys, "weight").mapInArrow(hashed, f"doc_id long, {', '.join(f'{y} int' for y in ys)}, weight double, cols array<int>")
+    made = rows.select("doc_id", "text", *ys, "weight").mapInArrow(T.tidy(hashed), f"doc_id long, {', '.join(f'{y} int' for y in ys)}, weight double, cols array<int>")
     got = made.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "model binary").collect()
     if got:
         return pickle.loads(got[0]["model"])
@@ -236,7 +245,7 @@ def scored(docs: DataFrame, chain: list[dict], names: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, n).columns, *out], [*batch.schema.names, *added])
 
     kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"p_{k} double, is_{k} boolean" for k in names)]
-    return docs.mapInArrow(run, ", ".join(kinds))
+    return docs.mapInArrow(T.tidy(run), ", ".join(kinds))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, *, sample: int = SAMPLE) -> DataFrame:
