@@ -13,14 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components
-from ..workers import with_workers
+from .. import workers
 
 __all__ = ["Scratch", "connected_components", "delete", "shared_dir", "smallest_by_hash", "with_workers", "work_folder"]
 
+#: Bytes of a batch that goes to a Python worker: the default lets texts of hundreds of megabytes meet in one.
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BASES: dict[str, str] = {}
 _FOLDER: ContextVar[str | None] = ContextVar("work folder", default=None)
 
 
+def with_workers(spark: SparkSession) -> SparkSession:
+    """Python workers of the session can import this package and get batches of ``BATCH_BYTES`` at most."""
+    limit = spark.conf.get(_BATCH_LIMIT).rstrip("bB")
+    if limit.isdigit() and int(limit) > BATCH_BYTES:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    return workers.with_workers(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``, removed when the driver ends.
 
