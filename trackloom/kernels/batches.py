@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +40,20 @@ def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
         yield held.combine_chunks()
 
 
-def by_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+def by_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.Table, np.ndarray], pa.Table | Iterable[pa.Table]], schema: str, *, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Apply ``kernel(table, starts of groups)`` to many whole groups at a time.
 
     One shuffle by the keys, one sort within partitions; a kernel sees sorted, complete groups and may
-    work on all of them at once.
+    work on all of them at once; it returns a table, or several.  ``prepare`` adds the columns to sort by or to
+    work on after the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_groups(batches, keys):
-            yield from kernel(table, group_starts(table, keys)).to_batches()
+            out = kernel(table, group_starts(table, keys))
+            for part in [out] if isinstance(out, pa.Table) else out:
+                yield from part.to_batches()
 
     with_workers(df.sparkSession)
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    rows = df.repartition(*keys)
+    return (prepare(rows) if prepare else rows).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -1,18 +1,23 @@
 """Space points to seeds: binning, doublets, triplets, weights, selection, parameters.
 
-Lengths in mm, momenta in GeV, fields in GeV / (e mm).  All joins are on the event and a bin or a
-middle space point; cuts are residual conditions of the join, so pairs outside of them never leave it.
+Lengths in mm, momenta in GeV, fields in GeV / (e mm).  Doublets and triplets come from a kernel over whole
+events (``kernels.doublets``): many times the points in number, doublets are neither shuffled nor sorted.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.axis import Circular, Regular
+from ..kernels import doublets as K
+from ..kernels.batches import by_groups
 
 TESLA = 2.99792458e-4
 
@@ -116,151 +121,93 @@ def binned(spacepoints: DataFrame, cfg: SeedConfig) -> DataFrame:
     return out
 
 
-#: Rise in radius and z from the inner to the outer of middle (m) and other (o) point.
-_DR, _DZ = "ABS(m_r - o_r)", "SIGN(m_r - o_r) * (m_z - o_z)"
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
-def compatible(cfg: SeedConfig) -> str:
-    """The doublet cut between middle (m) and other (o); without transverse distance in x or y the helix cut passes.
+_IDS = {"b": "b_id", "m": "middle_id", "t": "t_id"}
+_VALUES = ("curvature", "impact", "b_z0", "b_r", "t_r", *(f"{p}_{c}" for p in "bmt" for c in "xyz"))
 
-    The two circles of the smallest radius R through both points have their centres at
-    mid +- q n, q^2 = R^2 - d^2 / 4, n the normal of the chord of length d.  As |mid|^2 - d^2 / 4 = m . o and
-    mid . n = (m x o) / d, the nearer centre is at the squared distance m . o + R^2 - 2 (q / d) |m x o|.
-    """
-    big = cfg.min_helix_radius
-    d2 = "((o_x - m_x) * (o_x - m_x) + (o_y - m_y) * (o_y - m_y))"
-    centre = f"m_x * o_x + m_y * o_y + {big * big!r} - 2e0 * SQRT({big * big!r} / NULLIF({d2}, 0e0) - 0.25e0) * ABS(m_x * o_y - o_x * m_y)"
-    limit = (big - cfg.impact_max) ** 2
-    return (
-        f"{_DR} < {cfg.delta_r_max!r} AND {_DR} > {cfg.delta_r_min!r} AND ABS({_DZ}) < {cfg.cot_theta_max!r} * {_DR} "
-        f"AND m_z * {_DR} - m_r * {_DZ} > {cfg.collision_min!r} * {_DR} AND m_z * {_DR} - m_r * {_DZ} < {cfg.collision_max!r} * {_DR} "
-        f"AND ABS({_DZ}) < {cfg.delta_z_max!r} AND (m_x = o_x OR m_y = o_y OR {centre} > {limit!r})"
-    )
-
-
-def lin_circle() -> dict[str, str]:
-    """Inverse distance, cot theta, z at the axis, error, and the conformal u and v of a doublet, each from earlier ones."""
-    dx, dy = "(o_x - m_x)", "(o_y - m_y)"
-    return {
-        "inv": f"(1e0 / NULLIF(SQRT({dx} * {dx} + {dy} * {dy}), 0e0))",
-        "cot": f"({_DZ} * {{inv}})",
-        "z0": "(m_z - m_r * {cot})",
-        "er": "(((m_var_z + o_var_z) + {cot} * {cot} * (m_var_r + o_var_r)) * {inv} * {inv})",
-        "u": f"(({dx} * m_x + {dy} * m_y) / NULLIF(m_r, 0e0) * {{inv}} * {{inv}})",
-        "v": f"(({dy} * m_x - {dx} * m_y) / NULLIF(m_r, 0e0) * {{inv}} * {{inv}})",
-    }
-
-
-_POINT = ("x", "y", "z", "r", "var_r", "var_z")
-
-
-def doublets(points: DataFrame, cfg: SeedConfig) -> DataFrame:
-    """Pairs of a middle (m_) and another point (o_), ``is_bottom`` where the other is nearer to the axis.
-
-    Every middle looks up its own and the neighbouring bins by one equi-join on (event, phi_bin, z_bin) for
-    both sides; wrap-around bins are listed once.
-    """
-    phi_axis, z_axis = axes(cfg)
-    n = cfg.neighbours
-    # neighbours of a bin: from the bin's own middle, so that the lists depend on the bin only
-    phi_mid = (F.col("phi_bin") + 0.5) * ((phi_axis.high - phi_axis.low) / phi_axis.bins) + phi_axis.low
-    z_mid = (F.col("z_bin") + 0.5) * ((z_axis.high - z_axis.low) / z_axis.bins) + z_axis.low
-    middle = points.select(
-        "event_id", F.col("spacepoint_id").alias("middle_id"), *(F.col(c).alias(f"m_{c}") for c in _POINT),
-        F.explode(phi_axis.zone(phi_mid, n, n)).alias("phi_bin"), z_axis.zone(z_mid, n, n).alias("zs"),
-    )
-    middle = middle.withColumn("z_bin", F.explode("zs")).drop("zs")
-    other = points.select("event_id", F.col("spacepoint_id").alias("other_id"), *(F.col(c).alias(f"o_{c}") for c in _POINT), "phi_bin", "z_bin")
-    pairs = middle.join(other, ["event_id", "phi_bin", "z_bin"]).where(compatible(cfg)).drop("phi_bin", "z_bin")
-    return pairs.withColumn("is_bottom", F.col("m_r") > F.col("o_r"))
 
+def _per_event(spacepoints: DataFrame, cfg: SeedConfig, kernel: Callable[[pa.Table, dict[str, np.ndarray], np.ndarray], Iterator[dict[str, np.ndarray]]], columns: dict[str, str]) -> DataFrame:
+    """Apply ``kernel`` to the valid points of many whole events.
 
-def _sided(pairs: DataFrame) -> DataFrame:
-    """event_id, middle_id, m (point), is_bottom, side: the doublets with their line in the plane of the middle point."""
-    names = {n: f"d_{n}" for n in lin_circle()}
-    for n, e in lin_circle().items():
-        pairs = pairs.withColumn(names[n], F.expr(e.format(**names)))
-    side = F.struct(F.col("other_id").alias("id"), *(F.col(f"o_{c}").alias(c) for c in "xyzr"), *(F.col(v).alias(k) for k, v in names.items()))
-    middle = F.struct(*(F.col(f"m_{c}").alias(c) for c in _POINT))
-    return pairs.select("event_id", "middle_id", middle.alias("m"), "is_bottom", side.alias("side"))
+    Positions alone are shuffled, once and by event; radius and bins follow, and pairs never meet a shuffle.
+    """
+    given = [c for c in ("var_r", "var_z") if c in spacepoints.columns]
+    points = spacepoints.where("event_id IS NOT NULL").where(valid(cfg)).select(F.col("event_id").cast("long"), F.col("spacepoint_id").cast("long"), "x", "y", "z", *given)
+    kinds = pa.schema([(c, _ARROW[t]) for c, t in columns.items()])
 
+    def run(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        p = {c: table.column(c).to_numpy() for c in table.column_names}
+        for c in ("var_r", "var_z"):
+            p.setdefault(c, np.zeros(table.num_rows))
+        p["r"] = np.sqrt(p["x"] * p["x"] + p["y"] * p["y"])
+        group = np.repeat(np.arange(len(starts)), np.diff(starts, append=table.num_rows))
+        for out in kernel(table, p, group):
+            yield pa.table({c: out[c] for c in columns}, kinds)
 
-def triplet_terms() -> dict[str, str]:
-    """Terms of the triplet cut, each from earlier ones, with the line v = a u + b written without division:
-    a = dv / du and b = bn / du."""
-    return {
-        "error2": "(t_er + b_er + 2e0 * (b_cot * t_cot * m_var_r + m_var_z) * b_inv * t_inv)",
-        "dcot2": "((b_cot - t_cot) * (b_cot - t_cot))",
-        "excess": "(dcot2 + error2 - 2e0 * ABS(b_cot - t_cot) * SQRT(error2))",
-        "du": "(t_u - b_u)",
-        "dv": "(t_v - b_v)",
-        "s2": "(du * du + dv * dv)",
-        "bn": "(b_v * du - dv * b_u)",
-    }
+    def prepared(rows: DataFrame) -> DataFrame:
+        return binned(rows, cfg).drop("r", *(c for c in ("var_r", "var_z") if c not in given))
 
+    return by_groups(points, ["event_id"], ["z_bin", "phi_bin"], run, ", ".join(f"{c} {t}" for c, t in columns.items()), prepare=prepared)
 
-def triplet_cut(cfg: SeedConfig) -> str:
-    """Slopes agree within errors and scattering, the helix is wide enough, and the impact parameter small enough."""
-    s2 = cfg.sigma_scattering**2
-    high = (cfg.highland / cfg.max_pt_scattering) ** 2
-    # scattering of the curvature's momentum, but at most that of max_pt_scattering: pT^2 = B^2 s2 / (4 bn^2)
-    slow = f"{cfg.b_z**2!r} * s2 <= {4 * cfg.max_pt_scattering**2!r} * bn * bn"
-    scatter = f"CASE WHEN {slow} THEN excess * s2 <= 4e0 * bn * bn * {cfg.pt2_per_radius * s2!r} * (1e0 + b_cot * b_cot) ELSE excess <= {high * s2!r} * (1e0 + b_cot * b_cot) END"
-    return (
-        f"du <> 0 AND s2 >= bn * bn * {cfg.min_helix_diameter2!r} AND ABS((dv - bn * m_r) * m_r) <= {cfg.impact_max!r} * ABS(du) "
-        f"AND (dcot2 - error2 <= 0 OR (excess <= {cfg.max_scattering2 * s2!r} * (1e0 + b_cot * b_cot) AND {scatter}))"
-    )
 
+def doublets(spacepoints: DataFrame, cfg: SeedConfig) -> DataFrame:
+    """Pairs of a middle and another point, ``is_bottom`` where the other is nearer to the axis.
 
-#: Curvature and impact parameter of the triplets that pass.
-TRIPLET_VALUES = {"curvature": "(bn / SQRT(s2) * SIGN(du))", "impact": "(ABS((dv - bn * m_r) * m_r) / ABS(du))"}
+    Every middle looks up its own and the neighbouring bins for both sides.
+    """
+    bins = tuple(a.bins for a in axes(cfg))
 
+    def kernel(table, p, group):
+        for m, o in K.pairs(p, group, bins, cfg):
+            ids = table.column("spacepoint_id")
+            yield {"event_id": p["event_id"][m], "middle_id": ids.take(m), "other_id": ids.take(o), "is_bottom": pa.array(p["r"][m] > p["r"][o])}
 
-_CARRIED = ("b_z0", "b_r", "t_r", *(f"{p}_{c}" for p in "bmt" for c in "xyz"))
+    return _per_event(spacepoints, cfg, kernel, {"event_id": "long", "middle_id": "long", "other_id": "long", "is_bottom": "boolean"})
 
 
-def triplets(pairs: DataFrame, cfg: SeedConfig) -> DataFrame:
-    """Bottom and top doublets of one middle point that lie on a common helix.
+def triplets(spacepoints: DataFrame, cfg: SeedConfig, flt: FilterConfig | None = None, *, values: Iterable[str] = _VALUES) -> DataFrame:
+    """Bottom and top doublets of one middle point that lie on a common helix: event_id, b_id, middle_id, t_id and ``values``.
 
-    The doublets of a middle point meet by one shuffle; a detector's density bounds their number.
+    With ``flt`` also ``n_compatible`` (0, 1 or 2), see ``kernels.doublets.compatible_tops``.
     """
-    sides = {k: F.collect_list(F.when(c, F.col("side"))).alias(k) for k, c in (("b", F.col("is_bottom")), ("t", ~F.col("is_bottom")))}
-    both = _sided(pairs).groupBy("event_id", "middle_id").agg(F.first("m").alias("m"), *sides.values()).where("size(b) > 0 AND size(t) > 0")
-    both = both.select("event_id", "middle_id", "m", "t", F.explode("b").alias("b")).select("event_id", "middle_id", "m", "b", F.explode("t").alias("t"))
-    fields = ("id", "x", "y", "z", "r", *lin_circle())
-    both = both.select("event_id", "middle_id", *(F.col(f"m.{c}").alias(f"m_{c}") for c in _POINT), *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "bt" for c in fields))
-    for name, e in triplet_terms().items():
-        both = both.withColumn(name, F.expr(e))
-    passed = both.where(triplet_cut(cfg))
-    return passed.select("event_id", "b_id", "middle_id", "t_id", *(F.expr(e).alias(n) for n, e in TRIPLET_VALUES.items()), *_CARRIED)
-
-
-def compatible_tops(found: DataFrame, flt: FilterConfig) -> DataFrame:
-    """``n_compatible`` (0, 1 or 2): other tops on the same curve of the same bottom and middle.
-
-    Tops count in the order of their ids; the first always does, a second one if it is at least
-    ``delta_r_min`` from the first in radius.  That needs the first and whether any other is far enough.
-    Only tops within the difference in curvature are gathered: the window's frame is a range of it.
-    """
-    reach = f"{flt.delta_inv_diameter!r}D"
-    frame = f"OVER (PARTITION BY event_id, b_id, middle_id ORDER BY curvature RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)"
-    rows = found.withColumn("like", F.expr(f"collect_list(struct(t_id, t_r)) {frame}"))
-    near = F.filter("like", lambda o: (o["t_id"] != F.col("t_id")) & (F.abs(o["t_r"] - F.col("t_r")) >= flt.delta_r_min))
-    rows = rows.withColumn("near", near).withColumn("r_first", F.array_min("near")["t_r"])
-    second = F.exists("near", lambda o: F.abs(o["t_r"] - F.col("r_first")) >= flt.delta_r_min)
-    n = F.when(F.col("r_first").isNull(), 0).when(second, 2).otherwise(1)
-    return rows.withColumn("n_compatible", n).drop("like", "near", "r_first")
+    bins = tuple(a.bins for a in axes(cfg))
+    kinds = {"event_id": "long", "b_id": "long", "middle_id": "long", "t_id": "long"} | {v: "double" for v in values}
+    if flt:
+        kinds["n_compatible"] = "long"
+
+    def kernel(table, p, group):
+        ids = table.column("spacepoint_id").combine_chunks()
+        numbers = ids.to_numpy(zero_copy_only=False)
+        for found in K.triplets(p, group, bins, cfg):
+            out = {"event_id": p["event_id"][found["m"]]} | {c: ids.take(pa.array(found[k])) for k, c in _IDS.items()}
+            for v in values:
+                if v not in found:
+                    side, c = v.split("_")
+                    out[v] = K.z_at_axis(p, found["m"], found["b"]) if c == "z0" else p[c][found[side]]
+                else:
+                    out[v] = found[v]
+            if flt:
+                out["n_compatible"] = K.compatible_tops(found["side"], found["curvature"], numbers[found["t"]], p["r"][found["t"]], flt)
+            yield out
+
+    return _per_event(spacepoints, cfg, kernel, kinds)
+
+
+#: What weights and the order of the seeds need of a triplet.
+WEIGHT_VALUES = ("impact", "b_r", "t_r", "b_y", "b_z", "t_y", "t_z")
 
 
 def weighted(found: DataFrame, flt: FilterConfig) -> DataFrame:
-    """Triplet weights, without those that fail the cut on a single triplet.
+    """Weights of triplets with ``n_compatible``, without those that fail the cut on a single triplet.
 
     A top within ``good_top_r`` replaces, not adds to, the increase of a far bottom.  Weights count to a
     millionth: ties and cuts don't hang on rounding errors of the impact parameter.
     """
     rise = F.when(F.col("t_r") < flt.good_top_r, flt.good_top_weight).when(F.col("b_r") > flt.good_bottom_r, flt.good_bottom_weight).otherwise(0.0)
     raw = -F.col("impact") * flt.impact_factor + F.col("n_compatible") * flt.compatible_weight + rise
-    out = compatible_tops(found, flt).withColumn("weight", F.floor(raw * 1e6 + 0.5) / 1e6)
+    out = found.withColumn("weight", F.floor(raw * 1e6 + 0.5) / 1e6)
     return out.where(~((F.col("b_r") > flt.good_bottom_r) & (F.col("weight") < flt.good_bottom_min_weight)))
 
 
@@ -275,7 +222,8 @@ def selected(candidates: DataFrame, cfg: SeedConfig, flt: FilterConfig) -> DataF
 def seeds(spacepoints: DataFrame, cfg: SeedConfig | None = None, flt: FilterConfig | None = None, *, coordinates: bool = False) -> DataFrame:
     """(event_id, bottom_id, middle_id, top_id, quality), with ``coordinates`` also bottom_x to top_z."""
     cfg, flt = cfg or SeedConfig(), flt or FilterConfig()
-    found = triplets(doublets(binned(spacepoints, cfg), cfg), cfg)
+    places = [f"{p}_{c}" for p in "bmt" for c in "xyz"] if coordinates else []
+    found = triplets(spacepoints, cfg, flt, values=dict.fromkeys([*WEIGHT_VALUES, *places]))
     best = selected(weighted(found, flt), cfg, flt)
     ids = {"bottom": "b", "middle": "m", "top": "t"}
     own = [F.col("b_id").alias("bottom_id"), F.col("middle_id"), F.col("t_id").alias("top_id"), F.col("weight").alias("quality")]

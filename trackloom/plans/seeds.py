@@ -86,8 +86,12 @@ def _points(spark, d):
     return S.binned(table(spark, d, "spacepoints"), CFG)
 
 
-def _found(spark, d):
-    return S.triplets(S.doublets(_points(spark, d), CFG), CFG)
+def _found(spark, d, flt=None, values=()):
+    return S.triplets(table(spark, d, "spacepoints"), CFG, flt, values=values)
+
+
+def _weighted(spark, d):
+    return S.weighted(_found(spark, d, FLT, S.WEIGHT_VALUES), FLT)
 
 
 @query("fi1_valid_spacepoints", f"SELECT spacepoint_id FROM spacepoints WHERE {_VALID}")
@@ -109,12 +113,12 @@ for _bottom, _name in ((True, "bottom"), (False, "top")):
 
     @query(f"jo3_{_name}_doublets", _POINTS + _pairs("ds", _bottom) + "SELECT event_id, middle_id, other_id FROM ds")
     def jo3(spark, d, bottom=_bottom):
-        return S.doublets(_points(spark, d), CFG).where(F.col("is_bottom") == bottom).select("event_id", "middle_id", "other_id")
+        return S.doublets(table(spark, d, "spacepoints"), CFG).where(F.col("is_bottom") == bottom).select("event_id", "middle_id", "other_id")
 
 
 @query("fi3_doublet_counts", _POINTS + _pairs("ds", True) + "SELECT event_id, COUNT(*) AS n_doublets, COUNT(DISTINCT middle_id) AS n_middles FROM ds GROUP BY event_id")
 def fi3(spark, d):
-    return S.doublets(_points(spark, d), CFG).where("is_bottom").groupBy("event_id").agg(F.count("*").alias("n_doublets"), F.countDistinct("middle_id").alias("n_middles"))
+    return S.doublets(table(spark, d, "spacepoints"), CFG).where("is_bottom").groupBy("event_id").agg(F.count("*").alias("n_doublets"), F.countDistinct("middle_id").alias("n_middles"))
 
 
 @query("jo4_triplets", _TRIPLETS + "SELECT event_id, b_id, middle_id, t_id FROM trips")
@@ -124,22 +128,22 @@ def jo4(spark, d):
 
 @query("fi4_triplet_geometry", _TRIPLETS + "SELECT b_id, middle_id, t_id, CAST(FLOOR(curvature * 1e9 + 0.5e0) AS BIGINT) AS curvature_n, CAST(FLOOR(impact * 1e6 + 0.5e0) AS BIGINT) AS impact_u FROM trips")
 def fi4(spark, d):
-    return _found(spark, d).select("b_id", "middle_id", "t_id", F.floor(F.col("curvature") * 1e9 + 0.5).cast("long").alias("curvature_n"), _micro(F.col("impact"), "impact_u"))
+    return _found(spark, d, values=("curvature", "impact")).select("b_id", "middle_id", "t_id", F.floor(F.col("curvature") * 1e9 + 0.5).cast("long").alias("curvature_n"), _micro(F.col("impact"), "impact_u"))
 
 
 @query("jo5_compatible_tops", _WEIGHTED + "SELECT b_id, middle_id, t_id, CAST(n_compatible AS BIGINT) AS n_compatible FROM heavy")
 def jo5(spark, d):
-    return S.compatible_tops(_found(spark, d), FLT).select("b_id", "middle_id", "t_id", F.col("n_compatible").cast("long").alias("n_compatible"))
+    return _found(spark, d, FLT).select("b_id", "middle_id", "t_id", "n_compatible")
 
 
 @query("fi5_triplet_weights", _WEIGHTED + "SELECT b_id, middle_id, t_id, CAST(FLOOR(weight * 1e6 + 0.5e0) AS BIGINT) AS weight_u FROM weighted")
 def fi5(spark, d):
-    return S.weighted(_found(spark, d), FLT).select("b_id", "middle_id", "t_id", _micro(F.col("weight"), "weight_u"))
+    return _weighted(spark, d).select("b_id", "middle_id", "t_id", _micro(F.col("weight"), "weight_u"))
 
 
 @query("so4_seeds_per_middle", _WEIGHTED + "SELECT event_id, middle_id, b_id, t_id, rank FROM chosen")
 def so4(spark, d):
-    return S.selected(S.weighted(_found(spark, d), FLT), CFG, FLT).select("event_id", "middle_id", "b_id", "t_id", F.col("rank").cast("long").alias("rank"))
+    return S.selected(_weighted(spark, d), CFG, FLT).select("event_id", "middle_id", "b_id", "t_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("al6_seed_finding", _WEIGHTED + "SELECT event_id, b_id AS bottom_id, middle_id, t_id AS top_id, CAST(FLOOR(weight * 1e6 + 0.5e0) AS BIGINT) AS quality_u FROM chosen")
