@@ -66,6 +66,7 @@ SHUFFLES = {
     "fi5_triplet_weights": 0,
     "jo5_compatible_tops": 0,
     "al8_track_parameters": 1,
+    "fi4_triplet_geometry": 0,
 }
 
 
