@@ -67,6 +67,7 @@ SHUFFLES = {
     "jo5_compatible_tops": 0,
     "al8_track_parameters": 1,
     "fi4_triplet_geometry": 0,
+    "so4_seeds_per_middle": 1,
 }
 
 
