@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from trackloom.kernels import doublets as kernel
 from trackloom.operators import seeding
-from trackloom.plans.seeds import QUERIES
+from trackloom.plans.registry import QUERIES
 
 SCHEMA = "event_id long, spacepoint_id long, x double, y double, z double"
 
@@ -68,6 +68,7 @@ SHUFFLES = {
     "al8_track_parameters": 1,
     "fi4_triplet_geometry": 0,
     "so4_seeds_per_middle": 1,
+    "sk4_seed_lines": 2,  # and the seeds by event
 }
 
 

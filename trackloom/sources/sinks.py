@@ -26,21 +26,29 @@ def spacepoint_lines(spacepoints: DataFrame) -> DataFrame:
     return spacepoints.select("event_id", "spacepoint_id", line.alias("line"))
 
 
+def _uses(seeds: DataFrame) -> DataFrame:
+    """event_id, n (of the seed in its event), k (0 to 2), spacepoint_id, vertex: three rows a seed.
+
+    Seeds are shuffled once, by event; every step keeps that partitioning.
+    """
+    order = Window.partitionBy("event_id").orderBy("bottom_id", "middle_id", "top_id")
+    numbered = seeds.select("event_id", "bottom_id", "middle_id", "top_id").repartition("event_id").withColumn("n", F.row_number().over(order))
+    used = numbered.select("event_id", "n", F.posexplode(F.array("bottom_id", "middle_id", "top_id")).alias("k", "spacepoint_id"))
+    met = F.min(F.col("n").cast("long") * 3 + F.col("k")).over(Window.partitionBy("event_id", "spacepoint_id"))
+    return used.withColumn("met", met).select("event_id", "n", "k", "spacepoint_id", F.dense_rank().over(Window.partitionBy("event_id").orderBy("met")).cast("long").alias("vertex"))
+
+
 def seed_vertices(seeds: DataFrame) -> DataFrame:
     """Vertex numbers of a seed file: space points in the order of first use, from 1, each once."""
-    order = Window.partitionBy("event_id").orderBy("bottom_id", "middle_id", "top_id")
-    numbered = seeds.withColumn("n", F.row_number().over(order))
-    used = numbered.select("event_id", F.posexplode(F.array("bottom_id", "middle_id", "top_id")).alias("k", "spacepoint_id"), "n")
-    first = used.groupBy("event_id", "spacepoint_id").agg(F.min(F.col("n") * 3 + F.col("k")).alias("met"))
-    return first.select("event_id", "spacepoint_id", F.row_number().over(Window.partitionBy("event_id").orderBy("met")).cast("long").alias("vertex"))
+    return _uses(seeds).select("event_id", "spacepoint_id", "vertex").distinct()
 
 
 def seed_lines(seeds: DataFrame) -> DataFrame:
     """``l b m t`` lines over the vertex numbers."""
-    out, v = seeds, seed_vertices(seeds)
-    for side in ("bottom", "middle", "top"):
-        out = out.join(v.select("event_id", F.col("spacepoint_id").alias(f"{side}_id"), F.col("vertex").alias(side)), ["event_id", f"{side}_id"])
-    return out.select("event_id", "bottom_id", "middle_id", "top_id", F.concat_ws(" ", F.lit("l"), "bottom", "middle", "top").alias("line"))
+    sides = ("bottom", "middle", "top")
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    rows = _uses(seeds).groupBy("event_id", "n").agg(*(of(k, "spacepoint_id").alias(f"{s}_id") for k, s in enumerate(sides)), *(of(k, "vertex").alias(s) for k, s in enumerate(sides)))
+    return rows.select("event_id", "bottom_id", "middle_id", "top_id", F.concat_ws(" ", F.lit("l"), *sides).alias("line"))
 
 
 def track_lines(tracks: DataFrame, links: DataFrame) -> DataFrame:
