@@ -4,9 +4,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from trackloom.kernels import batches
 from trackloom.kernels import doublets as kernel
 from trackloom.operators import seeding
+from trackloom.plans import bridge
 from trackloom.plans.registry import QUERIES
 
 SCHEMA = "event_id long, spacepoint_id long, x double, y double, z double"
@@ -149,3 +153,87 @@ def test_compatible_tops_against_plain_version():
         want.append(0 if not near else 2 if any(abs(t_r[j] - t_r[near[0]]) >= flt.delta_r_min for j in near) else 1)
     assert kernel.compatible_tops(side, curvature, t_id, t_r, flt).tolist() == want
     assert set(want) == {0, 1, 2}
+
+#: Bytes of shuffles that a point may take (lines and positions), and a seed (the order by middle point).
+BYTES = {
+    "al6_seed_finding": (25, 32),
+}
+
+
+def lines(orders, seed=11):
+    rng, rows = random.Random(seed), []
+    for order in range(orders):
+        rows += [(order, layer, rng.randrange(20_000), rng.randrange(1_000), round(rng.uniform(900, 105_000), 2)) for layer in range(1, rng.randrange(2, 8))]
+    return rows
+
+
+LINES = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double"
+
+
+def shuffled(spark, run):
+    """Bytes that ``run`` writes for shuffles."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    quantiles = spark.sparkContext._gateway.new_array(jvm.double, 0)
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(jvm.java.util.ArrayList(), False, False, quantiles, jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = written()
+    run()
+    return sum(n for k, n in written().items() if k not in before)
+
+
+@pytest.mark.parametrize("name", sorted(BYTES))
+def test_bytes_shuffled_by_a_query(spark, tmp_path, name):
+    """Lines are shuffled packed, without coordinates; seeds with what their order needs."""
+    rows, out = lines(6_000), []
+    spark.createDataFrame(rows, LINES).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    written = shuffled(spark, lambda: out.append(QUERIES[name](spark, str(tmp_path)).localCheckpoint().count()))
+    point, seed = BYTES[name]
+    assert 10 * len(rows) < written < point * len(rows) + seed * out[0]
+
+
+def view_of(spark, tmp_path, rows):
+    spark.createDataFrame(rows, LINES).repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    want = [tuple(r) for r in bridge.table(spark, str(tmp_path), "spacepoints").collect()]
+    return [tuple(r) for r in bridge.points_by_event(spark, str(tmp_path)).collect()], want
+
+
+def test_points_by_event_are_those_of_the_view(spark, tmp_path):
+    """Also where one base lies in several events, a part of its lines makes no point, and columns hold nulls."""
+    rows = [*lines(400), *[(k, ln, p, s, 1.5) for k in (100, 101) for ln in (1, 2) for p in (7, 1_000_007) for s in (5, 3, 4)]]
+    # order 99 and line 11 have the base of order 100 and line 1, in another event
+    rows += [(99, 11, 7, 9, 1.0), (99, 11, 7, None, 2.0), (100, 1, 7, 2, None), (100, 1, 7, 2, float("nan"))]
+    rows += [(None, 1, 7, 1, 1.0), (100, None, 7, 1, 1.0), (100, 1, None, 1, 1.0), (-3, 1, 7, 1, 1.0)]
+    still = next(k for k in range(1, 10_000) if (k * 7919) % 401 == 200)  # no point comes from it
+    rows += [(still, 11, 7, 1, 1.0), (still + 1, 1, 7, 2, 1.0), (still + 1, 1, 7, 0, 1.0)]
+    got, want = view_of(spark, tmp_path, rows)
+    key = lambda r: (r[0], r[1], r[2:])
+    assert sorted(got, key=key) == sorted((r for r in want if None not in r), key=key)
+    assert len({r[0] for r in got}) > 4 and any(r[1] % 100 > 6 for r in got)
+
+
+def test_events_stay_together(spark, tmp_path):
+    spark.createDataFrame(lines(2_000), LINES).repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = bridge.points_by_event(spark, str(tmp_path)).withColumn("at", F.spark_partition_id())
+    assert found.groupBy("event_id").agg(F.countDistinct("at").alias("n")).where("n > 1").count() == 0
+    assert found.select("at").distinct().count() > 1
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 10**6])
+def test_packed_blocks_give_all_rows_back(monkeypatch, size):
+    monkeypatch.setattr(batches, "PACKED", size)
+    rng = random.Random(size)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.float64()), ("c", pa.int32())])
+    rows = [(rng.choice([None, rng.randrange(-9, 9)]), rng.choice([None, math.nan, -0.0, 1e300]), rng.choice([None, i])) for i in range(300)]
+    given = [pa.record_batch([*(pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), schema, strict=True)), pa.array([abs(r[0] or 0) for r in part], pa.int32())], [*schema.names, "part"]) for part in (rows[i : i + 40] for i in range(0, 300, 40))]
+    blocks = list(batches.packed(iter([*given, given[0].slice(0, 0)]), schema))
+    back = [r for b in batches.unpacked(iter(blocks), schema) for r in b.to_pylist()]
+    assert sorted(map(repr, back)) == sorted(repr(dict(zip(schema.names, r, strict=True))) for r in rows)
+    for b in blocks:  # a block holds rows of its part alone
+        for part, block in zip(b.column("part").to_pylist(), b.column("block"), strict=True):
+            inside = pa.ipc.read_record_batch(pa.ipc.read_message(block.as_buffer()), schema)
+            assert {abs(x or 0) for x in inside.column("a").to_pylist()} == {part}
+    assert list(batches.packed(iter([]), schema)) == [] == list(batches.packed(iter([given[0].slice(0, 0)]), schema))

@@ -128,10 +128,11 @@ _IDS = {"b": "b_id", "m": "middle_id", "t": "t_id"}
 _VALUES = ("curvature", "impact", "b_z0", "b_r", "t_r", *(f"{p}_{c}" for p in "bmt" for c in "xyz"))
 
 
-def _per_event(spacepoints: DataFrame, cfg: SeedConfig, kernel: Callable[[pa.Table, dict[str, np.ndarray], np.ndarray], Iterator[dict[str, np.ndarray]]], columns: dict[str, str]) -> DataFrame:
+def _per_event(spacepoints: DataFrame, cfg: SeedConfig, kernel: Callable[[pa.Table, dict[str, np.ndarray], np.ndarray], Iterator[dict[str, np.ndarray]]], columns: dict[str, str], together: bool) -> DataFrame:
     """Apply ``kernel`` to the valid points of many whole events.
 
-    Positions alone are shuffled, once and by event; radius and bins follow, and pairs never meet a shuffle.
+    Positions alone are shuffled, once and by event (not if events are ``together`` in a partition already); radius
+    and bins follow, and pairs never meet a shuffle.
     """
     given = [c for c in ("var_r", "var_z") if c in spacepoints.columns]
     points = spacepoints.where("event_id IS NOT NULL").where(valid(cfg)).select(F.col("event_id").cast("long"), F.col("spacepoint_id").cast("long"), "x", "y", "z", *given)
@@ -149,10 +150,10 @@ def _per_event(spacepoints: DataFrame, cfg: SeedConfig, kernel: Callable[[pa.Tab
     def prepared(rows: DataFrame) -> DataFrame:
         return binned(rows, cfg).drop("r", *(c for c in ("var_r", "var_z") if c not in given))
 
-    return by_groups(points, ["event_id"], ["z_bin", "phi_bin"], run, ", ".join(f"{c} {t}" for c, t in columns.items()), prepare=prepared)
+    return by_groups(points, ["event_id"], ["z_bin", "phi_bin"], run, ", ".join(f"{c} {t}" for c, t in columns.items()), prepare=prepared, together=together)
 
 
-def doublets(spacepoints: DataFrame, cfg: SeedConfig) -> DataFrame:
+def doublets(spacepoints: DataFrame, cfg: SeedConfig, *, together: bool = False) -> DataFrame:
     """Pairs of a middle and another point, ``is_bottom`` where the other is nearer to the axis.
 
     Every middle looks up its own and the neighbouring bins for both sides.
@@ -164,10 +165,10 @@ def doublets(spacepoints: DataFrame, cfg: SeedConfig) -> DataFrame:
             ids = table.column("spacepoint_id")
             yield {"event_id": p["event_id"][m], "middle_id": ids.take(m), "other_id": ids.take(o), "is_bottom": pa.array(p["r"][m] > p["r"][o])}
 
-    return _per_event(spacepoints, cfg, kernel, {"event_id": "long", "middle_id": "long", "other_id": "long", "is_bottom": "boolean"})
+    return _per_event(spacepoints, cfg, kernel, {"event_id": "long", "middle_id": "long", "other_id": "long", "is_bottom": "boolean"}, together)
 
 
-def triplets(spacepoints: DataFrame, cfg: SeedConfig, flt: FilterConfig | None = None, *, values: Iterable[str] = _VALUES) -> DataFrame:
+def triplets(spacepoints: DataFrame, cfg: SeedConfig, flt: FilterConfig | None = None, *, values: Iterable[str] = _VALUES, together: bool = False) -> DataFrame:
     """Bottom and top doublets of one middle point that lie on a common helix: event_id, b_id, middle_id, t_id and ``values``.
 
     With ``flt`` also ``n_compatible`` (0, 1 or 2), see ``kernels.doublets.compatible_tops``.
@@ -192,7 +193,7 @@ def triplets(spacepoints: DataFrame, cfg: SeedConfig, flt: FilterConfig | None =
                 out["n_compatible"] = K.compatible_tops(found["side"], found["curvature"], numbers[found["t"]], p["r"][found["t"]], flt)
             yield out
 
-    return _per_event(spacepoints, cfg, kernel, kinds)
+    return _per_event(spacepoints, cfg, kernel, kinds, together)
 
 
 #: What weights and the order of the seeds need of a triplet.
@@ -212,18 +213,22 @@ def weighted(found: DataFrame, flt: FilterConfig) -> DataFrame:
 
 
 def selected(candidates: DataFrame, cfg: SeedConfig, flt: FilterConfig) -> DataFrame:
-    """At most ``max_per_middle`` triplets per middle point: the best always, the next if they pass the last cut."""
+    """At most ``max_per_middle`` triplets per middle point: the best always, the next if they pass the last cut.
+
+    The shuffle by middle point has weights as whole millionths and the outcome of the cut on the radius, not the radius.
+    """
     size = F.col("b_y") * F.col("b_y") + F.col("b_z") * F.col("b_z") + F.col("t_y") * F.col("t_y") + F.col("t_z") * F.col("t_z")
-    by = Window.partitionBy("event_id", "middle_id").orderBy(F.desc("weight"), F.desc("size"), "b_id", "t_id")
-    ranked = candidates.withColumn("size", size).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= cfg.max_per_middle)
-    return ranked.where((F.col("rank") == 1) | (F.col("weight") > flt.min_weight) | (F.col("b_r") > flt.min_bottom_r)).drop("size")
+    by = Window.partitionBy("event_id", "middle_id").orderBy(F.desc("millionths"), F.desc("size"), "b_id", "t_id")
+    made = candidates.withColumns({"size": size, "far": F.col("b_r") > flt.min_bottom_r, "millionths": F.floor(F.col("weight") * 1e6 + 0.5)})
+    ranked = made.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= cfg.max_per_middle).withColumn("weight", F.col("millionths") / 1e6)
+    return ranked.where((F.col("rank") == 1) | (F.col("weight") > flt.min_weight) | F.col("far")).drop("size", "far", "millionths")
 
 
-def seeds(spacepoints: DataFrame, cfg: SeedConfig | None = None, flt: FilterConfig | None = None, *, coordinates: bool = False) -> DataFrame:
+def seeds(spacepoints: DataFrame, cfg: SeedConfig | None = None, flt: FilterConfig | None = None, *, coordinates: bool = False, together: bool = False) -> DataFrame:
     """(event_id, bottom_id, middle_id, top_id, quality), with ``coordinates`` also bottom_x to top_z."""
     cfg, flt = cfg or SeedConfig(), flt or FilterConfig()
     places = [f"{p}_{c}" for p in "bmt" for c in "xyz"] if coordinates else []
-    found = triplets(spacepoints, cfg, flt, values=dict.fromkeys([*WEIGHT_VALUES, *places]))
+    found = triplets(spacepoints, cfg, flt, values=dict.fromkeys([*WEIGHT_VALUES, *places]), together=together)
     best = selected(weighted(found, flt), cfg, flt)
     ids = {"bottom": "b", "middle": "m", "top": "t"}
     own = [F.col("b_id").alias("bottom_id"), F.col("middle_id"), F.col("t_id").alias("top_id"), F.col("weight").alias("quality")]

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..kernels.batches import by_groups, dealt
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
@@ -103,3 +108,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = {m for found in _WORD.finditer(sql) for m in re.split(r"\s*,\s*", found[2]) if m in VIEWS or m in BASE}
     text = _WORD.sub(lambda m: f"{m[1]} " + ", ".join(f"{{{x}}} AS {x}" if x in used else x for x in re.split(r"\s*,\s*", m[2])), sql)
     return spark.sql(text, **{x: table(spark, sf_dir, x) for x in used})
+
+
+#: Of the view ``spacepoints``: what numbers the points of one base, the base, the event, and the lines that make points.
+_NUMBER = "ROW_NUMBER() OVER (PARTITION BY base ORDER BY l_suppkey, l_extendedprice)"
+_BASE = "(l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey"
+_EVENT = "CAST(FLOOR(l_orderkey / 100.0e0) AS BIGINT)"
+_MADE = "((l_orderkey * 7919) % 401) - 200 <> 0 AND ((l_orderkey * 104729) % 397) - 198 <> 0 AND l_linenumber IS NOT NULL AND l_partkey IS NOT NULL"
+
+
+def _numbered(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    number = np.arange(table.num_rows) - np.repeat(starts, np.diff(starts, append=table.num_rows)) + 1
+    return table.select(["l_orderkey", "l_linenumber", "l_partkey"]).append_column("l_suppkey", pa.array(number, pa.int64()))
+
+
+def points_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``spacepoints`` that have a place, those of an event in one partition.
+
+    A place follows from three numbers of the line.  Only those are shuffled, packed, and by event after the points
+    are numbered: lines of one base can lie in several events.  The view's statement is then put on them, with the
+    number where it was counted.
+    """
+    lines = table(spark, sf_dir, "lineitem").where(_MADE).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    kinds = dict(lines.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("l_orderkey", "l_linenumber", "l_partkey")) + ", l_suppkey bigint"
+    whole = dealt(lines, F.expr(_BASE)).withColumn("base", F.expr(_BASE))
+    numbered = by_groups(whole, ["base"], ["l_suppkey", "l_extendedprice"], _numbered, schema, together=True)
+    counted = dealt(numbered, F.expr(_EVENT)).withColumn("l_extendedprice", F.lit(0.0))
+    sql = VIEWS["spacepoints"].replace(_NUMBER, "l_suppkey").replace("FROM lineitem", "FROM {lineitem}")
+    return spark.sql(sql, lineitem=counted)

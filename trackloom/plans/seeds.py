@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import seeding as S
-from .bridge import duck, table
+from .bridge import duck, points_by_event, table
 
 QUERIES, ORACLES = {}, {}
 CFG, FLT = S.SeedConfig(), S.FilterConfig()
@@ -148,7 +148,7 @@ def so4(spark, d):
 
 @query("al6_seed_finding", _WEIGHTED + "SELECT event_id, b_id AS bottom_id, middle_id, t_id AS top_id, CAST(FLOOR(weight * 1e6 + 0.5e0) AS BIGINT) AS quality_u FROM chosen")
 def al6(spark, d):
-    return S.seeds(table(spark, d, "spacepoints")).select("event_id", "bottom_id", "middle_id", "top_id", _micro(F.col("quality"), "quality_u"))
+    return S.seeds(points_by_event(spark, d), together=True).select("event_id", "bottom_id", "middle_id", "top_id", _micro(F.col("quality"), "quality_u"))
 
 
 _B = 2 * S.TESLA
