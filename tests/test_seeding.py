@@ -157,6 +157,7 @@ def test_compatible_tops_against_plain_version():
 #: Bytes of shuffles that a point may take (lines and positions), and a seed (the order by middle point).
 BYTES = {
     "al6_seed_finding": (25, 32),
+    "so4_seeds_per_middle": (25, 32),
 }
 
 

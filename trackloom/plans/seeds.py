@@ -87,7 +87,7 @@ def _points(spark, d):
 
 
 def _found(spark, d, flt=None, values=()):
-    return S.triplets(table(spark, d, "spacepoints"), CFG, flt, values=values)
+    return S.triplets(points_by_event(spark, d), CFG, flt, values=values, together=True)
 
 
 def _weighted(spark, d):
