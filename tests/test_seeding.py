@@ -158,6 +158,7 @@ def test_compatible_tops_against_plain_version():
 BYTES = {
     "al6_seed_finding": (25, 32),
     "so4_seeds_per_middle": (25, 32),
+    "al8_track_parameters": (25, 42),
 }
 
 

@@ -249,8 +249,8 @@ def _dot(a: list, b: list):
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
 
-def track_parameters(found: DataFrame, spacepoints: DataFrame | None = None, field: tuple[float, float, float] = (0.0, 0.0, 2 * TESLA)) -> DataFrame:
-    """phi, theta and q/p at the bottom point of every seed, from the circle through its three points.
+def track_parameters(found: DataFrame, spacepoints: DataFrame | None = None, field: tuple[float, float, float] = (0.0, 0.0, 2 * TESLA), *, keep: Iterable[str] = ()) -> DataFrame:
+    """phi, theta and q/p at the bottom point of every seed, from the circle through its three points; ``keep``: columns that stay.
 
     A frame with its z axis along the field and its x axis towards the middle point; there the conformal
     map turns the circle into a line.  Seeds that carry no coordinates take them from ``spacepoints``.
@@ -284,6 +284,7 @@ def track_parameters(found: DataFrame, spacepoints: DataFrame | None = None, fie
     return steps.select(
         "event_id", "bottom_id", "middle_id", "top_id", F.atan2(dy, dx).alias("phi"), F.atan2(F.sqrt(dx * dx + dy * dy), dz).alias("theta"),
         F.coalesce(1 / (F.col("radius") * size) / F.sqrt(1 + F.col("inv_tan") * F.col("inv_tan")), F.lit(0.0)).alias("qop"),
+        *keep,
     )
 
 

@@ -166,8 +166,14 @@ _PARAMS = _WEIGHTED + f""", p0 AS (SELECT c.event_id, c.b_id AS bottom_id, c.mid
     CAST(FLOOR(ATAN2(1e0, inv_tan) * 1e6 + 0.5e0) AS BIGINT) AS theta_u,
     CAST(FLOOR(COALESCE(1e0 / (radius * {_B!r}) / SQRT(1e0 + inv_tan * inv_tan), 0e0) * 1e6 + 0.5e0) AS BIGINT) AS qop_u FROM p7""")
 def al8(spark, d):
-    found = S.track_parameters(S.seeds(table(spark, d, "spacepoints"), coordinates=True))
-    return found.select("bottom_id", "middle_id", "top_id", *(_micro(F.col(c), f"{c}_u") for c in ("phi", "theta", "qop")))
+    # parameters come before the order by middle point: that shuffles their three numbers and not nine coordinates
+    sides = {"bottom": "b", "middle": "m", "top": "t"}
+    places = [f"{p}_{c}" for p in sides.values() for c in "xyz"]
+    found = S.weighted(_found(spark, d, FLT, list(dict.fromkeys([*S.WEIGHT_VALUES, *places]))), FLT)
+    named = found.withColumns({"bottom_id": F.col("b_id"), "top_id": F.col("t_id")} | {f"{side}_{c}": F.col(f"{p}_{c}") for side, p in sides.items() for c in "xyz"})
+    made = S.track_parameters(named, keep=["b_id", "t_id", "weight", "b_r", "b_y", "b_z", "t_y", "t_z"])
+    rounded = made.select("*", *(_micro(F.col(c), f"{c}_u") for c in ("phi", "theta", "qop")))
+    return S.selected(rounded, CFG, FLT).select(F.col("b_id").alias("bottom_id"), "middle_id", F.col("t_id").alias("top_id"), "phi_u", "theta_u", "qop_u")
 
 
 @query("pr9_initial_covariance", "SELECT particle_id, CAST(FLOOR((POWER(0.1e0 * SIN(1e0 + vz / 200e0), 2) + POWER(0.1e0 * px, 2) + POWER(px / TAN(1e0 + vz / 200e0), 2) * 3.046174197867086e-4) * 1e6 + 0.5e0) AS BIGINT) AS cov_qop_u FROM particles")
