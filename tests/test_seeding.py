@@ -159,6 +159,7 @@ BYTES = {
     "al6_seed_finding": (25, 32),
     "so4_seeds_per_middle": (25, 32),
     "al8_track_parameters": (25, 42),
+    "fi5_triplet_weights": (25, 0),
 }
 
 
