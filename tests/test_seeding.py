@@ -160,6 +160,7 @@ BYTES = {
     "so4_seeds_per_middle": (25, 32),
     "al8_track_parameters": (25, 42),
     "fi5_triplet_weights": (25, 0),
+    "jo5_compatible_tops": (25, 0),
 }
 
 
