@@ -161,6 +161,7 @@ BYTES = {
     "al8_track_parameters": (25, 42),
     "fi5_triplet_weights": (25, 0),
     "jo5_compatible_tops": (25, 0),
+    "fi4_triplet_geometry": (25, 0),
 }
 
 
