@@ -200,6 +200,32 @@ def test_bytes_shuffled_by_a_query(spark, tmp_path, name):
     assert 10 * len(rows) < written < point * len(rows) + seed * out[0]
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 211])
+def test_every_partition_gets_one_part(spark, n):
+    names = batches.part_names(n).tolist()
+    at = spark.createDataFrame([(x,) for x in names], "part int").repartition(n, "part").select("part", F.spark_partition_id()).collect()
+    assert dict(map(tuple, at)) == dict(zip(names, range(n), strict=True))
+
+
+#: Queries whose shuffles are measured on many partitions.
+SPREAD = ["fi5_triplet_weights"]
+
+
+@pytest.mark.parametrize("name", SPREAD)
+def test_bytes_shuffled_on_many_partitions(spark, tmp_path, name):
+    """Blocks of lines stay as large as partitions allow: rows over 16 partitions take few bytes more than over 4."""
+    rows, few = lines(6_000), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.createDataFrame(rows, LINES).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = []
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        written = shuffled(spark, lambda: found.extend(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+    assert 10 * len(rows) < written < BYTES[name][0] * len(rows)
+    assert found and sorted(found) == sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+
+
 def view_of(spark, tmp_path, rows):
     spark.createDataFrame(rows, LINES).repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
     want = [tuple(r) for r in bridge.table(spark, str(tmp_path), "spacepoints").collect()]

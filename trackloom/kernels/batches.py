@@ -65,8 +65,24 @@ def by_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable
     return (prepare(rows) if prepare else rows).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def packed(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(part, block): all that ``PACKED`` rows have of a part, as a message of compressed columns."""
+def part_names(n: int) -> np.ndarray:
+    """For each of ``n`` partitions the smallest number that Spark's hash partitioning puts there."""
+    many = 16 * n
+    while True:
+        x = np.arange(many, dtype=np.uint32)  # Spark's hash of an int: Murmur3 with seed 42
+        x *= np.uint32(0xCC9E2D51)
+        x = ((x << np.uint32(15)) | (x >> np.uint32(17))) * np.uint32(0x1B873593) ^ np.uint32(42)
+        x = ((x << np.uint32(13)) | (x >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        at, first = np.unique((x ^ (x >> np.uint32(16))).view(np.int32) % n, return_index=True)
+        if len(at) == n:
+            return first.astype(np.int32)
+        many *= 2
+
+
+def packed(batches: Iterator[pa.RecordBatch], schema: pa.Schema, names: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(part, block): all that ``PACKED`` rows have of a part, as a message of compressed columns; ``names``: of the parts."""
     held: list[pa.RecordBatch] = []
     many = 0
     for batch in chain(batches, [None]):
@@ -90,7 +106,8 @@ def packed(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
                 ends.append(sink.tell())
         whole = sink.getvalue()
         blocks = [whole[a:b].to_pybytes() for a, b in zip(ends, ends[1:], strict=False)]
-        yield pa.record_batch([pa.array(part[order][starts], pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+        found = part[order][starts]
+        yield pa.record_batch([pa.array(found if names is None else names[found], pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -107,11 +124,13 @@ def unpacked(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
 def dealt(df: DataFrame, key: Column) -> DataFrame:
     """The rows of ``df``, those of equal keys in one partition, shuffled as compressed columns and not one by one.
 
-    Keys are dealt to parts, more than there are partitions; what ``PACKED`` rows of a task have of a part is one
-    row of the shuffle.  The planner can't tell rows from packed sizes, so partitions are not merged.
+    Keys are dealt to parts, one a partition and named so that it gets there: what ``PACKED`` rows of a task have of
+    a part is one row of the shuffle, and blocks of a few rows take several times their bytes.  The planner can't tell
+    rows from packed sizes, so partitions are not merged.
     """
     spark = with_workers(df.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in df.schema])
-    blocks = df.withColumn("part", F.pmod(F.hash(key), F.lit(16 * n))).mapInArrow(lambda b: packed(b, schema), "part int, block binary")
+    names = part_names(n)
+    blocks = df.withColumn("part", F.pmod(F.hash(key), F.lit(n))).mapInArrow(lambda b: packed(b, schema, names), "part int, block binary")
     return blocks.repartition(n, "part").mapInArrow(lambda b: unpacked(b, schema), df.schema)
