@@ -208,7 +208,7 @@ def test_every_partition_gets_one_part(spark, n):
 
 
 #: Queries whose shuffles are measured on many partitions.
-SPREAD = ["fi5_triplet_weights", "jo5_compatible_tops"]
+SPREAD = ["fi5_triplet_weights", "jo5_compatible_tops", "fi4_triplet_geometry"]
 
 
 @pytest.mark.parametrize("name", SPREAD)
